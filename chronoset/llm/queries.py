@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, ngram_join
 
-QUERIES = {"op3_line_dedup": line_dedup.op3_line_dedup}
+QUERIES = {
+    "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
+}
 ORACLES = {"op3_line_dedup": line_dedup.ORACLE_SQL}
