@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import line_dedup, ngram_join
+from . import decontam, line_dedup, ngram_join
 
 QUERIES = {
+    "op1_benchmark_decontamination": decontam.op1_benchmark_decontamination,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
 }
