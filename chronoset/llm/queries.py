@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, line_dedup, ngram_join
+from . import decontam, line_dedup, ngram_join, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": decontam.op1_benchmark_decontamination,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
 }
 ORACLES = {"op3_line_dedup": line_dedup.ORACLE_SQL}
