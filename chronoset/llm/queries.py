@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, line_dedup, ngram_join, toxicity
+from . import decontam, line_dedup, ngram_join, sentence_piece, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": decontam.op1_benchmark_decontamination,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op5_sentencepiece": sentence_piece.op5_sentencepiece,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
 }
