@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontam, line_dedup, ngram_join, sentence_piece, toxicity
+from . import decontam, language_id, line_dedup, media, ngram_join, sentence_piece, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_benchmark_decontamination": decontam.op1_benchmark_decontamination,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_token_counts": token_counts.op4_token_counts,
     "op5_sentencepiece": sentence_piece.op5_sentencepiece,
+    "op6_language_id": language_id.op6_language_id,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_warc": warc.op8_warc,
     "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
+    "op10_media_columns": media.op10_media_columns,
 }
-ORACLES = {"op3_line_dedup": line_dedup.ORACLE_SQL}
+ORACLES = {"op3_line_dedup": line_dedup.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL}
