@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, language_id, line_dedup, media, ngram_join, sentence_piece, token_counts, toxicity, warc
+from . import decontam, html_extract, language_id, line_dedup, media, ngram_join, sentence_piece, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_benchmark_decontamination": decontam.op1_benchmark_decontamination,
+    "op2_html_extraction": html_extract.op2_html_extraction,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_sentencepiece": sentence_piece.op5_sentencepiece,
