@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MARK = "PII_REDACTED_"
 _DIGITS = re.compile("[0-9]{12}")
@@ -39,7 +40,7 @@ def mask_text(text: str | None) -> str | None:
     return _DIGITS.sub(lambda _: f"{MARK}{int(next(hashes)):016x}", text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def mask_pii(text: pd.Series) -> pd.Series:
     return text.map(mask_text, na_action="ignore")
 

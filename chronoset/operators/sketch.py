@@ -11,13 +11,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 CELLS, HASHES = 1024, 4
 STRATA, STRATUM_CELLS, STRATUM_HASHES = 32, 80, 3
 MAX_CELLS = 699_050
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def hash_dot(node: pd.Series, counter: pd.Series, digest: pd.Series) -> pd.Series:
     """FNV-1a, 64 bits, over node, little-endian counter and payload digest; a batch's rows side by side."""
     if not len(node):

@@ -15,6 +15,7 @@ from ..sources import facts as src
 from ..sources import layout
 from ..sources.facts import LIVE, table
 from ..sources.shared import new_path
+from ..streaming import ingest
 
 #: The point, window and system time at which the registered queries read.
 V, LO, HI, TX = 1705190400000000000, 1705190400000000000, 1705600000000000000, 1705400000000000000
@@ -686,3 +687,23 @@ def layout_round_trip(spark, d):
     path = new_path(spark, "facts")
     layout.write_facts(facts(spark, d).where("tier_rank < 2"), path)
     return layout.read_facts(spark, path).groupBy("entity_id").agg(F.count("*").alias("n"), F.max("system_time_ns").alias("newest"))
+
+
+# ---- streams over what is there now; the result is the batch's
+
+
+@query(PLAIN + f"SELECT {_ROW} FROM facts")
+def stream_join(spark, d):
+    path = new_path(spark, "stream-state")
+    events = ingest.files(spark, f"{d}/events.parquet", table(spark, d, "events").schema)
+    ingest.drain(src.facts_from_events(events), ingest.join_sink(path), new_path(spark, "stream-checkpoint"))
+    return spark.read.parquet(path).select(*ROW)
+
+
+@query(PLAIN + "SELECT entity_id, count(*) FILTER (WHERE dot_counter < 8000) AS kept, count(*) FILTER (WHERE dot_counter >= 8000) AS dropped, coalesce(max(dot_counter) FILTER (WHERE dot_counter < 8000), 0) AS last FROM facts GROUP BY entity_id")
+def stream_rates(spark, d):
+    path = new_path(spark, "stream-rates")
+    rows = src.facts_from_events(ingest.files(spark, f"{d}/events.parquet", table(spark, d, "events").schema))
+    rates = ingest.peer_rates(rows.select("entity_id", "dot_counter", "seq"), "entity_id", "dot_counter", "seq", 8000)
+    ingest.drain(rates, lambda batch, _: batch.write.mode("append").parquet(path), new_path(spark, "stream-checkpoint"), "update")
+    return spark.read.parquet(path).groupBy("entity_id").agg(F.max("kept").alias("kept"), F.max("dropped").alias("dropped"), F.max("last").alias("last"))
