@@ -33,6 +33,8 @@ from .common import WordHashes, mixed, shingles, stored, table, text_of, words
 
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.999, 5
 BLOCK = 1024
+#: Stands for a null id where the smallest is sought.
+NO_ID = (1 << 63) - 1
 #: Columns of an incidence matrix that are in memory at once.
 WIDE = 8192
 
@@ -180,10 +182,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, text: str = "text", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """Per document: id, row (hash of id and text), class_id, n_links, copies (documents with the same set), keeper."""
+    """Per document: id, row (hash of id and text), class_id, n_links, copies (documents with the same set), has_words, keeper (row of the
+    document that stands for the class; null without words)."""
     bands, rows = bands_for(threshold, recall)
     sigs = stored(signed(docs, text, key, n, bands, rows), "signatures")
-    classes = sigs.where("node is not null").groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("id"), F.min("row").alias("row"), F.first("bands").alias("bands"))
+    first = F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "row")).alias("first")
+    classes = sigs.where("node is not null").groupBy("node").agg(F.count("*").alias("size"), first, F.first("bands").alias("bands"))
     classes = stored(classes, "classes")
     member = classes.select("node", F.xxhash64("node").alias("name"), F.posexplode("bands").alias("band", "hash"))
     buckets = member.groupBy("band", "hash").agg(F.min("name").alias("centre"), F.count("*").alias("n")).where("n > 1").select("band", "hash", "centre")
@@ -191,7 +195,7 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     groups = stored(in_group, "groups")
     sizes = groups.groupBy("centre").agg(F.count("*").alias("n")).where("n > 1")
     centres = groups.groupBy("node").agg(F.sort_array(F.collect_set("centre")).alias("centres"))
-    wanted = classes.select("node", "size", "row").join(centres, "node")
+    wanted = classes.select("node", "size", "first.row").join(centres, "node")
     texts = docs.select(F.xxhash64(F.col(key), text_of(text)).alias("row"), F.col(text).alias("text"))
     sets = _with_grams(texts.join(wanted, "row"), n)
     blocks = F.ceil(F.col("n") * 1.25 / block).cast("int")
@@ -206,9 +210,9 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     found = stored(placed.groupBy("centre", "low", "high").applyInPandas(compare, "node binary, root binary, links long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(found)
-    joined = classes.join(links, "node", "left").join(labels, "node", "left").select("node", "size", "id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label"))
-    firsts = joined.groupBy("label").agg(F.min("id").alias("class_id"))
-    per_class = stored(joined.join(firsts, "label").select("node", "size", "links", "class_id"), "per-class")
+    joined = classes.join(links, "node", "left").join(labels, "node", "left").select("node", "size", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label"))
+    firsts = joined.groupBy("label").agg(F.min("first").alias("top"))
+    per_class = stored(joined.join(firsts, "label").select("node", "size", "links", F.nullif("top.id", F.lit(NO_ID)).alias("class_id"), F.col("top.row").alias("keeper")), "per-class")
     out = sigs.select("id", "row", "node").join(per_class, "node", "left")
     return out.select(
         "id",
@@ -217,15 +221,16 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
         F.coalesce(F.col("links") + F.col("size") - 1, F.lit(0)).alias("n_links"),
         F.coalesce(F.col("size"), F.lit(1)).alias("copies"),
         F.col("node").isNotNull().alias("has_words"),
+        "keeper",
     )
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each class: that with the smallest doc_id (of rows that share it, one)."""
+    """docs with one document of each class: that with the smallest doc_id, null ids last; of equal rows one. Rows without words all stay."""
     found = jaccard_join(docs, **options)
-    keep = found.where("NOT has_words OR id <=> class_id").groupBy("row").agg(F.max("has_words").alias("_has_words"))
-    rows = docs.withColumn("row", F.xxhash64(F.col("doc_id"), text_of())).join(keep, "row")
-    once = rows.where("_has_words").dropDuplicates(["doc_id"])
+    keep = found.select(F.when(F.col("has_words"), F.col("keeper")).otherwise(F.col("row")).alias("_row"), "has_words").distinct()
+    rows = docs.withColumn("_row", F.xxhash64(F.col("doc_id"), text_of())).join(keep.withColumnRenamed("has_words", "_has_words"), "_row")
+    once = rows.where("_has_words").dropDuplicates(["_row", "doc_id", "text"])
     return once.unionByName(rows.where("NOT _has_words")).select(*docs.columns)
 
 
