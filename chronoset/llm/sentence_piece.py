@@ -32,7 +32,7 @@ from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of text that are indexed together; a longer text is a batch of its own.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 _CUT = re.compile(" *[^ \n]+| +|\n")
 
 
@@ -195,6 +195,8 @@ def edges_of(pieces: Pieces, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def encode_cuts(pieces: Pieces, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all cuts one after another, number of ids of each)."""
+    if not cuts:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     raw = [c.encode("utf-8", "replace") for c in cuts]
     lengths = np.fromiter(map(len, raw), np.int64, len(raw))
     begin = np.r_[0, np.cumsum(lengths + 1)[:-1]].astype(np.int64)
