@@ -26,7 +26,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 
 from .common import split_of, table
 
-PER_LABEL, VOCABULARY, MIN_DOCS, STEPS, L2 = 2000, 40_000, 4, 150, 1e-4
+PER_LABEL, VOCABULARY, MIN_DOCS, STEPS, L2, SHRINK = 2000, 40_000, 4, 150, 1e-4, 0.01
 #: ASCII letters, digits and all bytes of other characters stay; ends of sentences become line ends, the rest blanks.
 _SENTENCES = bytes(b if b >= 128 or chr(b).isalnum() else 10 if chr(b) in ".!?\n" else 32 for b in range(256))
 #: The token of the end of a sentence; no text has it, as controls are blanks.
@@ -93,7 +93,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[tuple[str | None, int]], vocabulary: int = VOCABULARY, min_docs: int = MIN_DOCS, steps: int = STEPS) -> Model:
-    """Adam on the likelihood of the document labels under noisy-or; small weights are preferred."""
+    """Adam on the likelihood of the document labels under noisy-or; small and few weights are preferred."""
     labels = np.array([int(y) for _, y in rows], float)
     if not len(rows) or labels.min() == labels.max():
         return Model()
@@ -126,7 +126,8 @@ def fit(rows: list[tuple[str | None, int]], vocabulary: int = VOCABULARY, min_do
         g = np.r_[np.bincount(feature, slope[sentence], len(chosen)), slope.sum()] + L2 * np.r_[p[:-1], 0.0]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p = p - 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return Model({f: float(w) for f, w in zip(chosen, p, strict=False)}, float(p[-1]))
+        p[:-1] = np.sign(p[:-1]) * np.maximum(np.abs(p[:-1]) - SHRINK, 0)  # most words end with no weight
+    return Model({f: float(w) for f, w in zip(chosen, p, strict=False) if w}, float(p[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
