@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import ranged
+from .ordered import moving_average, ranged
 
 BUDGET = 1 << 20
 CLOCK_CAP_US = 2000
 SKEW_SECONDS, SKEW_SLACK = 60, 1000
 MAX_LONG = (1 << 63) - 1
 ACCEPT, MALFORMED, RATE, CLOCK, DEPTH, VERIFY = "accept", "drop_malformed", "drop_rate", "drop_clock", "drop_depth", "drop_verify"
-#: Past this many rows an old value weighs less than a double can show (0.1^20).
-FRAME = 20
 
 
 def error_kind() -> Column:
@@ -42,10 +40,8 @@ def rate_ok(counter: Column, budget: int = BUDGET) -> Column:
 
 
 def rate_gate(frames: DataFrame, keys: list[str], order: list[str], counter: str = "dot_counter", budget: int = BUDGET) -> DataFrame:
-    """frames with `verdict` (keep or drop), `remaining` budget and the moving `rate` after each frame of its key.
-
-    last: the largest accepted counter before; delta: what the frame is beyond it; rate: 0.1 of the old and 0.9 of delta
-    at every frame with a delta, dropped ones too, so that twenty such frames determine it.
+    """frames with `verdict` (keep or drop), `last` (the key's largest accepted counter before), `delta` (what the frame is
+    beyond it) and `remaining`, the budget after it.
     """
     ok = rate_ok(F.col(counter), budget)
     rows = ranged(frames, keys, order)
@@ -61,13 +57,8 @@ def rate_gate(frames: DataFrame, keys: list[str], order: list[str], counter: str
 
 
 def moving_rate(gated: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The frames that have a delta, with `rate`: sum of 0.9 * 0.1^age * delta over the latest twenty."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    terms = [F.coalesce(F.lag("delta", age).over(w) if age else F.col("delta"), F.lit(0)) * (0.9 * 0.1**age) for age in range(FRAME - 1, -1, -1)]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return gated.where("delta > 0").withColumn("rate", total)
+    """The frames that have a delta, dropped ones too, with `rate`: 0.1 of the key's rate before and 0.9 of the delta."""
+    return moving_average(gated.where("delta > 0"), keys, order, F.col("delta"), 0.1, "rate")
 
 
 def skew_bound(lamport: Column, rate: Column, seconds: float = SKEW_SECONDS, slack: int = SKEW_SLACK) -> Column:

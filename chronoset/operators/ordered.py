@@ -6,6 +6,8 @@ one small row per (range, key).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,3 +39,20 @@ def running_max(df: DataFrame, keys: list[str], order: list[str], value: Column,
     frame = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     inner = rows.withColumn("_inner", F.max("_value").over(frame))
     return inner.join(tops, [*keys, "_range"]).withColumn(name, F.greatest("_inner", "_earlier")).drop("_inner", "_earlier", "_range", "_value")
+
+
+def moving_average(df: DataFrame, keys: list[str], order: list[str], value: Column, keep: float, name: str) -> DataFrame:
+    """df with the value of r = keep * r + (1 - keep) * value after each row of its key's order, from r = 0.
+
+    A key's rows are numbered and cut into blocks so long that what comes from before the previous block weighs less than
+    1e-50; within a block the recurrence is a running sum of value / keep^place, times keep^place.
+    """
+    block = max(2, int(50 / -math.log10(keep)))
+    rows = rank_in_key(df.withColumn("_value", value.cast("double") * (1 - keep)), keys, order, "_n")
+    rows = rows.withColumn("_block", F.expr(f"(_n - 1) div {block}")).withColumn("_place", F.expr(f"(_n - 1) % {block}"))
+    lift, sink = F.pow(F.lit(1 / keep), F.col("_place")), F.pow(F.lit(keep), F.col("_place"))
+    w = Window.partitionBy(*keys, "_block").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_own", F.sum(F.col("_value") * lift).over(w) * sink)
+    ends = rows.where(F.col("_place") == block - 1).select(*keys, (F.col("_block") + 1).alias("_block"), F.col("_own").alias("_carried"))
+    carried = F.coalesce("_carried", F.lit(0.0)) * sink * keep
+    return rows.join(ends, [*keys, "_block"], "left").withColumn(name, F.col("_own") + carried).drop("_n", "_block", "_place", "_own", "_carried", "_value")

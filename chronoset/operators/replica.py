@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import KEY
 from ..sources.layout import dot_hex
-from .ordered import rank_in_key, running_max
+from .ordered import moving_average, rank_in_key, running_max
 
 #: Dots of a node that share a leaf of the root's tree, and children of an inner node.
 LEAF, FAN = 1024, 1024
@@ -110,3 +110,8 @@ def lamport_clock(log: DataFrame, order: list[str], counter: str = "dot_counter"
     before = running_max(log, [], order, F.col(counter), "_before", inclusive=False)
     clock = F.coalesce("_before", F.lit(0))
     return before.withColumn("lamport", F.greatest(clock, F.col(counter))).withColumn("jump", F.greatest(F.col(counter) - clock, F.lit(0))).drop("_before")
+
+
+def inbound_rate(clocked: DataFrame, order: list[str]) -> DataFrame:
+    """The rows that advanced the clock, with `rate`: 0.9 of the rate before and 0.1 of the jump."""
+    return moving_average(clocked.where("jump > 0"), [], order, F.col("jump"), 0.9, "rate")

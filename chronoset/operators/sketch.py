@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from ..sources.shared import stored
+
 CELLS, HASHES = 1024, 4
 STRATA, STRATUM_CELLS, STRATUM_HASHES = 32, 80, 3
 MAX_CELLS = 699_050
@@ -58,26 +60,23 @@ def subtract(left: DataFrame, right: DataFrame, by: list[str] | None = None) ->
     return left.join(r, [*by, "cell"], "full").select(*by, "cell", (zero("n") - zero("_n")).alias("n"), zero("key_xor").bitwiseXOR(zero("_k")).alias("key_xor"), zero("hash_xor").bitwiseXOR(zero("_h")).alias("hash_xor"))
 
 
-def peel(difference: DataFrame, cells: int = CELLS, hashes: int = HASHES, rounds: int = 40) -> tuple[DataFrame, bool]:
-    """(key, side) of a subtracted table, side 1 for keys of the left alone and -1 for the right, and whether it came out whole.
+def peel(difference: DataFrame, cells: int = CELLS, hashes: int = HASHES, rounds: int = 40, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """([by,] key, side) of a subtracted table, side 1 for keys of the left alone and -1 for the right, and the cells that are left.
 
-    In rounds: cells of one key give it up, and it is taken out of its other cells. The table is small and is
-    kept on the driver between rounds only as a plan; each round is stored.
+    In rounds: cells of one key give it up, and it is taken out of its other cells. No cell is left if all came out.
     """
-    from ..sources.shared import stored
-
+    by, found = by or [], None
     table = stored(difference, "iblt")
-    found = None
     for _ in range(rounds):
-        pure = table.where((F.abs("n") == 1) & (_check(F.col("key_xor")) == F.col("hash_xor"))).select(F.col("key_xor").alias("key"), F.col("n").alias("side")).distinct()
+        pure = table.where((F.abs("n") == 1) & (_check(F.col("key_xor")) == F.col("hash_xor"))).select(*by, F.col("key_xor").alias("key"), F.col("n").alias("side")).distinct()
         pure = stored(pure, "peeled")
         if pure.isEmpty():
             break
         found = pure if found is None else found.unionByName(pure)
-        gone = pure.select("key", "side", F.explode(_cells(F.col("key"), hashes, cells)).alias("cell")).groupBy("cell").agg(F.sum("side").alias("n"), F.bit_xor("key").alias("key_xor"), F.bit_xor(_check(F.col("key"))).alias("hash_xor"))
-        table = stored(subtract(table, gone), "iblt")
-    whole = table.where("n <> 0 OR key_xor <> 0 OR hash_xor <> 0").isEmpty()
-    return (difference.sparkSession.createDataFrame([], "key long, side long") if found is None else found), whole
+        gone = pure.select(*by, "key", "side", F.explode(_cells(F.col("key"), hashes, cells)).alias("cell")).groupBy(*by, "cell").agg(F.sum("side").alias("n"), F.bit_xor("key").alias("key_xor"), F.bit_xor(_check(F.col("key"))).alias("hash_xor"))
+        table = stored(subtract(table, gone, by), "iblt")
+    left = table.where("n <> 0 OR key_xor <> 0 OR hash_xor <> 0")
+    return (pure if found is None else found), left
 
 
 def stratum(key: Column) -> Column:
@@ -90,25 +89,17 @@ def strata(keys: DataFrame) -> DataFrame:
     return iblt(keys.withColumn("stratum", stratum(F.col("key"))), STRATUM_CELLS, STRATUM_HASHES, ["stratum"])
 
 
-def estimate(left: DataFrame, right: DataFrame) -> int:
-    """About how many keys are in one of the sets alone. Strata are peeled one by one, the sparsest first.
+def estimate(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row: about how many keys are in one of the sets alone.
 
-    Only the 32 x 80 cells of the subtracted estimators reach the driver.
+    All strata are peeled at once. From the sparsest down, whole strata count what came out; the first that did not come out
+    whole stands for itself and all below: what was found so far, times two to the power of its number plus one.
     """
-    diff = subtract(left, right, ["stratum"])
-    spark = diff.sparkSession
-    cells = [(int(r.stratum), int(r.cell), int(r.n), int(r.key_xor), int(r.hash_xor)) for r in diff.collect()]
-    total = 0
-    for level in range(STRATA - 1, -1, -1):
-        own = [c[1:] for c in cells if c[0] == level and any(c[2:])]
-        if not own:
-            continue
-        found, whole = peel(spark.createDataFrame(own, "cell int, n long, key_xor long, hash_xor long"), STRATUM_CELLS, STRATUM_HASHES)
-        n = found.count()
-        if not whole:
-            return (total + n) << (level + 1)
-        total += n
-    return total
+    found, rest = peel(subtract(left, right, ["stratum"]), STRATUM_CELLS, STRATUM_HASHES, by=["stratum"])
+    broken = rest.agg(F.coalesce(F.max("stratum"), F.lit(-1)).alias("broken"))
+    counted = found.join(F.broadcast(broken), F.col("stratum") >= F.col("broken")).groupBy("broken").agg(F.count("*").alias("n"))
+    counted = broken.join(counted, "broken", "left")
+    return counted.select((F.coalesce("n", F.lit(0)) * F.pow(F.lit(2), F.col("broken") + 1)).cast("long").alias("difference"))
 
 
 def table_size(difference: int) -> int:

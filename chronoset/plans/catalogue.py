@@ -311,6 +311,12 @@ def iblt_difference(spark, d):
     return found.groupBy(F.col("side").cast("int").alias("side")).agg(F.count("*").alias("n"))
 
 
+@query()
+def strata_estimate(spark, d):
+    rows = facts(spark, d)
+    return sketch.estimate(sketch.strata(_keys(rows.where("seq % 100 <> 1"))), sketch.strata(_keys(rows.where("seq % 100 <> 0"))))
+
+
 @query()
 def strata_build(spark, d):
     return sketch.strata(_keys(facts(spark, d)))
@@ -508,6 +514,23 @@ def rate_gate(spark, d):
     return admission.rate_gate(frames, ["entity_id"], ["seq"], budget=8000).select("seq", "verdict", "delta", "remaining")
 
 
+def _rate_sql(base: str, value: str, keep: float, terms: int, over: str) -> str:
+    return base + "SELECT seq, round(" + " + ".join(f"{(1 - keep) * keep**k!r} * coalesce(lag({value}, {k}) OVER w, 0)" for k in range(terms)) + f", 6) AS rate FROM {over}"
+
+
+@query(_rate_sql(PLAIN + f", g AS ({_GATE}), l AS (SELECT *, coalesce(max(okc) OVER (PARTITION BY entity_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS last_c FROM g), m AS (SELECT *, c - last_c AS delta FROM l WHERE c > last_c) ", "delta", 0.1, 20, "m WINDOW w AS (PARTITION BY entity_id ORDER BY seq)"))
+def moving_rate(spark, d):
+    frames = facts(spark, d).select("seq", "entity_id", (F.col("seq") * 7919 % 10007 + 1).alias("dot_counter"))
+    gated = admission.rate_gate(frames, ["entity_id"], ["seq"], budget=8000)
+    return admission.moving_rate(gated, ["entity_id"], ["seq"]).select("seq", F.round("rate", 6).alias("rate"))
+
+
+@query(_rate_sql(f"WITH l AS (SELECT event_id AS seq, c - before AS jump FROM ({_CLOCK}) WHERE c > before) ", "jump", 0.9, 400, "l WINDOW w AS (ORDER BY seq)"))
+def inbound_rate(spark, d):
+    log = table(spark, d, "events").select(F.col("event_id").alias("seq"), (F.col("event_id") * 7919 % 10007 + F.col("event_id")).alias("dot_counter"))
+    return replica.inbound_rate(replica.lamport_clock(log, ["seq"]), ["seq"]).select("seq", F.round("rate", 6).alias("rate"))
+
+
 @query("SELECT event_id, CAST(event_id + ceil(value / 10 * 60) + 1000 AS BIGINT) AS bound FROM events")
 def skew_bound(spark, d):
     return table(spark, d, "events").select("event_id", admission.skew_bound(F.col("event_id"), F.col("value") / 10).alias("bound"))
@@ -707,3 +730,13 @@ def stream_rates(spark, d):
     rates = ingest.peer_rates(rows.select("entity_id", "dot_counter", "seq"), "entity_id", "dot_counter", "seq", 8000)
     ingest.drain(rates, lambda batch, _: batch.write.mode("append").parquet(path), new_path(spark, "stream-checkpoint"), "update")
     return spark.read.parquet(path).groupBy("entity_id").agg(F.max("kept").alias("kept"), F.max("dropped").alias("dropped"), F.max("last").alias("last"))
+
+
+@query(PLAIN + "SELECT count(*) AS n, max(dot_counter) AS lamport_high, max(dot_counter) + 1 AS cut_seq FROM facts")
+def snapshot_round_trip(spark, d):
+    rows, path = state(spark, d), new_path(spark, "snapshot")
+    high = rows.agg(F.max("dot_counter")).first()[0]
+    layout.write_snapshot(rows, path, replica.tree_root(rows).first().root, high, high + 1)
+    back, meta = layout.read_snapshot(spark, path)
+    ok = recovery.verify(back, meta["root"]).where("ok").select("root")
+    return back.join(F.broadcast(ok)).agg(F.count("*").alias("n"), F.lit(meta["lamport_high"]).alias("lamport_high"), F.lit(meta["cut_seq"]).alias("cut_seq"))

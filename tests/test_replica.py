@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronoset.engine import Engine, NotFound
 from chronoset.operators import admission, recovery, replica, sketch
@@ -55,11 +56,15 @@ def test_roots(spark):
 def test_sketch_finds_the_difference(spark):
     keys = lambda lo, hi: spark.range(lo, hi).selectExpr("xxhash64(id) AS key")
     diff = sketch.subtract(sketch.iblt(keys(0, 3000)), sketch.iblt(keys(40, 3030)))
-    found, whole = sketch.peel(diff)
+    found, left = sketch.peel(diff)
     want = {(r.key, 1) for r in keys(0, 40).collect()} | {(r.key, -1) for r in keys(3000, 3030).collect()}
-    assert whole and {tuple(r) for r in found.collect()} == want
-    _, whole = sketch.peel(sketch.subtract(sketch.iblt(keys(0, 5000)), sketch.iblt(keys(5000, 9000))))
-    assert not whole
+    assert left.isEmpty() and {tuple(r) for r in found.collect()} == want
+    _, left = sketch.peel(sketch.subtract(sketch.iblt(keys(0, 5000)), sketch.iblt(keys(5000, 9000))))
+    assert not left.isEmpty()
+    same = sketch.strata(keys(0, 500))
+    assert sketch.estimate(same, same).first()[0] == 0
+    assert sketch.estimate(sketch.strata(keys(0, 520)), sketch.strata(keys(10, 500))).first()[0] == 30
+    assert 3000 < sketch.estimate(sketch.strata(keys(0, 6000)), sketch.strata(keys(0, 100))).first()[0] < 12000
 
 
 def test_hash_dot(spark):
@@ -142,3 +147,15 @@ def test_engine(spark, tmp_path):
     rows, truncated = engine.range(0, 5000, 5000, "a", 1)
     assert rows.count() == 1 and truncated
     assert layout.read_facts(spark, engine.compact(10_000), "a").count() == 2
+
+
+def test_moving_average_over_blocks(spark):
+    from chronoset.operators.ordered import moving_average
+
+    rnd = random.Random(9)
+    rows = [("k", n, rnd.random() * 100) for n in range(3000)]
+    got = {r.o: r.r for r in moving_average(spark.createDataFrame(rows, "k string, o long, v double"), ["k"], ["o"], F.col("v"), 0.9, "r").collect()}
+    rate = 0.0
+    for _, n, v in rows:
+        rate = 0.9 * rate + 0.1 * v
+        assert abs(got[n] - rate) < 1e-9
