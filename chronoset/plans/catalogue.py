@@ -84,12 +84,13 @@ def as_of_entity(spark, d):
     + f""", coords AS (SELECT o_orderkey AS coord_id, 'user-' || CAST(o_custkey AS VARCHAR) AS entity_id, {LO} + (o_orderkey % 20) * {DAY_NS} AS valid_ns, {TX} + (o_orderkey % 9) * {DAY_NS} AS tx_ns FROM orders),
 j AS (SELECT c.coord_id, c.entity_id, c.valid_ns, c.tx_ns, f.system_time_ns, f.dot_node_id, f.dot_counter, row_number() OVER (PARTITION BY c.coord_id ORDER BY f.system_time_ns DESC, f.tier_rank, f.valid_time_start_ns, f.assertion_time_ns, f.dot_node_id, f.dot_counter) AS r
   FROM coords c LEFT JOIN facts f ON c.entity_id = f.entity_id AND f.system_time_ns <= c.tx_ns AND f.system_time_ns > 0 AND f.valid_time_start_ns <= c.valid_ns AND f.valid_time_end_ns > c.valid_ns)
-SELECT coord_id, entity_id, valid_ns, tx_ns, system_time_ns, dot_node_id, dot_counter FROM j WHERE r = 1"""
+SELECT coord_id, entity_id, valid_ns, tx_ns, coalesce(system_time_ns, -1) AS system_time_ns, dot_node_id, coalesce(dot_counter, -1) AS dot_counter FROM j WHERE r = 1"""
 )
 def as_of_join(spark, d):
     k = F.col("o_orderkey")
     coords = table(spark, d, "orders").select(k.alias("coord_id"), F.concat(F.lit("user-"), F.col("o_custkey").cast("string")).alias("entity_id"), (F.lit(LO) + k % 20 * DAY_NS).alias("valid_ns"), (F.lit(TX) + k % 9 * DAY_NS).alias("tx_ns"))
-    return temporal.as_of_join(coords, facts(spark, d)).select("coord_id", "entity_id", "valid_ns", "tx_ns", "system_time_ns", "dot_node_id", "dot_counter")
+    found = temporal.as_of_join(coords, facts(spark, d))
+    return found.select("coord_id", "entity_id", "valid_ns", "tx_ns", F.coalesce("system_time_ns", F.lit(-1)).alias("system_time_ns"), "dot_node_id", F.coalesce("dot_counter", F.lit(-1)).alias("dot_counter"))
 
 
 _WINDOW = f"system_time_ns <= {TX} AND valid_time_start_ns < {HI} AND valid_time_end_ns > {LO}"
@@ -515,20 +516,21 @@ def rate_gate(spark, d):
 
 
 def _rate_sql(base: str, value: str, keep: float, terms: int, over: str) -> str:
-    return base + "SELECT seq, round(" + " + ".join(f"{(1 - keep) * keep**k!r} * coalesce(lag({value}, {k}) OVER w, 0)" for k in range(terms)) + f", 6) AS rate FROM {over}"
+    # exact decimals may end in 5 at the seventh place: 1e-9 rounds them alike in both engines
+    return base + "SELECT seq, round(" + " + ".join(f"{(1 - keep) * keep**k!r} * coalesce(lag({value}, {k}) OVER w, 0)" for k in range(terms)) + f" + 1e-9, 6) AS rate FROM {over}"
 
 
 @query(_rate_sql(PLAIN + f", g AS ({_GATE}), l AS (SELECT *, coalesce(max(okc) OVER (PARTITION BY entity_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS last_c FROM g), m AS (SELECT *, c - last_c AS delta FROM l WHERE c > last_c) ", "delta", 0.1, 20, "m WINDOW w AS (PARTITION BY entity_id ORDER BY seq)"))
 def moving_rate(spark, d):
     frames = facts(spark, d).select("seq", "entity_id", (F.col("seq") * 7919 % 10007 + 1).alias("dot_counter"))
     gated = admission.rate_gate(frames, ["entity_id"], ["seq"], budget=8000)
-    return admission.moving_rate(gated, ["entity_id"], ["seq"]).select("seq", F.round("rate", 6).alias("rate"))
+    return admission.moving_rate(gated, ["entity_id"], ["seq"]).select("seq", F.round(F.col("rate") + 1e-9, 6).alias("rate"))
 
 
 @query(_rate_sql(f"WITH l AS (SELECT event_id AS seq, c - before AS jump FROM ({_CLOCK}) WHERE c > before) ", "jump", 0.9, 400, "l WINDOW w AS (ORDER BY seq)"))
 def inbound_rate(spark, d):
     log = table(spark, d, "events").select(F.col("event_id").alias("seq"), (F.col("event_id") * 7919 % 10007 + F.col("event_id")).alias("dot_counter"))
-    return replica.inbound_rate(replica.lamport_clock(log, ["seq"]), ["seq"]).select("seq", F.round("rate", 6).alias("rate"))
+    return replica.inbound_rate(replica.lamport_clock(log, ["seq"]), ["seq"]).select("seq", F.round(F.col("rate") + 1e-9, 6).alias("rate"))
 
 
 @query("SELECT event_id, CAST(event_id + ceil(value / 10 * 60) + 1000 AS BIGINT) AS bound FROM events")
