@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import WordHashes, mixed, shingles, stored, table, text_of, words
 
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.999, 5
-BLOCK = 1024
+#: Classes of a group that are compared with as many others in one task.
+BLOCK = 256
 #: Stands for a null id where the smallest is sought.
 NO_ID = (1 << 63) - 1
 #: Columns of an incidence matrix that are in memory at once.
