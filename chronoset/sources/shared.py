@@ -7,12 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The temporary folder of a session without spark.checkpoint.dir, as in tests.
+_OWN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = tempfile.mkdtemp(prefix="chronoset-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="chronoset-"))
+        found = _OWN[0]
     return found.rstrip("/")
 
 
