@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 #: Lower-cased UTF-8 bytes to the same bytes with ASCII punctuation, white space and controls as blanks.
 _BLANK = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
+#: The temporary folder of a session without spark.checkpoint.dir, as in tests.
+_OWN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors see; a temporary one only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = tempfile.mkdtemp(prefix="chronoset-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="chronoset-"))
+        found = _OWN[0]
     return found.rstrip("/")
 
 
