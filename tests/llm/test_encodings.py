@@ -138,6 +138,9 @@ def test_html_blocks():
         page("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>"): "a b c d",
         page("<article><p>short</p></article><article><p>the long one</p></article>"): "the long one",
         page("<article><p class='ad'>buy</p><p class='address'>kept</p></article>"): "kept",
+        page("<div class='page has-sidebar no-nav'><main class='content-nav'><article class='post'><header><h1>T</h1></header><p>x</p><div class='ad-banner'>b</div></article></main><div class='left-sidebar'>s</div></div>"): "T x",
+        page("<main><article><p>x</p></article><section class='reader-comments'><article><p>a long comment by someone</p></article></section></main>"): "x",
+        page("<header>site</header><div class='site-header'>site</div><div class='cookie-notice'>c</div><p>x</p>"): "x",
         "": "",
         "plain text": "plain text",
         page("<article><p>never closed"): "never closed",
