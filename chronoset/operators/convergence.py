@@ -61,3 +61,15 @@ def per_second(counts: DataFrame, keys: list[str], order: str, value: str = "n")
     """counts with `pps`: the growth of a counter since the key's row before, over the seconds between; null at first."""
     w = Window.partitionBy(*keys).orderBy(order)
     return counts.withColumn("pps", (F.col(value) - F.lag(value).over(w)) / (F.col(order) - F.lag(order).over(w)))
+
+
+def false_pass(keys: Column, failed: Column, root: Column) -> Column:
+    """Why equal roots prove nothing, null if they do: every insert failed, or the root is that of nothing."""
+    return F.when((keys > 0) & (failed >= keys), "all inserts failed").when(root.isNull() | (root == "0" * 64), "zero root")
+
+
+def disturbed(delta: DataFrame, key: list[str], seed: int, drop: float, duplicate: float) -> DataFrame:
+    """delta as a bad network gives it: a share of rows lost, a share twice; which ones depends on seed and key alone."""
+    draw = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1_000_000)) / 1_000_000
+    copies = F.when(draw < drop, 0).when(draw < drop + duplicate, 2).otherwise(1)
+    return delta.select("*", F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy")).drop("_copy")

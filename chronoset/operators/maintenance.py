@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +46,12 @@ def compaction_candidates(files: DataFrame, at_least: int = COMPACT_AT) -> DataF
     return files.groupBy("hash8").agg(F.count("*").alias("n")).where(F.col("n") >= at_least)
 
 
-def compact(facts: DataFrame, horizon_ns: int = 0) -> DataFrame:
-    """All flushed rows of each entity, pruned if a horizon is given, as compacted rows. Rows that were not read are not in it."""
+def compact(facts: DataFrame, horizon_ns: int = 0, prune: bool | None = None) -> DataFrame:
+    """All flushed rows of each entity as compacted rows, pruned if asked for or if a horizon is given. Rows that were not read are not in it."""
+    if prune and horizon_ns <= 0:
+        warnings.warn("pruning needs a horizon above 0; every row is kept", stacklevel=2)
+    if prune is False:
+        horizon_ns = 0
     return dominance_prune(facts, horizon_ns).withColumn("tier_rank", F.lit(0))
 
 

@@ -68,3 +68,14 @@ def rebuild(image: DataFrame, log: DataFrame, node: str) -> DataFrame:
 def verify(rebuilt: DataFrame, expected_root: str) -> DataFrame:
     """One row: the rebuilt state's root, and whether it is the expected one."""
     return replica.tree_root(rebuilt).select("root", (F.col("root") == expected_root).alias("ok"))
+
+
+def image_bound(checkpoint: DataFrame, root: str, cut_seq: int) -> DataFrame:
+    """One row: whether an image with this root and cut is the one that the last checkpoint (merkle_root, cut_seq) names."""
+    return checkpoint.agg(F.coalesce(F.bool_or((F.col("merkle_root") == root) & (F.col("cut_seq") == cut_seq)), F.lit(False)).alias("bound"))
+
+
+def legacy_entries(log: DataFrame) -> DataFrame:
+    """Mutations of old records, which kept digest, dot and system time alone: the other fields are 0 or the dot's node."""
+    zero = F.lit(0).cast("long")
+    return log.where(F.col("type") == MUTATION).select("entity_id", "dot_node_id", "dot_counter", F.col("dot_node_id").alias("origin_node_id"), "system_time_ns", *(zero.alias(c) for c in ("valid_time_start_ns", "valid_time_end_ns", "assertion_time_ns", "decision_time_ns", "h3_index")), "payload_digest")

@@ -115,3 +115,10 @@ def lamport_clock(log: DataFrame, order: list[str], counter: str = "dot_counter"
 def inbound_rate(clocked: DataFrame, order: list[str]) -> DataFrame:
     """The rows that advanced the clock, with `rate`: 0.9 of the rate before and 0.1 of the jump."""
     return moving_average(clocked.where("jump > 0"), [], order, F.col("jump"), 0.9, "rate")
+
+
+def upsert(rows: DataFrame, updates: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """rows with `columns` taken from the update of the same keys, and the updates of new keys; one update a key, the largest."""
+    one = updates.groupBy(*keys).agg(F.max(F.struct(*columns)).alias("_u"))
+    joined = rows.join(one, keys, "full")
+    return joined.select(*keys, *(F.when(F.col("_u").isNotNull(), F.col(f"_u.{c}")).otherwise(F.col(c)).alias(c) for c in columns), *(c for c in rows.columns if c not in [*keys, *columns]))

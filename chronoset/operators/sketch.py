@@ -105,3 +105,15 @@ def estimate(left: DataFrame, right: DataFrame) -> DataFrame:
 def table_size(difference: int) -> int:
     """Cells for an expected difference."""
     return max(128, difference * 3 // 2)
+
+
+def delta_by_sketch(local: DataFrame, remote: DataFrame, cells: int = CELLS, hashes: int = HASHES) -> DataFrame:
+    """Rows of local (with dots and digests) that the owner of the table `remote` lacks; all of them if the tables don't peel whole.
+
+    Only tables and peeled keys are exchanged; the rows are found by a semi-join on their hashed dots.
+    """
+    keyed = local.withColumn("_key", hash_dot("dot_node_id", "dot_counter", "payload_digest"))
+    found, left = peel(subtract(iblt(keyed.select(F.col("_key").alias("key")), cells, hashes), remote), cells, hashes)
+    if not left.isEmpty():
+        return local
+    return keyed.join(found.where("side = 1").select(F.col("key").alias("_key")), "_key", "left_semi").drop("_key")

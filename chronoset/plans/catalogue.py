@@ -742,3 +742,45 @@ def snapshot_round_trip(spark, d):
     back, meta = layout.read_snapshot(spark, path)
     ok = recovery.verify(back, meta["root"]).where("ok").select("root")
     return back.join(F.broadcast(ok)).agg(F.count("*").alias("n"), F.lit(meta["lamport_high"]).alias("lamport_high"), F.lit(meta["cut_seq"]).alias("cut_seq"))
+
+
+@query(_SPLIT + f" SELECT {_ROW} FROM a WHERE seq NOT IN (SELECT seq FROM b) AND seq % 50 = 1")
+def sketch_delta(spark, d):
+    a, b = _two(spark, d)
+    both = a.join(b.select("seq"), "seq", "left_semi")  # the nodes share these, and node a has some more
+    more = replica.difference(a, b).where("seq % 50 = 1")
+    local = both.unionByName(more)
+    cells = max(sketch.CELLS, more.count() * 3)
+    return sketch.delta_by_sketch(local, sketch.iblt(_keys(both), cells), cells).select(*ROW)
+
+
+@query("WITH u AS (SELECT s_nationkey AS n_nationkey, max(s_name) AS m FROM supplier GROUP BY 1) SELECT coalesce(n.n_nationkey, u.n_nationkey) AS n_nationkey, coalesce(u.m, n.n_name) AS n_name FROM nation n FULL JOIN u ON n.n_nationkey = u.n_nationkey")
+def upsert(spark, d):
+    updates = table(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_name").alias("n_name"))
+    return replica.upsert(table(spark, d, "nation").select("n_nationkey", "n_name"), updates, ["n_nationkey"], ["n_name"])
+
+
+@query(PLAIN + ", " + _FILES + ", keep AS (SELECT key FROM files WHERE NOT readable ORDER BY first_sys DESC, key DESC LIMIT 1000) SELECT key FROM keep UNION ALL SELECT DISTINCT 'l1/' || hash8 || '/0.arrow' FROM files WHERE readable")
+def scan_plan(spark, d):
+    files, man = _files(spark, d), _manifests(spark, d)
+    return layout.scan_plan(man.select(F.col("l1_key").alias("key")).distinct(), files.select("key"), man)
+
+
+@query(PLAIN + "SELECT entity_id, dot_node_id, dot_counter FROM facts")
+def resent_after_loss(spark, d):
+    rows = state(spark, d)
+    heard = replica.join(rows.where("false"), convergence.disturbed(rows, ["entity_id", "dot_node_id", "dot_counter"], 7, 0.3, 0.2))
+    return replica.join(heard, replica.difference(rows, heard)).select("entity_id", "dot_node_id", "dot_counter")
+
+
+@query(f"SELECT 'user-' || CAST(user_id AS VARCHAR) AS entity_id, epoch_us(ts) * 1000 AS system_time_ns, epoch_us(ts) * 1000 - 5000 AS valid_time_start_ns, {OPEN_END} AS valid_time_end_ns, sha256(props) AS payload_digest FROM events WHERE value - 100 BETWEEN -90 AND 90")
+def edge_ingest(spark, d):
+    ns = src.micros("ts") * 1000
+    edge = table(spark, d, "events").select((F.col("value") - 100).alias("latitude"), F.lit(10.0).alias("longitude"), (ns - 5000).alias("assertion_time"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("entity_id"), F.col("props").alias("payload"), ns.alias("arrival"))
+    return src.facts_from_edge(edge, F.col("arrival")).select("entity_id", "system_time_ns", "valid_time_start_ns", "valid_time_end_ns", "payload_digest")
+
+
+@query(PLAIN + "SELECT entity_id, dot_counter, dot_node_id AS origin_node_id, system_time_ns, payload_digest, 0 AS valid_time_start_ns FROM facts WHERE seq % 64 NOT IN (25, 63)")
+def legacy_restore(spark, d):
+    kind = F.when((F.col("seq") % 64).isin(25, 63), recovery.CHECKPOINT).otherwise(recovery.MUTATION)
+    return recovery.legacy_entries(facts(spark, d).withColumn("type", kind)).select("entity_id", "dot_counter", "origin_node_id", "system_time_ns", "payload_digest", "valid_time_start_ns")

@@ -54,3 +54,12 @@ def stamp_inserts(requests: DataFrame, now_ns: Column) -> DataFrame:
     return requests.select(
         "*", now_ns.alias("system_time_ns"), start.alias("valid_time_start_ns"), end.alias("valid_time_end_ns"), now_ns.alias("assertion_time_ns"), F.sha2(F.coalesce("val", F.lit("")), 256).alias("payload_digest")
     )
+
+
+def facts_from_edge(events: DataFrame, arrival_ns: Column) -> DataFrame:
+    """Edge events (latitude, longitude, assertion_time, entity_id, payload) as facts: known from their arrival on, valid from
+    their assertion on. Events without an entity or with places off the globe are left out; the cell stays 0."""
+    sane = (F.coalesce("entity_id", F.lit("")) != "") & F.col("latitude").between(-90, 90) & F.col("longitude").between(-180, 180)
+    return events.where(sane).select(
+        "entity_id", arrival_ns.alias("system_time_ns"), F.col("assertion_time").alias("valid_time_start_ns"), F.lit(OPEN_END).alias("valid_time_end_ns"), F.col("assertion_time").alias("assertion_time_ns"), F.lit(0).cast("long").alias("h3_index"), F.sha2(F.coalesce("payload", F.lit("")), 256).alias("payload_digest"), "payload"
+    )

@@ -75,6 +75,18 @@ def newest_files(keys: DataFrame, most: int = 1000) -> DataFrame:
     return top.orderBy(first_sys(F.col("key")).desc_nulls_last(), F.col("key").desc()).limit(most).withColumn("capped", F.lit(n > most))
 
 
+def list_files(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """(key, length) of the files below path by name, temporary ones left out; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("key"), "length").orderBy("key")
+    return found if most is None else found.limit(most)
+
+
+def scan_plan(l1: DataFrame, l0: DataFrame, superseded: DataFrame, most: int = 1000) -> DataFrame:
+    """Keys that a read opens: all compacted files and the newest flushed ones that none replaces; if there are none, all flushed ones."""
+    chosen = l1.select("key").union(newest_files(surviving_l0(l0, superseded), most).select("key"))
+    return l0.select("key") if chosen.isEmpty() else chosen
+
+
 def parse_metrics(lines: DataFrame, prefix: str = "") -> DataFrame:
     """Prometheus text (value) -> (name, labels, sample): lines `name{labels} sample` whose name begins with the prefix."""
     pattern = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(\{[^}]*\})?\s+(\S+)"

@@ -159,3 +159,24 @@ def test_moving_average_over_blocks(spark):
     for _, n, v in rows:
         rate = 0.9 * rate + 0.1 * v
         assert abs(got[n] - rate) < 1e-9
+
+
+def test_small_rules(spark, tmp_path):
+    from chronoset.operators import convergence, maintenance
+
+    root = "a" * 64
+    rows = spark.createDataFrame([(3, 3, root), (3, 1, root), (3, 0, "0" * 64), (0, 0, root)], "keys long, failed long, root string")
+    assert [r[0] for r in rows.select(convergence.false_pass(rows.keys, rows.failed, rows.root)).collect()] == ["all inserts failed", None, "zero root", None]
+    ckpt = spark.createDataFrame([(root, 5)], "merkle_root string, cut_seq long")
+    assert [recovery.image_bound(ckpt, r, c).first().bound for r, c in ((root, 5), (root, 6), ("b", 5))] == [True, False, False]
+    facts = spark.createDataFrame([("e", 1, 0, 9), ("e", 2, 0, 9)], "entity_id string, system_time_ns long, valid_time_start_ns long, valid_time_end_ns long")
+    with pytest.warns(UserWarning):
+        assert maintenance.compact(facts, 0, prune=True).count() == 2
+    assert maintenance.compact(facts, 9).count() == 1 and maintenance.compact(facts, 9, prune=False).count() == 2
+    for k in range(3):
+        (tmp_path / f"f{k}.arrow").write_bytes(b"x" * k)
+    assert [r.length for r in layout.list_files(spark, str(tmp_path)).collect()] == [0, 1, 2]
+    assert layout.list_files(spark, str(tmp_path), 2).count() == 2
+    keys = spark.createDataFrame([("l0/a/1.arrow",)], "key string")
+    none = keys.where("false")
+    assert layout.scan_plan(none, keys, keys.withColumnRenamed("key", "l0_key")).count() == 1  # nothing is left: all of it
