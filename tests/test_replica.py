@@ -174,8 +174,8 @@ def test_small_rules(spark, tmp_path):
         assert maintenance.compact(facts, 0, prune=True).count() == 2
     assert maintenance.compact(facts, 9).count() == 1 and maintenance.compact(facts, 9, prune=False).count() == 2
     for k in range(3):
-        (tmp_path / f"f{k}.arrow").write_bytes(b"x" * k)
-    assert [r.length for r in layout.list_files(spark, str(tmp_path)).collect()] == [0, 1, 2]
+        (tmp_path / f"f{k}.arrow").write_bytes(b"x" * (k + 1))
+    assert [r.length for r in layout.list_files(spark, str(tmp_path)).collect()] == [1, 2, 3]
     assert layout.list_files(spark, str(tmp_path), 2).count() == 2
     keys = spark.createDataFrame([("l0/a/1.arrow",)], "key string")
     none = keys.where("false")
