@@ -131,7 +131,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, text: str = "text", lang: s
     """Fit on at most per_lang rows of each language. Ids are ranked first; only the picked rows' texts reach the driver."""
     usable = docs.where(F.coalesce(split_of(key, 3) != 1, F.lit(False))).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     ids = usable.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.xxhash64(F.col(key).cast("string")).alias("hash"))
-    for by in (["lang", F.pmod("hash", F.lit(64))], ["lang"]):  # first within shares of a language, so that none is ranked by one task alone
+    for by in (["lang", F.pmod("hash", F.lit(8))], ["lang"]):  # first within shares of a language, so that none is ranked by one task alone
         w = Window.partitionBy(*by).orderBy("hash", "key")
         ids = ids.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_lang).drop("rank")
     rows = usable.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).join(F.broadcast(ids.select("key").distinct()), "key").collect()
