@@ -16,7 +16,6 @@ A document shorter than the item is scored against the item's full length.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
