@@ -33,7 +33,8 @@ def test_sentencepiece_equals_the_library(spark):
         assert got[k]._n_tokens == len(got[k]._ids)
         assert hashlib.sha256(sp.decode(got[k]._ids).encode()).hexdigest() == got[k]._decoded_sha256
         assert got[k]._round_trip or "�" in sp.decode(got[k]._ids), repr(t[:80])
-    assert sentence_piece.tokenize(docs.where("text = '' OR text IS NULL")).where("_n_tokens = 0").count() == 2
+    bare = docs.where("text = '' OR text IS NULL")  # batches of empty texts alone
+    assert sentence_piece.tokenize(bare).where("_n_tokens = 0").count() == bare.count() > 1
     assert got[-1]._ids == [] and sentence_piece.tokenize(docs.where("false")).count() == 0
 
 
