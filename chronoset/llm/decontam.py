@@ -2,16 +2,18 @@
 
 The benchmark is taken in blocks of bounded size, each sent to all tasks and compared with all documents:
 1. One pass over the documents counts, for every word n-gram of the block's items, the documents that hold it.
-2. An item's seeds are its n-grams that are not more frequent than the item's median n-gram (ties included), so
-   that items whose every n-gram is frequent keep seeds.
+2. An item's seeds are all of its n-grams that occur. Rarity is their order only: an edited copy may hold any of them,
+   and those that many edited copies share are the frequent ones.
 3. A second pass finds seed hits, clusters them by diagonal, and aligns each cluster's window with the item:
-   +2 a matching word, -1 a mismatch or gap. score is the best alignment over the best that is possible.
+   +2 a matching word, -1 a mismatch or gap. score is the best alignment over the best that is possible. Clusters with the
+   rarest seed come first; one whose words cannot give more than the best so far, or the threshold, is not aligned.
 
 Nothing else leaves a task: one row per (document, item) with score >= threshold, that of its best window.
 
 Defined results: null or empty texts match nothing; items of fewer than n words are matched by one seed, all
 their words; items without words match nothing; each row of either side is treated alone, repeats included.
-A document shorter than the item is scored against the item's full length.
+A document shorter than the item is scored against the item's full length. A copy without a run of n unchanged words
+has no seed and is not found.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import table, words
 
-N, THRESHOLD, MIN_HITS = 3, 0.5, 2
+N, THRESHOLD, MIN_HITS = 3, 0.5, 1
 #: Most bytes of benchmark text that are sent to the tasks at once; a longer benchmark takes several passes.
 BLOCK_BYTES = 4_000_000
 MATCH, OTHER, GAP = 2, 1, 1
@@ -76,27 +78,27 @@ class Items:
 
 @dataclass
 class Seeds:
-    """Sorted keys of one n-gram length with their places: (item, position in the item)."""
+    """Sorted keys of one n-gram length with their places, (item, position in the item), and document counts."""
 
     size: int
     keys: np.ndarray
     item: np.ndarray
     at: np.ndarray
+    seen: np.ndarray
 
 
-def rare_seeds(items: Items, counts: dict[tuple[int, int], int]) -> list[Seeds]:
+def ranked_seeds(items: Items, counts: dict[tuple[int, int], int]) -> list[Seeds]:
     found: dict[int, list] = {}
     for k, ids in enumerate(items.words):
         size = min(items.n, len(ids))
         grams = items.grams(ids, size)
-        seen = np.array([counts.get((size, int(g)), 0) for g in grams])
-        rare = np.flatnonzero(seen <= np.median(seen))
-        found.setdefault(size, []).extend((int(grams[j]), k, int(j)) for j in rare)
+        seen = [counts.get((size, int(g)), 0) for g in grams]
+        found.setdefault(size, []).extend((int(g), k, j, n) for j, (g, n) in enumerate(zip(grams, seen, strict=True)) if n)
     out = []
     for size, rows in sorted(found.items()):
         rows.sort()
-        keys, item, at = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-        out.append(Seeds(size, keys, item, at))
+        if rows:
+            out.append(Seeds(size, *(np.array(x, np.int64) for x in zip(*rows, strict=True))))
     return out
 
 
@@ -117,8 +119,8 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int]:
     return best / (MATCH * len(item)), end
 
 
-def _hits(items: Items, seeds: list[Seeds], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(item, place in the document, place in the item) of every seed hit."""
+def _hits(items: Items, seeds: list[Seeds], ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(item, place in the document, place in the item, document count) of every seed hit."""
     parts = []
     for s in seeds:
         grams = items.grams(ids, s.size)
@@ -128,29 +130,42 @@ def _hits(items: Items, seeds: list[Seeds], ids: np.ndarray) -> tuple[np.ndarray
         places, low, count = places[some], low[some], (high - low)[some]
         if len(places):
             which = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-            parts.append((s.item[which], np.repeat(places, count), s.at[which]))
+            parts.append((s.item[which], np.repeat(places, count), s.at[which], s.seen[which]))
     if not parts:
-        return (np.empty(0, np.int64),) * 3
+        return (np.empty(0, np.int64),) * 4
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def _bound(item: np.ndarray, window: np.ndarray) -> float:
+    """No alignment scores more: every word that the two have in common matched, without a gap."""
+    kinds, needed = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(kinds, window), len(kinds) - 1)
+    held = np.bincount(at[kinds[at] == window], minlength=len(kinds))
+    return int(np.minimum(needed, held).sum()) / len(item)
+
+
 def matches(items: Items, seeds: list[Seeds], ids: np.ndarray, threshold: float, min_hits: int, cache: dict) -> list[tuple[int, float, int, int]]:
     """(item, score, first word, last word + 1) for each item with an alignment of at least the threshold."""
-    item, place, at = _hits(items, seeds, ids)
+    item, place, at, seen = _hits(items, seeds, ids)
     if not len(item):
         return []
     diagonal = place - at
     order = np.lexsort((diagonal, item))
-    item, diagonal = item[order], diagonal[order]
+    item, diagonal, seen = item[order], diagonal[order], seen[order]
     cuts = np.flatnonzero((np.diff(item) != 0) | (np.diff(diagonal) > SLACK)) + 1
     best: dict[int, tuple[float, int, int]] = {}
-    for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(item)], strict=True):
+    starts, stops = np.r_[0, cuts], np.r_[cuts, len(item)]
+    for c in np.argsort(np.minimum.reduceat(seen, starts), kind="stable"):
+        lo, hi = starts[c], stops[c]
         k = int(item[lo])
         length = len(items.words[k])
         if hi - lo < min(min_hits, max(1, (length - items.n + 1) // 4)):
             continue
         start, stop = max(0, int(diagonal[lo]) - SLACK), min(len(ids), int(diagonal[hi - 1]) + length + SLACK)
         window = ids[start:stop]
+        most = _bound(items.words[k], window)
+        if most < threshold or most <= best.get(k, (0.0,))[0]:
+            continue
         if (score := cache.get(name := (k, window.tobytes()))) is None:
             if len(cache) > 20_000:
                 cache.clear()
@@ -208,7 +223,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, n: int = N, threshold: float =
         items = Items.of(rows, n)
         if not items.words:
             continue
-        seeds = rare_seeds(items, _count(docs, items, text))
+        seeds = ranked_seeds(items, _count(docs, items, text))
         shared = docs.sparkSession.sparkContext.broadcast((items, seeds))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

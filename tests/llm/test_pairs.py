@@ -150,3 +150,26 @@ def test_leaks_whole_edited_and_repeated(spark):
     hit = next(r for r in found if r.doc_key == 1)
     assert (hit.first_word, hit.last_word) == (50, 80)
     assert {r.doc_id for r in decontam.drop_leaks(frame(spark, docs), bench).collect()} == {0, 4}
+
+
+@pytest.mark.parametrize("copies", [1, 300])
+def test_leaks_of_edited_copies_against_brute_force(spark, copies):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghijkl") for _ in range(5))
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [(k, text(30)) for k in range(6)] + [(6, text(10))]
+
+    def edited(item, every):
+        return " ".join(word() if k % every == every - 1 else w for k, w in enumerate(item.split()))
+
+    docs = [(k * 1000 + c, f"{text(20)} {edited(items[k][1], every)} {text(20)}") for k, every in ((0, 4), (1, 5), (2, 4), (3, 5), (6, 4)) for c in range(copies)]
+    docs += [(9000 + k, f"{text(20)} {items[k][1]}") for k in (2, 3)]  # beside a verbatim copy, the lost n-grams occur too
+    docs += [(9100, f"{' '.join(items[4][1].split()[:14])} {text(30)}"), (9101, f"{text(9)} {' '.join(items[5][1].split()[:16])}")]
+    want = {}
+    for d, t in docs:
+        for i, x in items:
+            common = set(x.split()) & set(t.split())
+            if len(common) >= 2 and (score := slow_align(x.split(), t.split())) >= 0.5:
+                want[d, i] = round(score, 9)
+    found = decontam.find_leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_key, r.item_key): round(r.score, 9) for r in found} == want and len(found) == len(want) == 5 * copies + 3
