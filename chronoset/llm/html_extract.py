@@ -2,8 +2,10 @@
 
 Each host has a pivot page (that with the smallest hash of url and html). Every page's tree of block elements is aligned
 with its host's pivot by simple tree matching, so that each of its runs of text belongs to a node of the pivot or to
-none. Counted over all pages of the host, a node whose runs are nearly always the pivot's is template; the others are slots.
-A host without any slot (all pages alike, or too few pages) has no template, for want of contrast.
+none. Counted over all different pages of the host, a node that most of them hold and whose runs are nearly always the
+pivot's is template; the others are slots. Pages of the same article text are one page here, so that copies of a page
+make no template of its text. A host without any slot (all pages alike, or too few pages) has no template, for want of
+contrast.
 
 Page text then comes from the page's article: the largest <article> or <main>, or else the whole body without
 runs that are mostly links; menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles
@@ -11,7 +13,7 @@ are left out by element, role and class; template runs are left out by the wrapp
 white space inside a run becomes one space, runs are joined in page order by one space.
 
 Pages are parsed once. Pivots go to the tasks by broadcast where their total size is below `broadcast_bytes`, otherwise by a
-join on the host, where Spark splits skewed hosts; the counts per node are combined before they are shuffled.
+join on the host, where Spark splits skewed hosts; copies, and then the counts per node, are combined before they are shuffled.
 
 Defined results: null or empty html, and pages without an article's text, give the empty string; a null or odd url is a host
 of its own name (''); each row is a page, repeated rows included; unclosed and misnested elements are closed as
@@ -33,6 +35,10 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 MIN_PAGES, SAME = 5, 0.9
+#: Least share of a host's different pages that must hold a template node.
+HELD = 0.5
+#: In place of a node: the whole page.
+WHOLE = -2
 BROADCAST_BYTES = 32_000_000
 #: Most cells of one table of the tree matching; longer lists of children are first matched in order by tag.
 CELLS = 250_000
@@ -278,29 +284,50 @@ def runs_of(html: str, pivot: tuple[Tree, list[set[int]]]) -> list[tuple[int, bo
 
 
 _RUNS = pa.list_(pa.struct([("node", pa.int32()), ("same", pa.bool_()), ("text", pa.string())]))
+_NODES = pa.list_(pa.struct([("node", pa.int32()), ("n", pa.int32()), ("same", pa.int32())]))
+
+
+def _nodes(runs: list[tuple[int, bool, str]]) -> list[dict]:
+    """Per node of the pivot: how many runs the page has there, and how many of them are the pivot's."""
+    found: dict[int, list[int]] = {}
+    for node, same, _ in runs:
+        counts = found.setdefault(node, [0, 0])
+        counts[0] += 1
+        counts[1] += same
+    return [{"node": k, "n": n, "same": same} for k, (n, same) in found.items()]
+
+
+def _digest(runs: list[tuple[int, bool, str]]) -> int:
+    return int.from_bytes(xxhash.xxh64_digest("\n".join(t for _, _, t in runs).encode("utf-8", "replace")), "big", signed=True)
 
 
 def aligned_runs(pages: DataFrame, pivots: DataFrame) -> DataFrame:
-    """(page_id, url, host, runs) of each page."""
+    """(page_id, url, host, runs, digest of their text, nodes) of each page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
-                batch, found = whole.slice(at, 500), []
+                batch, found, digests, nodes = whole.slice(at, 500), [], [], []
                 for host, html, pivot in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
                     host, html = host.as_py(), html.as_py()
                     if not html:
                         found.append([])
+                        digests.append(0)
+                        nodes.append([])
                         continue
                     if host not in known:
                         if len(known) > 2000:
                             known.clear()
                         known[host] = _pivot(pivot.as_py())
-                    found.append([{"node": n, "same": s, "text": t} for n, s, t in runs_of(html, known[host])])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, _RUNS)], ["page_id", "url", "host", "runs"])
+                    runs = runs_of(html, known[host])
+                    found.append([{"node": n, "same": s, "text": t} for n, s, t in runs])
+                    digests.append(_digest(runs))
+                    nodes.append(_nodes(runs))
+                columns = [*batch.columns[:3], pa.array(found, _RUNS), pa.array(digests, pa.int64()), pa.array(nodes, _NODES)]
+                yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "runs", "digest", "nodes"])
 
-    return pages.join(pivots, "host", "left").select("page_id", "url", "host", "html", "pivot").mapInArrow(run, "page_id long, url string, host string, runs array<struct<node: int, same: boolean, text: string>>")
+    return pages.join(pivots, "host", "left").select("page_id", "url", "host", "html", "pivot").mapInArrow(run, "page_id long, url string, host string, runs array<struct<node: int, same: boolean, text: string>>, digest long, nodes array<struct<node: int, n: int, same: int>>")
 
 
 def pivots_of(pages: DataFrame) -> DataFrame:
@@ -314,7 +341,7 @@ def pivots_of(pages: DataFrame) -> DataFrame:
     return first.select("host", "first.html").mapInArrow(run, "host string, pivot string")
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, same: float = SAME, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, same: float = SAME, held: float = HELD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(page_id, url, text) of every page."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.col(html).alias("html"))
@@ -322,9 +349,12 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     bytes_ = pivots.agg(F.coalesce(F.sum(F.length("pivot") + F.length("host")), F.lit(0))).first()[0]
     small = bytes_ <= broadcast_bytes
     found = stored(aligned_runs(rows, F.broadcast(pivots) if small else pivots), "runs")
-    node = found.select("host", F.explode("runs").alias("r")).groupBy("host", "r.node").agg(F.count("*").alias("n"), F.sum(F.col("r.same").cast("long")).alias("same"))
-    constant = (F.col("node") >= 0) & (F.col("n") >= min_pages) & (F.col("same") >= same * F.col("n"))
-    wrapper = node.groupBy("host").agg(F.collect_list(F.when(constant, F.col("node"))).alias("template"), F.count_if(~constant).alias("slots"))
+    different = found.where("size(nodes) > 0").groupBy("host", "digest").agg(F.min("nodes").alias("nodes"))
+    whole = F.array(F.struct(F.lit(WHOLE).alias("node"), F.lit(0).alias("n"), F.lit(0).alias("same")))
+    node = different.select("host", F.explode(F.concat(whole, "nodes")).alias("r")).groupBy("host", "r.node").agg(F.count("*").alias("pages"), F.sum("r.n").alias("n"), F.sum("r.same").alias("same"))
+    wrapper = node.groupBy("host").agg(F.max(F.when(F.col("node") == WHOLE, F.col("pages"))).alias("pages"), F.collect_list(F.when(F.col("node") != WHOLE, F.struct("node", "pages", "n", "same"))).alias("nodes"))
+    constant = lambda r: (r.node >= 0) & (r.pages >= min_pages) & (r.pages >= held * F.col("pages")) & (r.same >= same * r.n)
+    wrapper = wrapper.select("host", F.transform(F.filter("nodes", constant), lambda r: r.node).alias("template"), F.size(F.filter("nodes", lambda r: ~constant(r))).alias("slots"))
     wrapper = stored(wrapper.where("slots > 0 AND size(template) > 0").select("host", "template"), "wrappers")
     joined = found.join(F.broadcast(wrapper) if small else wrapper, "host", "left")
     kept = F.when(F.col("template").isNull(), F.col("runs")).otherwise(F.filter("runs", lambda r: ~(r.same & F.array_contains("template", r.node))))

@@ -168,6 +168,22 @@ def test_html_template_is_learned(spark):
     assert html_extract.extract(pages_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("copies, others", [(6, 20), (40, 1)])
+def test_html_copies_make_no_template(spark, copies, others):
+    words = lambda name, n: [f"{name} paragraph {k}" for k in range(n)]
+    article = lambda paragraphs: page("<article><div>Read this first</div>" + "".join(f"<p>{p}</p>" if len(paragraphs) > 3 else f"<p>{p}</p><ul><li>own {p}</li></ul>" for p in paragraphs) + "</article>")
+    template = "" if others >= 5 else "Read this first "
+    rows, want = [], {}
+    for h in range(12):  # whichever page is the pivot
+        bodies = [words(f"long{h}", 9)] * copies + [words(f"short{h} {k}", 3) for k in range(others)]
+        for k, body in enumerate(bodies):
+            rows.append((h * 100 + k, f"http://host{h}.example/{k}", article(body)))
+            want[h * 100 + k] = template + " ".join(body if len(body) > 3 else [f"{p} own {p}" for p in body])
+    for broadcast_bytes in (html_extract.BROADCAST_BYTES, 0):
+        got = html_extract.extract(pages_of(spark, rows), broadcast_bytes=broadcast_bytes).collect()
+        assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want
+
+
 def test_long_child_lists_are_matched_in_order():
     a = html_extract.parse(page("<article>" + "<div><p>x</p></div><p>y</p>" * 600 + "</article>"))
     b = html_extract.parse(page("<article><h1>t</h1>" + "<div><p>x</p></div><p>y</p>" * 600 + "</article>"))
