@@ -1,7 +1,7 @@
 """Set-difference sketches: invertible Bloom lookup tables and strata estimators, built as aggregations.
 
-Keys are 64-bit hashes of a dot and its payload digest. Cells are (count, xor of keys, xor of check hashes). Tables have at
-most some 100,000 cells, whatever the size of the set, so that peeling is a small task.
+Keys are 64-bit hashes of a dot and its payload digest. Cells are (count, xor of keys, xor of check hashes). Tables have a
+bounded number of cells; a larger difference takes more tables, which are peeled side by side.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from ..sources.shared import stored
 CELLS, HASHES = 1024, 4
 STRATA, STRATUM_CELLS, STRATUM_HASHES = 32, 80, 3
 MAX_CELLS = 699_050
+#: Cells of each of the tables to which keys are dealt.
+SHARD_CELLS = 16_384
 
 
 @F.pandas_udf(LongType())
@@ -107,13 +109,36 @@ def table_size(difference: int) -> int:
     return max(128, difference * 3 // 2)
 
 
-def delta_by_sketch(local: DataFrame, remote: DataFrame, cells: int = CELLS, hashes: int = HASHES) -> DataFrame:
-    """Rows of local (with dots and digests) that the owner of the table `remote` lacks; all of them if the tables don't peel whole.
+def shards_for(difference: int, cells: int = SHARD_CELLS) -> int:
+    """How many tables an expected difference takes, with three cells a key."""
+    return max(1, -(-3 * difference // cells))
 
-    Only tables and peeled keys are exchanged; the rows are found by a semi-join on their hashed dots.
+
+def difference(left: DataFrame, right: DataFrame, cells: int = SHARD_CELLS, hashes: int = HASHES, shards: int | None = None) -> DataFrame:
+    """(key, side) of two sets of keys, whole: side 1 for keys of the left alone and -1 for those of the right.
+
+    Keys are dealt by hash to tables of one size, as many as the strata estimate asks for, and all tables are peeled at once.
+    Keys of a table that does not peel whole are compared themselves.
+    """
+    n = shards_for(estimate(strata(left), strata(right)).first()[0], cells) if shards is None else shards
+    dealt = lambda keys: keys.select("key", F.pmod(F.xxhash64(F.lit("shard"), "key"), F.lit(n)).cast("int").alias("shard"))
+    left, right, by = dealt(left), dealt(right), ["shard"]
+    found, rest = peel(subtract(iblt(left, cells, hashes, by), iblt(right, cells, hashes, by), by), cells, hashes, by=by)
+    broken = stored(rest.select("shard").distinct(), "broken")
+    if broken.isEmpty():
+        return found.select("key", "side")
+    left, right = left.join(broken, "shard", "left_semi").select("key"), right.join(broken, "shard", "left_semi").select("key")
+    alone = lambda a, b, side: a.join(b, "key", "left_anti").select("key", F.lit(side).cast("long").alias("side"))
+    return found.join(broken, "shard", "left_anti").select("key", "side").unionByName(alone(left, right, 1)).unionByName(alone(right, left, -1))
+
+
+def delta_by_sketch(local: DataFrame, remote: DataFrame, cells: int = SHARD_CELLS, hashes: int = HASHES, shards: int | None = None) -> DataFrame:
+    """Rows of local that remote lacks, both with dots and digests.
+
+    Only tables and peeled keys are exchanged, and the keys of tables that don't peel whole; the rows are found by a semi-join
+    on their hashed dots.
     """
     keyed = local.withColumn("_key", hash_dot("dot_node_id", "dot_counter", "payload_digest"))
-    found, left = peel(subtract(iblt(keyed.select(F.col("_key").alias("key")), cells, hashes), remote), cells, hashes)
-    if not left.isEmpty():
-        return local
+    other = remote.select(hash_dot("dot_node_id", "dot_counter", "payload_digest").alias("key"))
+    found = difference(keyed.select(F.col("_key").alias("key")), other, cells, hashes, shards)
     return keyed.join(found.where("side = 1").select(F.col("key").alias("_key")), "_key", "left_semi").drop("_key")

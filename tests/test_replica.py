@@ -67,6 +67,14 @@ def test_sketch_finds_the_difference(spark):
     assert 3000 < sketch.estimate(sketch.strata(keys(0, 6000)), sketch.strata(keys(0, 100))).first()[0] < 12000
 
 
+@pytest.mark.parametrize("cells, shards", [(256, None), (256, 2), (sketch.SHARD_CELLS, None)])
+def test_sketch_gives_the_whole_delta(spark, cells, shards):
+    rows = spark.range(3000).selectExpr("id AS seq", "lpad(CAST(id % 4 AS STRING), 32, '0') AS dot_node_id", "id + 1 AS dot_counter", "sha2(CAST(id AS STRING), 256) AS payload_digest")
+    a, b = rows.where("seq % 5 <> 0"), rows.where("seq % 3 <> 1")  # with two tables of 256 cells, none peels whole
+    got = [r.seq for r in sketch.delta_by_sketch(a, b, cells=cells, shards=shards).collect()]
+    assert sorted(got) == [k for k in range(3000) if k % 5 and k % 3 == 1]
+
+
 def test_hash_dot(spark):
     def fnv(data):
         h = 0xCBF29CE484222325
