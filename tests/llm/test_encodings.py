@@ -1,4 +1,4 @@
-"""Exact round trips and library comparisons: SentencePiece, token counts, WARC, media, HTML."""
+"""Exact round trips and library comparisons: SentencePiece, token counts, WARC, media."""
 
 import hashlib
 import io
@@ -9,7 +9,7 @@ import zlib
 import pytest
 from oracle import SMALL
 
-from chronoset.llm import html_extract, media, sentence_piece, token_counts, warc
+from chronoset.llm import media, sentence_piece, token_counts, warc
 
 ODD = ["", " ", "  ", "a", " a", "\n", "\n\n a  b", "a" * 3000, "▁", "<0x41>", "<s>", "=" * 80, " " * 39 + "x", "日本語😀 é\x00\x07", "<|endoftext|> x", "'s it's\r\n\t x y z"]
 
@@ -121,70 +121,3 @@ def test_media(spark):
         assert r._pairs == sorted(r._pairs) and r._feature.startswith(f"{len(r._pairs)}:")
     assert got[4]._feature == got[5]._feature != got[6]._feature and got[0]._media == got[1]._media
     assert len(got[6]._pairs) > 10 and media.media_columns(docs.where("false")).count() == 0
-
-
-def page(body, head=""):
-    return f"<html><head><title>t</title>{head}</head><body>{body}</body></html>"
-
-
-def test_html_blocks():
-    pivot = html_extract._pivot(html_extract.skeleton(page("<article><p>x</p></article>")))
-    text = lambda html: " ".join(t for _, _, t in html_extract.runs_of(html, pivot))
-    cases = {
-        page("<nav>menu</nav><article><h1>A &amp; B</h1><p>one<b>two</b>\n three&nbsp;four<br>five<p>six</article><footer>f</footer>"): "A & B onetwo three four five six",
-        page("<div class='sidebar'>s</div><main><p>x</p><div id=comments><p>c</p></div><form>f</form></main>"): "x",
-        page("<p>no article</p><ul><li><a href=x>link</a></li></ul><p>text <a href=y>l</a></p>"): "no article text l",
-        page("<article>a<script>var x = '<p>no</p>';</script><style>p{}</style><!-- c <p>no</p> -->b</article>"): "ab",
-        page("<article><p>1 < 2 &lt; 3 &#x41;&#66;</p></article>"): "1 < 2 < 3 AB",
-        page("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>"): "a b c d",
-        page("<article><p>short</p></article><article><p>the long one</p></article>"): "the long one",
-        page("<article><p class='ad'>buy</p><p class='address'>kept</p></article>"): "kept",
-        page("<div class='page has-sidebar no-nav'><main class='content-nav'><article class='post'><header><h1>T</h1></header><p>x</p><div class='ad-banner'>b</div></article></main><div class='left-sidebar'>s</div></div>"): "T x",
-        page("<main><article><p>x</p></article><section class='reader-comments'><article><p>a long comment by someone</p></article></section></main>"): "x",
-        page("<header>site</header><div class='site-header'>site</div><div class='cookie-notice'>c</div><p>x</p>"): "x",
-        "": "",
-        "plain text": "plain text",
-        page("<article><p>never closed"): "never closed",
-        page("<article><p>x<script>never closed"): "x",
-    }
-    for html, want in cases.items():
-        assert text(html) == want, html
-
-
-def test_html_template_is_learned(spark):
-    rnd = random.Random(6)
-    words = lambda n: " ".join(rnd.choice(("lorem", "ipsum", "dolor", "sit", "amet")) + str(rnd.randrange(99)) for _ in range(n))
-    rows, want = [], {}
-    for k in range(30):
-        body = [words(12) for _ in range(rnd.randrange(1, 6))]
-        want[k] = " ".join(body)
-        rows.append((k, f"https://user@Site.example:80/{k}", page("<div class=top>Welcome</div><div><p>Read this first, all of you</p>" + "".join(f"<p>{b}</p>" for b in body) + "</div><div>Nothing more</div>")))
-    rows += [(100 + k, "http://same.example/", page("<article><p>all alike</p></article>")) for k in range(9)]
-    rows += [(200, None, None), (201, "", ""), (202, "http://single.example/x", page("<article><p>alone</p></article>")), (202, "http://single.example/x", page("<article><p>alone</p></article>"))]
-    want |= {100 + k: "all alike" for k in range(9)} | {200: "", 201: "", 202: "alone"}
-    for broadcast_bytes in (html_extract.BROADCAST_BYTES, 0):
-        got = html_extract.extract(pages_of(spark, rows), broadcast_bytes=broadcast_bytes).collect()
-        assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want
-    assert html_extract.extract(pages_of(spark, [])).count() == 0
-
-
-@pytest.mark.parametrize("copies, others", [(6, 20), (40, 1)])
-def test_html_copies_make_no_template(spark, copies, others):
-    words = lambda name, n: [f"{name} paragraph {k}" for k in range(n)]
-    article = lambda paragraphs: page("<article><div>Read this first</div>" + "".join(f"<p>{p}</p>" if len(paragraphs) > 3 else f"<p>{p}</p><ul><li>own {p}</li></ul>" for p in paragraphs) + "</article>")
-    template = "" if others >= 5 else "Read this first "
-    rows, want = [], {}
-    for h in range(12):  # whichever page is the pivot
-        bodies = [words(f"long{h}", 9)] * copies + [words(f"short{h} {k}", 3) for k in range(others)]
-        for k, body in enumerate(bodies):
-            rows.append((h * 100 + k, f"http://host{h}.example/{k}", article(body)))
-            want[h * 100 + k] = template + " ".join(body if len(body) > 3 else [f"{p} own {p}" for p in body])
-    for broadcast_bytes in (html_extract.BROADCAST_BYTES, 0):
-        got = html_extract.extract(pages_of(spark, rows), broadcast_bytes=broadcast_bytes).collect()
-        assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want
-
-
-def test_long_child_lists_are_matched_in_order():
-    a = html_extract.parse(page("<article>" + "<div><p>x</p></div><p>y</p>" * 600 + "</article>"))
-    b = html_extract.parse(page("<article><h1>t</h1>" + "<div><p>x</p></div><p>y</p>" * 600 + "</article>"))
-    assert len(html_extract.align(a, b)) > 1700
