@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -13,14 +15,17 @@ from pyspark.sql import functions as F
 #: Lower-cased UTF-8 bytes to the same bytes with ASCII punctuation, white space and controls as blanks.
 _BLANK = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
-#: The temporary folder of a session without spark.checkpoint.dir, as in tests.
+#: The temporary folder of a local session without spark.checkpoint.dir, as in tests.
 _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir, which all executors see. Only a session whose executors are the driver itself may do without:
+    it gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="chronoset-"))
         found = _OWN[0]
@@ -32,10 +37,41 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage, and survives lost executors."""
+    """df written to the shared folder and read again: cuts the lineage, and survives lost executors. `stored_at` of the result is its
+    path; what no one removes stays until sweep()."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sweep(spark: SparkSession, older_than_hours: float = 48) -> list[str]:
+    """Remove the intermediate tables of this library that were written so long ago that no query reads them; returns their paths.
+
+    Results are read lazily from intermediate tables, so a query can't remove its own; run this between jobs. The digest cache of
+    token counts, which is meant to stay, is left alone.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/chronoset")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [f.getPath().toString() for f in (fs.listStatus(at) if fs.exists(at) else ()) if f.getModificationTime() <= (time.time() - older_than_hours * 3600) * 1000]
+    old = [p for p in old if re.search(r"-[0-9a-f]{32}$", p)]
+    for path in old:
+        remove(spark, path)
+    return old
+
+
+def free_name(name: str, *frames: DataFrame) -> str:
+    """`name` with as many underscores before it as it takes to be no column's, whatever the case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,11 +8,12 @@ place, the longest whose piece may follow the best path to its start (the two pi
 they are) extends it. For BPE that path is the encoding, so ids equal the library's. Characters that no piece
 has fall back to bytes (or <unk> where the model has none).
 
-The vocabulary's path is a parameter; the model is read once per task. Only identity normalisation, as in the
+The vocabulary's path is a parameter; the model is read once per worker process. Only identity normalisation, as in the
 model used here, is supported: others are refused.
 
 Defined results: null is taken as empty; empty texts have no ids; literal U+2581 equals a blank, as in the
-library, so decoding gives the blank; unpaired surrogates are replaced by "?" (Spark strings have none).
+library, so decoding gives the blank; unpaired surrogates are replaced by "?" (Spark strings have none). The added columns take the
+place of columns of their names; all others stay as they are.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +33,11 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 
 from .common import table
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: Characters of text that are indexed together; a longer text is a batch of its own.
 BATCH_CHARS = 2_000_000
+#: Bytes of a batch below which an edge's end, place and slot fit into one 64-bit number.
+PACKED = 1 << 23
 _CUT = re.compile(" *[^ \n]+| +|\n")
 
 
@@ -214,7 +219,7 @@ def encode_cuts(pieces: Pieces, cuts: list[str]) -> tuple[np.ndarray, np.ndarray
     end = start + pieces.slot_len[slot]
     owner_begin = np.repeat(begin, lengths + 1)
     rel_end = end - owner_begin[start]
-    if len(data) < 1 << 23:
+    if len(data) < PACKED:
         packed = np.sort((rel_end << 40) | (end << 16) | slot)
         slot, end, rel_end = packed & 0xFFFF, (packed >> 16) & 0xFFFFFF, packed >> 40
     else:
@@ -285,6 +290,13 @@ def encode(pieces: Pieces, texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+@lru_cache(2)
+def loaded(model: str) -> tuple[Pieces, Decoder]:
+    """One a process: the merges of all pieces take as long as many texts."""
+    pieces = Pieces.load(model)
+    return pieces, Decoder(pieces)
+
+
 class Decoder:
     """Ids to text: pieces one after another, runs of byte pieces as UTF-8, without the leading blank."""
 
@@ -303,12 +315,12 @@ def tokenize(docs: DataFrame, model: str = MODEL, text: str = "text", with_ids:
     One pass without a shuffle; the batch of texts that is indexed at once is bounded.
     """
     extra = [StructField("_ids", ArrayType(IntegerType()))] * with_ids + [StructField("_n_tokens", LongType()), StructField("_ids_sha256", StringType()), StructField("_decoded_sha256", StringType()), StructField("_round_trip", BooleanType())]
+    docs = docs.drop(*(f.name for f in extra if f.name != text))
     schema = StructType([*docs.schema.fields, *extra])
     column = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.load(model)
-        decode = Decoder(pieces)
+        pieces, decode = loaded(model)
         for batch in batches:
             texts = [t or "" for t in batch.column(column).to_pylist()]
             at = 0

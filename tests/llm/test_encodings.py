@@ -38,35 +38,61 @@ def test_sentencepiece_equals_the_library(spark):
     assert got[-1]._ids == [] and sentence_piece.tokenize(docs.where("false")).count() == 0
 
 
-def test_very_long_cut_takes_the_other_sort():
-    pieces = sentence_piece.Pieces.load(sentence_piece.MODEL)
+def test_very_long_cut_takes_the_other_sort(monkeypatch):
     import sentencepiece
 
+    pieces = sentence_piece.Pieces.load(sentence_piece.MODEL)
     sp = sentencepiece.SentencePieceProcessor(model_file=sentence_piece.MODEL)
-    many = ["".join(random.Random(k).choice("abcdefgh") for _ in range(40)) for k in range(50)]
-    assert [list(map(int, x)) for x in sentence_piece.encode(pieces, many)] == sp.encode(many)
+    many = [*texts(7, 300), "".join(random.Random(3).choices("abcdefgh", k=60_000)), "a b " * 30_000]
+    want = sp.encode(many)
+    assert [x.tolist() for x in sentence_piece.encode(pieces, many)] == want
+    sorts = []
+    monkeypatch.setattr(sentence_piece, "PACKED", 1000)
+    monkeypatch.setattr(sentence_piece.np, "lexsort", lambda *a, f=sentence_piece.np.lexsort: sorts.append(1) or f(*a))
+    assert [x.tolist() for x in sentence_piece.encode(pieces, many)] == want and sorts
 
 
-def test_token_counts_equal_the_library(spark):
+def test_token_counts_equal_the_library(spark, tmp_path):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(token_counts.TOKENIZER)
     everything = [*ODD, *texts(2, 2000)]
-    docs = spark.createDataFrame([(k, t) for k, t in enumerate(everything)] + [(k, t) for k, t in enumerate(everything)] + [(-1, None)], "doc_id long, text string")
-    for ranks in (token_counts.RANKS, None):
-        cache = token_counts.DigestCache(spark)
+    docs = spark.createDataFrame([(k, t, "x", 7) for k, t in enumerate(everything)] + [(k, t, "x", 7) for k, t in enumerate(everything)] + [(-1, None, "x", 7)], "doc_id long, text string, content string, _n_tokens int")
+    version = token_counts.tokenizer_digest(token_counts.TOKENIZER)
+    for name, ranks in (("fast", token_counts.RANKS), ("exact", None)):
+        cache = token_counts.DigestCache(spark, str(tmp_path / name))
         got = token_counts.count_tokens(docs, ranks=ranks, cache=cache).collect()
-        assert len(got) == docs.count()
+        assert len(got) == docs.count() and {r.content for r in got} == {"x"}
         for r in got:
             assert r._n_tokens == len(library.encode(r.text or "", add_special_tokens=False).ids), repr(r.text)
             assert r._n_bytes == len((r.text or "").encode())
-        stored = cache.read().count()
-        assert stored == len({t for t in everything} | {""})
-        token_counts.count_tokens(docs, ranks=ranks, cache=cache).count()  # all hits: nothing is added
-        assert cache.read().count() == stored
+        assert cache.read(version).count() == len({t for t in everything} | {""})
+        files = sorted((tmp_path / name).rglob("*.parquet"))
+        # all hits: nothing is encoded (the ranks' file is not there) and nothing is added
+        again = token_counts.count_tokens(docs, ranks="/not/there", cache=cache).collect()
+        assert sorted(map(repr, again)) == sorted(map(repr, got)) and sorted((tmp_path / name).rglob("*.parquet")) == files
+        # a count that two runs have added is one count
+        cache.append(version, cache.read(version))
+        assert token_counts.count_tokens(docs, ranks="/not/there", cache=cache).count() == docs.count()
+        # another tokenizer version finds nothing
+        assert cache.read("other").count() == 0
     assert token_counts.count_tokens(docs.where("false")).count() == 0
 
 
+def test_token_counts_query_keeps_its_cache(spark, tmp_path):
+    docs = spark.createDataFrame([(1, f"text of {tmp_path}")], "doc_id long, text string")
+    token_counts.count_tokens(docs).count()
+    assert token_counts.count_tokens(docs, ranks="/not/there").count() == 1
+
+
+@pytest.mark.parametrize("n", [1_000_000, 3_000_000])
+def test_token_counts_of_very_long_runs(n):
+    count = token_counts.counter(token_counts.TOKENIZER, token_counts.RANKS)
+    for unit in (" ", "\n", " \n\t", "a", "!", "é", "a b "):
+        text = unit * (n // len(unit)) + "x"
+        assert count(text) == len(count.exact.encode(text, add_special_tokens=False).ids), repr(unit)
+
+
 PAGES = "page_id long, url string, html string, digest string, n string"
 
 
