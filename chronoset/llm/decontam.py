@@ -2,38 +2,46 @@
 
 The benchmark is taken in blocks of bounded size, each sent to all tasks and compared with all documents:
 1. One pass over the documents counts, for every word n-gram of the block's items, the documents that hold it.
-2. An item's seeds are all of its n-grams that occur. Rarity is their order only: an edited copy may hold any of them,
-   and those that many edited copies share are the frequent ones.
-3. A second pass finds seed hits, clusters them by diagonal, and aligns each cluster's window with the item:
-   +2 a matching word, -1 a mismatch or gap. score is the best alignment over the best that is possible. Clusters with the
-   rarest seed come first; one whose words cannot give more than the best so far, or the threshold, is not aligned.
+2. An item's seeds are its n-grams, the rarest first; of pairs (n = 2) the most frequent are spared, as many as no copy needs.
+3. A second pass joins the documents' n-grams to the seeds. Where enough hits of an item lie close enough together, the text
+   around all of them is aligned with the item as one window: +2 a matching word, -1 a mismatch or gap. score is the best
+   alignment over the best that is possible.
+
+What is enough follows from the score for pairs, so that nothing is lost to the filter. An alignment of at least `threshold`
+t of an item of L words spans at most (3 - 2t) L words of the text; each mismatch costs 1 and parts two pairs, other breaks cost
+more for each pair. So at least (4t - 1) L / 3 - 1 pairs of neighbours stay neighbours, or have one word between them in the
+text, which is looked up too. Of these, half may be among the spared ones; the other half must be hit within that span. A copy
+with every third word replaced, or with long insertions, so is found as a whole. For larger n one hit is enough, and copies
+without n unchanged words in a row are not found.
 
 Nothing else leaves a task: one row per (document, item) with score >= threshold, that of its best window.
 
-Defined results: null or empty texts match nothing; items of fewer than n words are matched by one seed, all
-their words; items without words match nothing; each row of either side is treated alone, repeats included.
-A document shorter than the item is scored against the item's full length. A copy without a run of n unchanged words
-has no seed and is not found.
+Defined results: null or empty texts match nothing; items of fewer than n words are matched by one seed, all their words (in
+items of three words or fewer, at least one pair must be there); items without words match nothing; each row of either side
+is treated alone, repeats included. A document shorter than the item is scored against the item's full length. Only the named
+columns are read; other columns may have any name.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import free_name, table, text_of, words
 
-N, THRESHOLD, MIN_HITS = 3, 0.5, 1
+N, THRESHOLD = 2, 0.5
 #: Most bytes of benchmark text that are sent to the tasks at once; a longer benchmark takes several passes.
 BLOCK_BYTES = 4_000_000
 MATCH, OTHER, GAP = 2, 1, 1
-#: Places by which a copy may drift from the diagonal of its seeds.
-SLACK = 12
+#: Bits of the table that tells in one look that a key is no seed.
+TABLE_BITS = 18
+_FACTOR, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 class _Ids(dict):
@@ -41,9 +49,26 @@ class _Ids(dict):
         return 0
 
 
+def _keys(ids: np.ndarray, n: int, skip: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit keys, places) of the n-grams whose words are all known; with skip, also of pairs with one word between."""
+    found = []
+    for steps in [range(n), *([(0, 2)] if skip and n == 2 else [])]:
+        count = len(ids) - steps[-1]
+        if count > 0:
+            key, known = np.zeros(count, np.uint64), np.ones(count, bool)
+            for k in steps:
+                part = ids[k : k + count]
+                key, known = key * _FACTOR + part.astype(np.uint64), known & (part > 0)
+            places = np.flatnonzero(known)
+            found.append((key[places], places))
+    if not found:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 @dataclass
 class Items:
-    """A block of benchmark items as word ids (from 1; 0 is any other word) and n-gram keys."""
+    """A block of benchmark items as word ids (from 1; 0 is any other word)."""
 
     vocabulary: _Ids
     ids: list
@@ -57,19 +82,12 @@ class Items:
         vocabulary = _Ids({w: k + 1 for k, w in enumerate(sorted({w for _, x in split for w in x}))})
         return cls(vocabulary, [i for i, _ in split], [np.array([vocabulary[w] for w in x], np.int64) for _, x in split], n)
 
-    def grams(self, ids: np.ndarray, n: int) -> np.ndarray:
-        """Keys of the n-grams at each place; -1 where a word is in no item."""
-        if len(ids) < n:
-            return np.empty(0, np.int64)
-        base, key, known = len(self.vocabulary) + 1, np.zeros(len(ids) - n + 1, np.int64), np.ones(len(ids) - n + 1, bool)
-        for k in range(n):
-            part = ids[k : len(ids) - n + 1 + k]
-            key, known = key * base + part, known & (part > 0)
-        return np.where(known, key, -1)
-
-    def sizes(self) -> list[int]:
-        """n-gram lengths in use: n, and those of shorter items."""
-        return sorted({min(self.n, len(x)) for x in self.words})
+    def by_size(self) -> dict[int, list[int]]:
+        """The items by the length of their n-grams: n, or all their words."""
+        found: dict[int, list[int]] = {}
+        for k, x in enumerate(self.words):
+            found.setdefault(min(self.n, len(x)), []).append(k)
+        return found
 
     def read(self, text: str | None) -> np.ndarray:
         found = words(text)
@@ -78,27 +96,75 @@ class Items:
 
 @dataclass
 class Seeds:
-    """Sorted keys of one n-gram length with their places, (item, position in the item), and document counts."""
+    """Sorted keys of one n-gram length with their items; by item, how many hits it takes, and within how many words."""
 
     size: int
     keys: np.ndarray
     item: np.ndarray
-    at: np.ndarray
-    seen: np.ndarray
-
-
-def ranked_seeds(items: Items, counts: dict[tuple[int, int], int]) -> list[Seeds]:
-    found: dict[int, list] = {}
-    for k, ids in enumerate(items.words):
-        size = min(items.n, len(ids))
-        grams = items.grams(ids, size)
-        seen = [counts.get((size, int(g)), 0) for g in grams]
-        found.setdefault(size, []).extend((int(g), k, j, n) for j, (g, n) in enumerate(zip(grams, seen, strict=True)) if n)
+    enough: np.ndarray
+    reach: np.ndarray
+    table: np.ndarray
+
+    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, place in the text) of seed hits, each once, in order."""
+        keys, places = _keys(ids, self.size, True)
+        some = self.table[_slot(keys)]
+        keys, places = keys[some], places[some]
+        low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        count = high - low
+        which = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+        both = np.unique(self.item[which] << 32 | np.repeat(places, count))
+        return both >> 32, both & 0xFFFFFFFF
+
+    def windows(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first place, place after the last) of the parts of a text that may hold a copy; a copy lies in one of them whole."""
+        item, place = self.hits(ids)
+        if not len(item):
+            return
+        last = np.arange(len(item)) + self.enough[item] - 1
+        inside = last < len(item)
+        last = np.minimum(last, len(item) - 1)
+        good = np.flatnonzero(inside & (item[last] == item) & (place[last] - place <= self.reach[item]))
+        open_ = None
+        for k, lo, hi in zip(item[good].tolist(), (place[last[good]] - self.reach[item[good]]).tolist(), (place[good] + self.reach[item[good]]).tolist(), strict=True):
+            lo, hi = max(0, lo), min(len(ids), hi + self.size + 1)
+            if open_ and open_[0] == k and lo <= open_[2]:
+                open_ = (k, open_[1], max(hi, open_[2]))
+            else:
+                if open_:
+                    yield open_
+                open_ = (k, lo, hi)
+        if open_:
+            yield open_
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return ((keys * _SPREAD) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
+def needed(length: int, threshold: float, n: int) -> int:
+    """How many n-grams of an item any copy with this score keeps at least."""
+    return max(1, math.ceil((4 * threshold - 1) * length / 3 - 1e-9) - 1) if n == 2 else 1
+
+
+def ranked_seeds(items: Items, counts: dict[int, int], threshold: float) -> list[Seeds]:
+    """The items' seeds, from the numbers of documents that hold each key."""
     out = []
-    for size, rows in sorted(found.items()):
-        rows.sort()
-        if rows:
-            out.append(Seeds(size, *(np.array(x, np.int64) for x in zip(*rows, strict=True))))
+    for size, members in sorted(items.by_size().items()):
+        keys, owner = [], []
+        enough, reach = np.zeros(len(items.words), np.int64), np.zeros(len(items.words), np.int64)
+        for k in members:
+            own, _ = _keys(items.words[k], size, False)
+            kept = needed(len(items.words[k]), threshold, size)
+            enough[k], reach[k] = kept - kept // 2, math.ceil((3 - 2 * threshold) * len(items.words[k]))
+            rare = sorted(own.tolist(), key=lambda key: (counts.get(key, 0), key))[: len(own) - kept // 2]
+            keys += set(rare)
+            owner += [k] * len(set(rare))
+        keys, owner = np.array(keys, np.uint64), np.array(owner, np.int64)
+        order = np.argsort(keys, kind="stable")
+        known = np.zeros(1 << TABLE_BITS, bool)
+        known[_slot(keys)] = True
+        out.append(Seeds(size, keys[order], owner[order], enough, reach, known))
     return out
 
 
@@ -119,23 +185,6 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int]:
     return best / (MATCH * len(item)), end
 
 
-def _hits(items: Items, seeds: list[Seeds], ids: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(item, place in the document, place in the item, document count) of every seed hit."""
-    parts = []
-    for s in seeds:
-        grams = items.grams(ids, s.size)
-        places = np.flatnonzero(grams >= 0)
-        low, high = np.searchsorted(s.keys, grams[places], "left"), np.searchsorted(s.keys, grams[places], "right")
-        some = high > low
-        places, low, count = places[some], low[some], (high - low)[some]
-        if len(places):
-            which = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-            parts.append((s.item[which], np.repeat(places, count), s.at[which], s.seen[which]))
-    if not parts:
-        return (np.empty(0, np.int64),) * 4
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-
-
 def _bound(item: np.ndarray, window: np.ndarray) -> float:
     """No alignment scores more: every word that the two have in common matched, without a gap."""
     kinds, needed = np.unique(item, return_counts=True)
@@ -144,34 +193,21 @@ def _bound(item: np.ndarray, window: np.ndarray) -> float:
     return int(np.minimum(needed, held).sum()) / len(item)
 
 
-def matches(items: Items, seeds: list[Seeds], ids: np.ndarray, threshold: float, min_hits: int, cache: dict) -> list[tuple[int, float, int, int]]:
+def matches(items: Items, seeds: list[Seeds], ids: np.ndarray, threshold: float, cache: dict) -> list[tuple[int, float, int, int]]:
     """(item, score, first word, last word + 1) for each item with an alignment of at least the threshold."""
-    item, place, at, seen = _hits(items, seeds, ids)
-    if not len(item):
-        return []
-    diagonal = place - at
-    order = np.lexsort((diagonal, item))
-    item, diagonal, seen = item[order], diagonal[order], seen[order]
-    cuts = np.flatnonzero((np.diff(item) != 0) | (np.diff(diagonal) > SLACK)) + 1
     best: dict[int, tuple[float, int, int]] = {}
-    starts, stops = np.r_[0, cuts], np.r_[cuts, len(item)]
-    for c in np.argsort(np.minimum.reduceat(seen, starts), kind="stable"):
-        lo, hi = starts[c], stops[c]
-        k = int(item[lo])
-        length = len(items.words[k])
-        if hi - lo < min(min_hits, max(1, (length - items.n + 1) // 4)):
-            continue
-        start, stop = max(0, int(diagonal[lo]) - SLACK), min(len(ids), int(diagonal[hi - 1]) + length + SLACK)
-        window = ids[start:stop]
-        most = _bound(items.words[k], window)
-        if most < threshold or most <= best.get(k, (0.0,))[0]:
-            continue
-        if (score := cache.get(name := (k, window.tobytes()))) is None:
-            if len(cache) > 20_000:
-                cache.clear()
-            cache[name] = score = align(items.words[k], window)
-        if score[0] >= threshold and score[0] > best.get(k, (0.0,))[0]:
-            best[k] = (score[0], max(start, start + score[1] - length), start + score[1])
+    for s in seeds:
+        for k, start, stop in s.windows(ids):
+            window = ids[start:stop]
+            most = _bound(items.words[k], window)
+            if most < threshold or most <= best.get(k, (0.0,))[0]:
+                continue
+            if (score := cache.get(name := (k, window.tobytes()))) is None:
+                if len(cache) > 20_000:
+                    cache.clear()
+                cache[name] = score = align(items.words[k], window)
+            if score[0] >= threshold and score[0] > best.get(k, (0.0,))[0]:
+                best[k] = (score[0], start + max(0, score[1] - len(items.words[k])), start + score[1])
     return [(k, *v) for k, v in best.items()]
 
 
@@ -187,9 +223,9 @@ def _blocks(bench: DataFrame, item_id: str, text: str, most: int) -> Iterator[li
         yield block
 
 
-def _count(docs: DataFrame, items: Items, text: str) -> dict[tuple[int, int], int]:
+def _count(docs: DataFrame, items: Items, text: str) -> dict[int, int]:
     """In how many documents each n-gram of the block is: counted in the tasks, summed in Spark; at most one row per n-gram."""
-    known = {s: np.unique(np.concatenate([items.grams(x, s) for x in items.words if min(items.n, len(x)) == s])) for s in items.sizes()}
+    known = {size: np.unique(np.concatenate([_keys(items.words[k], size, False)[0] for k in members])) for size, members in items.by_size().items()}
     shared = docs.sparkSession.sparkContext.broadcast((items, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,57 +235,60 @@ def _count(docs: DataFrame, items: Items, text: str) -> dict[tuple[int, int], in
             for t in batch.column(0):
                 ids = items.read(t.as_py())
                 for s, keys in known.items():
-                    grams = items.grams(ids, s)
-                    grams = grams[grams >= 0]
-                    at = np.searchsorted(keys, grams)
-                    at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == grams)]
-                    totals[s][np.unique(at)] += 1
+                    grams, _ = _keys(ids, s, False)
+                    at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+                    totals[s][np.unique(at[keys[at] == grams])] += 1
         for s, keys in known.items():
             some = totals[s] > 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(some.sum(), s), pa.int32()), pa.array(keys[some]), pa.array(totals[s][some])], ["size", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(totals[s][some])], ["gram", "n"])
 
-    counted = docs.select(text).mapInArrow(run, "size int, gram long, n long").groupBy("size", "gram").agg(F.sum("n").alias("n"))
-    return {(r[0], r[1]): r[2] for r in counted.collect()}
+    counted = docs.select(text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return {r[0] % (1 << 64): r[1] for r in counted.collect()}
 
 
-def find_leaks(docs: DataFrame, bench: DataFrame, n: int = N, threshold: float = THRESHOLD, min_hits: int = MIN_HITS, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc key, row, item key, score, first_word, last_word) of every leaked item in every document.
+def find_leaks(docs: DataFrame, bench: DataFrame, n: int = N, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_key, row1, row2, item_key, score, first_word, last_word) of every leaked item in every document.
 
-    row is a hash of the document's key and text, by which a row of docs can be found again.
+    row1 and row2 are two hashes of the document's text, by which rows of docs can be found again.
     """
-    schema = "doc_key long, row long, item_key long, score double, first_word int, last_word int"
+    if n < 2:
+        raise ValueError("seeds have two words or more")
+    schema = "doc_key long, row1 long, row2 long, item_key long, score double, first_word int, last_word int"
+    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
     out = None
     for rows in _blocks(bench, item_key, item_text, block_bytes):
         items = Items.of(rows, n)
         if not items.words:
             continue
-        seeds = ranked_seeds(items, _count(docs, items, text))
+        seeds = ranked_seeds(items, _count(docs, items, text), threshold)
         shared = docs.sparkSession.sparkContext.broadcast((items, seeds))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             (items, seeds), cache = shared.value, {}
             for batch in batches:
                 found = []
-                for d, r, t in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                    found += [(d.as_py(), r.as_py(), items.ids[m[0]], *m[1:]) for m in matches(items, seeds, items.read(t.as_py()), threshold, min_hits, cache)]
-                columns = list(zip(*found, strict=True)) or [[]] * 6
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_key", "row", "item_key", "score", "first_word", "last_word"])
-
-        rows_in = docs.select(F.col(key).cast("long"), row_of(key, text), text)
-        part = rows_in.mapInArrow(run, schema)
+                for row in zip(*batch.columns, strict=True):
+                    if hits := matches(items, seeds, items.read(row[3].as_py()), threshold, cache):
+                        found += [(*(x.as_py() for x in row[:3]), items.ids[m[0]], *m[1:]) for m in hits]
+                columns = list(zip(*found, strict=True)) or [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+        part = docs.select(F.col(key).cast("long"), *row_of(text), F.col(text)).mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def row_of(key: str, text: str):
-    return F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")), F.length(text)).alias("row")
+def row_of(text: str = "text", names: tuple[str, str] = ("row1", "row2")) -> list[Column]:
+    """Two 64-bit hashes of a text; what is found depends on nothing else."""
+    return [F.xxhash64(text_of(text)).alias(names[0]), F.xxhash64(F.lit("row"), text_of(text)).alias(names[1])]
 
 
-def drop_leaks(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
+def drop_leaks(docs: DataFrame, bench: DataFrame, text: str = "text", **options) -> DataFrame:
     """docs without those that hold a leaked item."""
-    leaked = find_leaks(docs, bench, **options).select("row").distinct()
-    return docs.withColumn("_row", row_of("doc_id", "text")).join(leaked.withColumnRenamed("row", "_row"), "_row", "left_anti").select(*docs.columns)
+    names = free_name("row1", docs), free_name("row2", docs)
+    leaked = find_leaks(docs, bench, text=text, **options).select(F.col("row1").alias(names[0]), F.col("row2").alias(names[1])).distinct()
+    return docs.select("*", *row_of(text, names)).join(leaked, list(names), "left_anti").select(*docs.columns)
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

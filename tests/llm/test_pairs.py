@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from chronoset.llm import decontam, line_dedup, ngram_join
@@ -123,8 +124,6 @@ def slow_align(item, window):
 
 
 def test_alignment_is_smith_waterman():
-    import numpy as np
-
     rnd = random.Random(3)
     for _ in range(200):
         item, window = ([rnd.randrange(4) for _ in range(rnd.randrange(1, 15))] for _ in range(2))
@@ -173,3 +172,72 @@ def test_leaks_of_edited_copies_against_brute_force(spark, copies):
                 want[d, i] = round(score, 9)
     found = decontam.find_leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_key, r.item_key): round(r.score, 9) for r in found} == want and len(found) == len(want) == 5 * copies + 3
+
+
+def full_alignment(docs, items):
+    """(document, item) -> score wherever the whole text has an alignment of half the item's best score or more."""
+    split = [(k, words(t)) for k, t in items]
+    ids = {w: k + 1 for k, w in enumerate(sorted({w for _, x in split for w in x}))}
+    out = {}
+    for d, t in docs:
+        window = np.array([ids.get(w, 0) for w in words(t)])
+        for k, x in split:
+            score = decontam.align(np.array([ids[w] for w in x]), window)[0] if len(window) else 0
+            if score >= decontam.THRESHOLD:
+                out[d, k] = round(score, 9)
+    return out
+
+
+def found_by(docs, items, n=decontam.N):
+    block = decontam.Items.of(items, n)
+    seeds = decontam.ranked_seeds(block, {}, decontam.THRESHOLD)
+    return {(d, block.ids[m[0]]): round(m[1], 9) for d, t in docs for m in decontam.matches(block, seeds, block.read(t), decontam.THRESHOLD, {})}
+
+
+def test_leaks_by_kind_and_rate_of_edits():
+    """Every copy that full alignment accepts is found, with its full score, whatever the edits."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghijkl") for _ in range(4))
+    common = [word() for _ in range(8)]  # half of all words are of these
+    text = lambda n: [rnd.choice(common) if rnd.random() < 0.5 else word() for _ in range(n)]
+    items = [(k, text(n)) for k, n in enumerate((4, 8, 14, 30, 60, 60, 150, 400))]
+
+    def edited(x, rate, kind):
+        out = []
+        for w in x:
+            if rnd.random() >= rate:
+                out.append(w)
+            elif kind == "replaced":
+                out.append(word())
+            elif kind == "inserted":
+                out += [w, *text(rnd.choice((1, 1, 3)))]
+        return out
+
+    docs = []
+    for rate in (0, 0.1, 0.2, 0.3, 0.4, 0.6, 0.9):
+        for kind in ("replaced", "inserted", "dropped"):
+            docs += [text(rnd.randrange(80)) + edited(x, rate, kind) + text(rnd.randrange(80)) for _, x in items]
+    every = lambda x, n: [word() if k % n == n - 1 else w for k, w in enumerate(x)]
+    docs += [text(40) + every(x, 3) + text(40) for _, x in items]  # no three words in a row are left
+    docs += [[v for w in x for v in (w, word())] for _, x in items]  # a word after each word
+    for gap in (60, 90):  # four parts far apart
+        docs += [[w for part in range(4) for w in items[7][1][part * 100 : part * 100 + 100] + text(gap)]]
+    docs += [x[: len(x) // 2 + 1] for _, x in items] + [text(3000)]
+    docs, items = [(k, " ".join(x)) for k, x in enumerate(docs)], [(k, " ".join(x)) for k, x in items]
+    want = full_alignment(docs, items)
+    assert len(want) > 100 and found_by(docs, items) == want
+
+
+@pytest.mark.parametrize("n", [2, 3, 5, 8])
+def test_leaks_of_long_seeds_over_a_large_vocabulary(n):
+    rnd = random.Random(n)
+    vocabulary = [f"w{k}" for k in range(20_000)]
+    items = [(k, " ".join(rnd.choices(vocabulary, k=40))) for k in range(1000)] + [(1000 + k, f"only {k} {k}") for k in range(3)]
+    assert set(found_by([(k, f"before {t} after") for k, t in items], items, n)) >= {(k, k) for k, _ in items}
+
+
+def test_clashing_columns_are_kept(spark):
+    rows = [(k, f"some words of text {k} that go on for a while", "r", "s", "p") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row1 string, _row1 string, _row string")
+    bench = spark.createDataFrame([(1, "nothing alike at all here")], "item_id long, text string")
+    assert sorted(decontam.drop_leaks(docs, bench).collect()) == sorted(docs.collect())
