@@ -4,33 +4,40 @@ A document is a bag of sentences. A sentence's logit is a bias plus the weights
 document's score is the noisy-or of its sentences: 1 - prod(1 - sigmoid(logit)). Weights and bias are
 trained from document labels alone; the sentence scores then tell which sentences offend.
 
-The model is fitted on the driver on a bounded sample of labelled rows: at most `per_label` toxic rows and twice as many others,
-those with the smallest hashed ids (rows with crc32(id as text) mod 5 = 0 are never used). Scoring is one
-pass over all whole texts without a shuffle; the model (at most `vocabulary` features) goes along with the tasks.
-
-Defined results: null or empty texts have no sentence and so score 0; labels may be missing or repeated (every labelled
-row counts); with no toxic or no clean training row the model is empty and each score is near 0.
+Words and beginnings are hashed to `SLOTS` weights, so none is left out; a weight is shrunk the more, the fewer training
+documents have it. The model is fitted on the driver on a bounded sample of labelled rows: at most `per_label` toxic rows and
+twice as many others, those with the smallest hashed ids (rows with crc32(id as text) mod 5 = 0 are never used), as far as
+their texts have at most `sample_bytes` together; tasks send word hashes, not texts. Scoring is one pass over all whole texts
+without a shuffle; the model, which has the weights that are not 0, goes along with the tasks.
+
+Defined results: null or empty texts have no sentence and so score 0; labels may be missing or repeated (an id with both labels
+counts as two rows); of documents that share an id, one is used for training; with no toxic or no clean training row the model
+is empty and each score is near 0. `_score` and `_offending` take the place of columns of these names; all other columns stay.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .common import split_of, table
+from .common import split_of, table, text_of
 
-PER_LABEL, VOCABULARY, MIN_DOCS, STEPS, L2, SHRINK = 2000, 40_000, 4, 150, 1e-4, 0.01
+PER_LABEL, SAMPLE_BYTES, STEPS, L2, SHRINK, RARE = 2000, 16_000_000, 150, 1e-4, 0.01, 4
+SLOTS = 1 << 20
 #: ASCII letters, digits and all bytes of other characters stay; ends of sentences become line ends, the rest blanks.
 _SENTENCES = bytes(b if b >= 128 or chr(b).isalnum() else 10 if chr(b) in ".!?\n" else 32 for b in range(256))
+_END = re.compile(r"[.!?\n]")
 #: The token of the end of a sentence; no text has it, as controls are blanks.
 _ENDED = b"\x01"
+PREFIXES = (4, 5)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -38,18 +45,15 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(_SENTENCES).replace(b"\n", b" \x01 ").split()
 
 
-PREFIXES = (4, 5)
-
-
-def features(word: bytes) -> list[bytes]:
-    """The word and its beginnings, so that inflected forms count together."""
-    return [word, *(b"^" + word[:k] for k in PREFIXES if len(word) > k)]
+def features(word: bytes) -> list[int]:
+    """Places of the word and of its beginnings, so that inflected forms count together."""
+    return [xxhash.xxh32_intdigest(f) % SLOTS for f in (word, *(b"^" + word[:k] for k in PREFIXES if len(word) > k))]
 
 
 class _Weights(dict):
     """Word to the sum of its features' weights, remembered; not a number for the end of a sentence."""
 
-    def __init__(self, weights: dict[bytes, float]):
+    def __init__(self, weights: dict[int, float]):
         self.weights = weights
         self[_ENDED] = np.nan
 
@@ -65,7 +69,7 @@ class _Weights(dict):
 
 @dataclass
 class Model:
-    weights: dict[bytes, float] = field(default_factory=dict)
+    weights: dict[int, float] = field(default_factory=dict)
     bias: float = -12.0
 
     def sentence_scores(self, text: str | None, known: _Weights) -> np.ndarray:
@@ -74,10 +78,22 @@ class Model:
         sentence, filled = _numbered(each := np.fromiter(map(known.__getitem__, found), float, len(found)))
         return _sigmoid(self.bias + np.bincount(sentence, each[filled])) if len(filled) else np.empty(0)
 
-    def score(self, text: str | None, known: _Weights) -> tuple[float, list[int]]:
-        """The noisy-or of the sentences, and which of them offend by themselves."""
+    def score(self, text: str | None, known: _Weights) -> tuple[float, list[dict]]:
+        """The noisy-or of the sentences, and those that offend by themselves: place, first character, character after the last, score."""
         each = self.sentence_scores(text, known)
-        return float(-np.expm1(np.log1p(-np.minimum(each, 1 - 1e-12)).sum())), np.flatnonzero(each >= 0.5).tolist()
+        places = np.flatnonzero(each >= 0.5).tolist()
+        spans = sentence_spans(text) if places else []
+        return float(-np.expm1(np.log1p(-np.minimum(each, 1 - 1e-12)).sum())), [{"place": k, "begin": spans[k][0], "end": spans[k][1], "score": float(each[k])} for k in places]
+
+
+def sentence_spans(text: str) -> list[tuple[int, int]]:
+    """Where each sentence that has words begins and ends, its end mark included."""
+    out, at = [], 0
+    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
+        if tokens(text[at:end].rstrip(".!?\n")):
+            out.append((at + len(text[at:end]) - len(text[at:end].lstrip()), end))
+        at = end
+    return out
 
 
 def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,58 +108,96 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: list[tuple[str | None, int]], vocabulary: int = VOCABULARY, min_docs: int = MIN_DOCS, steps: int = STEPS) -> Model:
-    """Adam on the likelihood of the document labels under noisy-or; small and few weights are preferred."""
-    labels = np.array([int(y) for _, y in rows], float)
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
+    """(32-bit word hashes, number of words of each sentence, features of each hash) of a text."""
+    found = tokens(text)
+    sentence, filled = _numbered(np.array([np.nan if w == _ENDED else 0.0 for w in found]))
+    kept = [found[k] for k in filled]
+    names = {w: xxhash.xxh32_intdigest(w, seed=1) for w in set(kept)}
+    return np.array([names[w] for w in kept], np.uint32), np.bincount(sentence).astype(np.uint32) if kept else np.empty(0, np.uint32), {h: features(w) for w, h in names.items()}
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], features_of: dict[int, list[int]], steps: int = STEPS) -> Model:
+    """From (word hashes, words of each sentence, label): Adam on the likelihood of the document labels under noisy-or; small and few
+    weights are preferred."""
+    labels = np.array([int(y) for _, _, y in rows], float)
     if not len(rows) or labels.min() == labels.max():
         return Model()
-    seen: Counter = Counter()
-    for text, _ in rows:
-        seen.update({f for w in set(tokens(text)) if w != _ENDED for f in features(w)})
-    chosen = [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if n >= min_docs][:vocabulary]
-    place = {f: k for k, f in enumerate(chosen)}
-    of_word: dict[bytes, list[int]] = {}
-    sentence, feature, owner, base = [], [], [], 0
-    for k, (text, _) in enumerate(rows):
-        found = tokens(text)
-        own, filled = _numbered(np.array([np.nan if w == _ENDED else 0.0 for w in found]))
-        lists = [of_word[w] if w in of_word else of_word.setdefault(w, [place[f] for f in features(w) if f in place]) for w in (found[j] for j in filled)]
-        sentence.append(np.repeat(own + base, [len(x) for x in lists]).astype(np.int64))
-        feature.append(np.array([f for x in lists for f in x], np.int64))
-        n = int(own[-1]) + 1 if len(own) else 0
-        owner.append(np.full(n, k))
-        base += n
-    sentence, feature, owner = (np.concatenate(x) for x in (sentence, feature, owner))
+    counts = np.concatenate([c for _, c, _ in rows]).astype(np.int64)
+    owner, base = np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for _, c, _ in rows]), len(counts)
+    sentence = np.repeat(np.arange(base, dtype=np.int32), counts)
+    if not base:
+        return Model()
+    names, kind = np.unique(np.concatenate([w for w, _, _ in rows]), return_inverse=True)
+    kind = kind.astype(np.int32)
+    # word -> its features; a word's weight is their sum
+    lists = [features_of[int(h)] for h in names]
+    pair_word = np.repeat(np.arange(len(names), dtype=np.int32), [len(x) for x in lists])
+    slots, pair_slot = np.unique(np.array([f for x in lists for f in x], np.int32), return_inverse=True)
+    held = np.unique(owner[sentence].astype(np.int64) * len(names) + kind) % max(1, len(names))  # documents that have a word
+    docs = np.bincount(pair_slot, np.bincount(held, minlength=len(names))[pair_word], len(slots))
+    shrink = SHRINK * (1 + RARE / np.maximum(docs, 1))
     weight = np.full(len(labels), 1 / len(labels))
-    p = np.r_[np.zeros(len(chosen)), -6.0]
+    p = np.r_[np.zeros(len(slots)), -6.0]
     m, v = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, steps + 1):
-        each = _sigmoid(p[-1] + np.bincount(sentence, p[feature], base))
+        word = np.bincount(pair_word, p[pair_slot], len(names))
+        each = _sigmoid(p[-1] + np.bincount(sentence, word[kind], base))
         clean = np.bincount(owner, np.log1p(-np.minimum(each, 1 - 1e-9)), len(rows))  # log P(label 0)
         # d(-log likelihood)/d logit of a sentence: its score where the label is 0, -score * P0 / P1 where it is 1
         odds = np.exp(clean) / np.maximum(-np.expm1(clean), 1e-6)
         slope = weight[owner] * each * np.where(labels[owner] == 1, -odds[owner], 1.0)
-        g = np.r_[np.bincount(feature, slope[sentence], len(chosen)), slope.sum()] + L2 * np.r_[p[:-1], 0.0]
+        by_word = np.bincount(kind, slope[sentence], len(names))
+        g = np.r_[np.bincount(pair_slot, by_word[pair_word], len(slots)), slope.sum()] + L2 * np.r_[p[:-1], 0.0]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p = p - 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        p[:-1] = np.sign(p[:-1]) * np.maximum(np.abs(p[:-1]) - SHRINK, 0)  # most words end with no weight
-    return Model({f: float(w) for f, w in zip(chosen, p, strict=False) if w}, float(p[-1]))
+        p[:-1] = np.sign(p[:-1]) * np.maximum(np.abs(p[:-1]) - shrink, 0)  # most words end with no weight
+    return Model({int(f): float(w) for f, w in zip(slots, p, strict=False) if w}, float(p[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
-    """Fit on at most per_label toxic rows and twice as many others; only their ids are joined to docs, as a bounded broadcast."""
-    usable = labels.where(split_of("doc_id", 5) != 0).where("toxic IN (0, 1)").select("doc_id", "toxic")
-    order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
+def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on at most per_label toxic rows and twice as many others, and sample_bytes of text; ids go first, as a bounded broadcast."""
+    usable = labels.where(split_of("doc_id", 5) != 0).where("toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64(F.col("doc_id").cast("string")).alias("hash")).distinct()
+    order = ["hash", "doc_id"]
     picked = usable.where("toxic = 1").orderBy(*order).limit(per_label).union(usable.where("toxic = 0").orderBy(*order).limit(2 * per_label))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect()
-    return fit([(r[1], r[2]) for r in sorted(rows, key=lambda r: (r[0], r[2], r[1] or ""))])
+    texts = docs.select("doc_id", text_of().alias("text"), F.xxhash64("text").alias("row"))
+    first = texts.join(F.broadcast(picked), "doc_id").groupBy("toxic", "hash", "doc_id").agg(F.min(F.struct("row", F.octet_length("text").alias("n"))).alias("one"))
+    # a few thousand rows: the same share of either label is kept if their texts are too long together
+    share = Window.partitionBy("toxic").orderBy(*order)
+    kept = first.withColumn("before", F.sum("one.n").over(share)).withColumn("most", F.when(F.col("toxic") == 1, sample_bytes / 3).otherwise(sample_bytes * 2 / 3))
+    kept = kept.where("before <= most").select("doc_id", "toxic", "hash", F.col("one.row").alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = [bag(t.as_py()) for t in batch.column(3)]
+            named = [np.array([x for h, f in b[2].items() for x in (h, len(f), *f)], np.uint32) for b in bags]
+            packed = [[b[0].tobytes() for b in bags], [b[1].tobytes() for b in bags], [x.tobytes() for x in named]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(x, pa.binary()) for x in packed)], ["doc_id", "toxic", "hash", "words", "counts", "features"])
+
+    found = texts.join(F.broadcast(kept), ["doc_id", "row"]).select("doc_id", "toxic", "hash", "text").mapInArrow(run, "doc_id long, toxic int, hash long, words binary, counts binary, features binary")
+    rows, features_of = {}, {}
+    for r in found.collect():
+        rows[r.hash, r.doc_id, r.toxic] = np.frombuffer(r.words, np.uint32), np.frombuffer(r.counts, np.uint32), r.toxic
+        features_of.update(_named(r.features))
+    return fit([rows[k] for k in sorted(rows)], features_of)
+
+
+def _named(packed: bytes) -> dict[int, list[int]]:
+    values, out, at = np.frombuffer(packed, np.uint32).tolist(), {}, 0
+    while at < len(values):
+        out[values[at]] = values[at + 2 : at + 2 + values[at + 1]]
+        at += 2 + values[at + 1]
+    return out
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with `_score` (double) and `_offending` (places of sentences that offend by themselves)."""
+    """docs with `_score` (double) and `_offending`: place, first character, character after the last and score of each sentence that
+    offends by itself."""
+    docs = docs.drop(*(c for c in ("_score", "_offending") if c != text))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType()), StructField("_offending", ArrayType(IntegerType()))])
-    at = docs.columns.index(text)
+    span = StructType([StructField("place", IntegerType()), StructField("begin", IntegerType()), StructField("end", IntegerType()), StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType()), StructField("_offending", ArrayType(span))])
+    at, kind = docs.columns.index(text), pa.list_(pa.struct([("place", pa.int32()), ("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -151,15 +205,15 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             scores, places = zip(*(model.score(t.as_py(), known) for t in batch.column(at)), strict=True) if batch.num_rows else ((), ())
             known.trim()
-            columns = [*batch.columns, pa.array(scores, pa.float64()), pa.array(places, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_score", "_offending"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(places, kind)], [f.name for f in schema.fields])
 
     return docs.mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, at_least: float = 0.5, per_label: int = PER_LABEL) -> DataFrame:
-    """docs without those whose score is at_least."""
-    return score(docs, train(docs, labels, per_label)).where(F.col("_score") < at_least).select(*docs.columns)
+    """docs without those whose score is at_least. Only doc_id and text are read for it; all columns stay."""
+    packed = docs.select(F.struct("*").alias("row"), F.col("text"))
+    return score(packed, train(docs, labels, per_label)).where(F.col("_score") < at_least).select("row.*")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,5 +224,5 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(split_of("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
         F.col("_score").alias("score"),
         (F.col("_score") >= 0.5).cast("int").alias("predicted"),
-        F.size("_offending").alias("n_offending"),
+        F.transform("_offending", lambda s: F.substr("text", s.begin + 1, s.end - s.begin)).alias("offending"),
     )

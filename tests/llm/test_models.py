@@ -1,16 +1,19 @@
-"""Toxicity and language ID: held-out accuracy on made-up classes, and odd rows."""
+"""Toxicity and language ID: held-out accuracy on made-up classes, plain versions of both models, and odd rows."""
 
+import math
 import random
 import zlib
 
+import numpy as np
+
 from chronoset.llm import language_id, toxicity
 
 ODD = [(1, None), (2, ""), (3, "...\n!"), (None, "what is this"), (4, "123 456"), (5, "日本語のテキスト"), (6, "word " * 50000), (6, "word " * 50000)]
-DOCS = "doc_id long, text string, lang string, score double, sentence string"
+DOCS = "doc_id long, text string, lang string, score double, sentence string, _score string, _Offending string, _lang string, _lang_score string, row string"
 
 
 def docs_of(spark, rows):
-    return spark.createDataFrame([(i, t, g, 0.5, "x") for i, t, g in rows], DOCS)
+    return spark.createDataFrame([(i, t, g, 0.5, *["x"] * 6) for i, t, g in rows], DOCS)
 
 
 def corpus(seed, n):
@@ -33,9 +36,60 @@ def test_toxicity_held_out(spark):
     assert sum((scored[k]._score >= 0.5) == y for k, _, y in held) >= 0.95 * len(held)
     for k, t, y in held:  # the sentence that offends is found
         if y and scored[k]._score >= 0.9:
-            sentences = [s for s in t.split(".") if s.strip()]
-            assert any("zogx" in sentences[j] for j in scored[k]._offending)
-    assert toxicity.drop_toxic(docs, labels).columns == docs.columns
+            assert any("zogx" in t[x.begin : x.end] and t[x.end - 1] == "." for x in scored[k]._offending)
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and {r._score for r in kept.collect()} == {"x"}
+    assert {r.doc_id for r in kept.collect()} == {k for k, r in scored.items() if r._score < 0.5}
+
+
+def test_sentence_spans():
+    text = "  One two.  !? three\nfour É. five"
+    assert [text[a:b] for a, b in toxicity.sentence_spans(text)] == ["One two.", "three\n", "four É.", "five"]
+
+
+def plain_score(model, text):
+    """Noisy-or over sentences, word by word."""
+    clean = 1.0
+    for sentence in (text or "").lower().replace("!", ".").replace("?", ".").replace("\n", ".").split("."):
+        found = "".join(c if ord(c) >= 128 or c.isalnum() else " " for c in sentence).split()
+        if found:
+            logit = model.bias + sum(model.weights.get(f, 0.0) for w in found for f in toxicity.features(w.encode()))
+            clean *= 1 - 1 / (1 + math.exp(-max(-40, min(40, logit))))
+    return 1 - clean
+
+
+def test_score_is_noisy_or():
+    rnd = random.Random(5)
+    names = ["alpha", "beta", "gammas", "Ümlaut", "x1"]
+    model = toxicity.Model({f: rnd.uniform(-2, 3) for w in names for f in toxicity.features(w.lower().encode())}, -1.5)
+    known = toxicity._Weights(model.weights)
+    for _ in range(300):
+        text = "".join(rnd.choice([*names, "other", ".", "! ", "\n", ", ", " ", "-"]) + rnd.choice(["", " "]) for _ in range(rnd.randrange(25)))
+        assert abs(model.score(text, known)[0] - plain_score(model, text)) < 1e-9
+
+
+def test_fit_goes_down_the_slope_of_noisy_or():
+    """A first step of the fit moves each weight against the numerical slope of the plain likelihood."""
+    rows = [("bad one. fine words here", 1), ("fine words. other things", 0), ("bad. bad", 1), ("other things here", 0), ("", 0)]
+    bags = [toxicity.bag(t) for t, _ in rows]
+    features_of = {h: f for b in bags for h, f in b[2].items()}
+    fitted = toxicity.fit([(b[0], b[1], y) for b, (_, y) in zip(bags, rows, strict=True)], features_of, steps=1)
+
+    def loss(weights):
+        model = toxicity.Model(weights, -6.0)
+        return -sum(math.log(max(1e-12, p if y else 1 - p)) for t, y in rows for p in [plain_score(model, t)]) / len(rows)
+
+    for f in {f for fs in features_of.values() for f in fs}:
+        slope = (loss({f: 1e-4}) - loss({f: -1e-4})) / 2e-4
+        assert fitted.weights.get(f, 0.0) * slope < 0 or abs(slope) < 1e-6
+
+
+def test_sample_is_bounded_in_bytes_and_ids_count_once(spark):
+    rows = corpus(7, 400)
+    docs = docs_of(spark, [(k, t, "en") for k, t, _ in rows])
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels, sample_bytes=0) == toxicity.Model()
+    assert toxicity.train(docs.union(docs).union(docs), labels.union(labels)) == toxicity.train(docs, labels)
 
 
 def test_toxicity_uses_no_held_out_label(spark):
@@ -76,12 +130,69 @@ def test_language_held_out(spark):
     assert language_id.train(shuffled).languages == ["aa", "bb", "cc"]
 
 
+def plain_presence(text):
+    """Hashed n-grams, one by one."""
+    out = set()
+    for n in (1, 2, 3):
+        for k in range(len(text) - n + 1):
+            code = 0
+            for c in text.lower()[k : k + n]:
+                code = code << 21 | (ord(c) + 1)
+            out.add((code * 0x9E3779B97F4A7C15) % (1 << 64) >> (64 - language_id.SLOT_BITS))
+    return out
+
+
+def test_language_against_plain_kernel_ridge():
+    """Kernel, landmarks, ridge and scores written out with sets and dense matrices."""
+    rows, marks = [(t, g) for _, t, g in languages(11, 90)] + [("日本語のテキストです", "ja"), ("これは本です", "ja")], 8
+    sets = [plain_presence(t) for t, _ in rows]
+    model = language_id.fit([(language_id.presence(t), g) for t, g in rows], landmarks=marks)
+    assert [set(language_id.presence(t).tolist()) for t, _ in rows] == sets
+    names = sorted({g for _, g in rows})
+    mark = [x for k, x in enumerate(sets) if sum(rows[j][1] == rows[k][1] for j in range(k)) < marks]
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    own = np.array([[kernel(a, b) for b in mark] for a in mark])
+    values, vectors = np.linalg.eigh(own)
+    keep = values > 1e-6 * values.max()
+    phi = np.array([[kernel(a, b) for b in mark] for a in sets]) @ vectors[:, keep] / np.sqrt(values[keep])
+    share = np.array([len(rows) / len(names) / sum(h == g for _, h in rows) for _, g in rows])
+    target = np.array([[g == c for c in names] for _, g in rows], float)
+    solved = np.linalg.inv(phi.T @ np.diag(share) @ phi + language_id.RIDGE * len(rows) / 100 * np.eye(phi.shape[1])) @ phi.T @ np.diag(share) @ target
+    want = phi @ solved
+    got, scores = model.predict([t for t, _ in rows])
+    assert got == [names[k] for k in want.argmax(axis=1)]
+    assert np.allclose(scores, np.clip(want.max(axis=1), 0, 1), atol=1e-4)
+
+
+def test_language_texts_unlike_all_landmarks():
+    model = language_id.fit([(language_id.presence(t), g) for t, g in [("the cat", "en"), ("un chat", "fr"), ("le chien", "fr")]])
+    assert model.predict(["日本語のテキスト", "123", "", None, "?!", "the"]) == (["fr", "und", "und", "und", "und", "en"], model.predict(["日本語のテキスト", "123", "", None, "?!", "the"])[1])
+    assert model.predict(["日本語のテキスト"])[1] == [0.0]
+
+
+def test_many_languages_each_have_landmarks():
+    rnd = random.Random(2)
+    alphabets = {f"l{k:03d}": [chr(0x4E00 + 20 * k + j) for j in range(20)] for k in range(150)}
+    rows = [("".join(rnd.choices(a, k=30)), g) for g, a in alphabets.items() for _ in range(4)]
+    model = language_id.fit([(language_id.presence(t), g) for t, g in rows])
+    fresh = [("".join(rnd.choices(a, k=30)), g) for g, a in alphabets.items()]
+    assert model.predict([t for t, _ in fresh])[0] == [g for _, g in fresh]
+
+
+def test_presence_of_very_long_texts(monkeypatch):
+    text = "".join(random.Random(4).choices("abcdé日 ", k=5000))
+    want = language_id.presence(text)
+    monkeypatch.setattr(language_id, "CHUNK", 64)
+    assert (language_id.presence(text) == want).all() and language_id.presence("").size == 0
+
+
 def test_language_odd_rows(spark):
     rows = languages(4, 100)
     model = language_id.train(docs_of(spark, [*rows, (500, None, "aa"), (501, "", "aa"), (502, "x", None)]))
     docs = docs_of(spark, [(i, t, None) for i, t in ODD])
     out = language_id.identify(docs, model).collect()
     assert len(out) == len(ODD) and all(0 <= r._lang_score <= 1 for r in out)
+    assert all(r._lang != 'und' for r in out if r.doc_id in (None, 5, 6))
     assert {r._lang for r in out if r.text is None or r.doc_id in (2, 3, 4)} == {"und"}
     assert language_id.identify(docs, language_id.train(docs.where("false"))).where("_lang <> 'und'").count() == 0
     assert language_id.identify(docs.where("false"), model).count() == 0
