@@ -1,24 +1,35 @@
 """Line dedup with DataFrame functions alone.
 
-A line's key is the line without [\\x20\\x09-\\x0D] at both ends, with A-Z lower-cased. Keys are kept as
-two 64-bit hashes in sorted runs: each batch of documents adds a run (hash, documents that have the line)
-at level 0; once a level holds `fanout` runs they are merged into one of the next level. A batch of
-documents is then merge-anti-joined with the runs: lines whose key the runs hold often enough go.
-
-Defined results: null text is an empty line; empty keys are never dropped; each row counts as a document
-of its own, repeated rows included; other columns stay as they are; an empty table gives an empty one.
+A line's key is the line without [\\x20\\x09-\\x0D] at both ends, with A-Z lower-cased. Keys are kept as two 64-bit hashes with the
+number of documents that hold them, in sorted runs: tables bucketed and sorted by the hashes, so that they are joined and merged
+bucket by bucket without a shuffle. Documents come in batches:
+1. Each batch counts its keys, merge-anti-joins them with the keys that a run already holds often enough, and adds the others as a
+   run of level 0.
+2. Once a level holds two runs they are merged (by a full sort-merge join) into one of the next level.
+3. When all batches are in, the runs that are left are merged, and lines whose keys they hold often enough leave their documents.
+
+A document is an id: rows that share one count once, and those with a null id are one document. A batch holds whole
+documents by a hash of their ids, so that batches add up.
+
+Defined results: null text is an empty line; empty keys are never dropped; an empty table gives an empty one; repeated rows are
+each cleaned; `_kept`, `_n_lines` and `_n_dropped` take the place of columns of these names, and all other columns stay.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table, text_of
+from .common import new_path, remove, stored, table, text_of
 
 STRIPPED = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-RUN_SCHEMA = "h1 long, h2 long, n_docs long"
+MIN_DOCS, BATCHES = 10, 4
+#: Frequent keys, 16 bytes each, that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+HASHES = ["h1", "h2"]
 
 
 def line_key(line: Column) -> Column:
@@ -26,88 +37,104 @@ def line_key(line: Column) -> Column:
     return F.when(F.octet_length(bare) == F.length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
-def _hashed(line: Column) -> Column:
-    """Two hashes of a line's key with different seeds; null for an empty key."""
-    key = line_key(line)
-    return F.when(key != "", F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2")))
-
-
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def hashed_lines(docs: DataFrame, columns: list[Column], text: str) -> DataFrame:
+    """columns with `at` (the line's place) and its key's hashes h1 and h2; lines of empty keys are left out."""
+    # lines are exploded before they are hashed, as functions over arrays are not compiled
+    lines = docs.select(*columns, F.posexplode(_lines(text_of(text))).alias("at", "line")).withColumn("line", line_key(F.col("line"))).where("line <> ''")
+    return lines.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2")).drop("line")
+
+
 class LineRuns:
-    """Levelled sorted runs under one folder. The manifest is held by the driver: a few paths per level."""
+    """Levelled sorted runs below one folder. The manifest, a few table names a level, is held by the driver; close() removes all."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 4):
-        self.spark, self.path, self.fanout = spark, path or new_path(spark, "line-runs"), fanout
+    def __init__(self, spark: SparkSession, path: str | None = None, min_docs: int = MIN_DOCS):
+        self.spark, self.path, self.min_docs = spark, path or new_path(spark, "line-runs"), min_docs
         self.levels: list[list[str]] = [[]]
-        self._made = 0
+        self.made: list[str] = []
+        # as many buckets as a shuffle has partitions: each task writes its own
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _write(self, counted: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        to = f"{self.path}/level{level}-{self._made}"
-        self._made += 1
-        counted.sortWithinPartitions("h1", "h2").write.parquet(to)
-        self.levels[level].append(to)
-
-    def add(self, docs: DataFrame, text: str = "text") -> None:
-        """The batch's own run: for each key the number of its documents. One shuffle of hashes, combined before it."""
-        keys = docs.select(F.explode(F.array_distinct(F.transform(_lines(text_of(text)), _hashed))).alias("k"))
-        self._write(keys.where("k is not null").groupBy("k.h1", "k.h2").agg(F.count("*").alias("n_docs")), 0)
-        self.compact()
-
-    def compact(self) -> None:
-        """Merge every full level into one run of the next."""
-        for level in range(99):
-            if level >= len(self.levels):
-                return
-            if len(self.levels[level]) >= self.fanout:
-                merged, self.levels[level] = self._merged(self.levels[level]), []
-                self._write(merged, level + 1)
-
-    def _merged(self, paths: list[str]) -> DataFrame:
-        runs = self.spark.read.schema(RUN_SCHEMA).parquet(*paths)
-        return runs if len(paths) == 1 else runs.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
-
-    def frequent(self, min_docs: int) -> DataFrame:
-        """Keys that the documents of all runs hold at least min_docs times."""
-        paths = [p for level in self.levels for p in level]
-        if not paths:
-            return self.spark.createDataFrame([], RUN_SCHEMA)
-        return self._merged(paths).where(F.col("n_docs") >= min_docs)
-
-
-def drop_lines(docs: DataFrame, frequent: DataFrame, text: str = "text", key: str = "doc_id", broadcast_rows: int = 200_000) -> DataFrame:
+        name = f"line_run_{uuid.uuid4().hex}"
+        counted.write.format("parquet").bucketBy(self.buckets, *HASHES).sortBy(*HASHES).option("path", f"{self.path}/level{level}-{len(self.made)}").saveAsTable(name)
+        self.made.append(name)
+        self.levels[level].append(name)
+
+    def add(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> None:
+        """The batch's own run: for each key that is not yet known as frequent, the number of its documents."""
+        held = hashed_lines(docs, [F.col(key).alias("doc")], text).select("doc", *HASHES).distinct()
+        counted = held.groupBy(*HASHES).agg(F.count("*").alias("n_docs"))
+        for run in self.runs():
+            counted = counted.join(self._often(run).select(*HASHES).hint("merge"), HASHES, "left_anti")
+        self._write(counted, 0)
+        for level in range(len(self.levels)):
+            if len(self.levels[level]) == 2:
+                self._merge(level)
+
+    def runs(self) -> list[str]:
+        return [name for level in self.levels for name in level]
+
+    def _often(self, run: str) -> DataFrame:
+        return self.spark.table(run).where(F.col("n_docs") >= self.min_docs)
+
+    def _merge(self, level: int) -> None:
+        """The two runs of a level into one of the next. A join, as Spark may drop the buckets of tables that it unites."""
+        a, b = (self.spark.table(name) for name in self.levels[level])
+        n = F.coalesce(a.n_docs, F.lit(0)) + F.coalesce(b.n_docs, F.lit(0))
+        merged = a.join(b.hint("merge"), HASHES, "full").select(*HASHES, n.alias("n_docs"))
+        self.levels[level] = []
+        self._write(merged, level + 1)
+
+    def frequent(self) -> DataFrame:
+        """(h1, h2, n_docs) of keys that at least min_docs documents hold; n_docs may be short of what was not added any more."""
+        while len(self.runs()) > 1:
+            low = [k for k, level in enumerate(self.levels) if level]
+            if len(self.levels[low[0]]) == 1:  # a lone run of a low level goes up to the next
+                self.levels[low[1]] += self.levels[low[0]]
+                self.levels[low[0]] = []
+                self._merge(low[1])
+            else:
+                self._merge(low[0])
+        return self._often(self.runs()[0]) if self.runs() else self.spark.createDataFrame([], "h1 long, h2 long, n_docs long")
+
+    def close(self) -> None:
+        for name in self.made:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(self.spark, self.path)
+
+
+def drop_lines(docs: DataFrame, frequent: DataFrame, text: str = "text", key: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs with `_kept` (the text without the frequent lines), `_n_lines` and `_n_dropped`.
 
-    Lines leave a document only as (row key, position, hash). The frequent keys, 16 bytes each, are broadcast when
-    they number at most broadcast_rows; otherwise both sides are shuffled, where Spark splits skewed hashes.
+    Lines leave a document only as (two hashes of the row, place). The frequent keys are broadcast when they number at most
+    broadcast_rows; otherwise both sides are shuffled, where Spark splits skewed hashes.
     """
-    body = text_of(text)
-    rows = docs.withColumn("_r1", F.xxhash64(F.col(key), body)).withColumn("_r2", F.xxhash64(F.lit("row"), body, F.col(key)))
-    lines = rows.select("_r1", "_r2", F.posexplode(F.transform(_lines(body), _hashed)).alias("_at", "_k"))
-    lines = lines.where("_k is not null").select("_r1", "_r2", "_at", F.col("_k.h1").alias("h1"), F.col("_k.h2").alias("h2"))
-    keys = frequent.select("h1", "h2")
+    docs = docs.drop(*(c for c in ("_kept", "_n_lines", "_n_dropped") if c not in (text, key)))
+    row = [F.xxhash64(F.col(key), text_of(text)).alias("r1"), F.xxhash64(F.lit("row"), text_of(text), F.col(key)).alias("r2")]
+    keys = frequent.select(*HASHES)
     if keys.limit(broadcast_rows + 1).count() <= broadcast_rows:
         keys = F.broadcast(keys)
-    hits = lines.join(keys, ["h1", "h2"], "left_semi").groupBy("_r1", "_r2").agg(F.collect_set("_at").alias("_drop"))
-    found = rows.join(hits, ["_r1", "_r2"], "left").withColumn("_lines", _lines(body)).withColumn("_n_lines", F.size("_lines").cast("long"))
-    n = F.size("_lines") - 1
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), n), "_drop"), lambda i: F.get("_lines", i)), "\n")
-    return (
-        found.withColumn("_n_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
-        .withColumn("_kept", F.when(F.col("_drop").isNull(), body).otherwise(kept))
-        .drop("_r1", "_r2", "_drop", "_lines")
-    )
+    hits = hashed_lines(docs, row, text).join(keys, HASHES, "left_semi").groupBy("r1", "r2").agg(F.collect_set("at").alias("drop"))
+    found = docs.select(F.struct("*").alias("row"), *row).join(hits, ["r1", "r2"], "left").select("row", "drop", F.coalesce(F.col("row").getField(text), F.lit("")).alias("body"))
+    lines = _lines(F.col("body"))
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "drop"), lambda i: F.get(lines, i)), "\n")
+    return found.select("row.*", F.when(F.col("drop").isNull(), F.col("body")).otherwise(kept).alias("_kept"), F.size(lines).cast("long").alias("_n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("_n_dropped"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, runs: LineRuns | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Add docs to the runs, then drop each line that at least min_docs documents hold. See drop_lines for the columns."""
-    runs = runs or LineRuns(docs.sparkSession)
-    runs.add(docs, text)
-    return drop_lines(docs, runs.frequent(min_docs), text, key)
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Add docs to the runs batch by batch, then drop each line that at least min_docs documents hold. See drop_lines for the columns."""
+    runs = LineRuns(docs.sparkSession, min_docs=min_docs)
+    for k in range(batches):
+        runs.add(docs.where(F.pmod(F.xxhash64(F.col(key)), F.lit(batches)) == k), text, key)
+    frequent = stored(runs.frequent(), "frequent-lines")
+    runs.close()
+    return drop_lines(docs, frequent, text, key)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +149,7 @@ WITH lines AS (
 ), keyed AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
 ), frequent AS (
-  SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10
+  SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 10
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.k IS NOT NULL) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.k IS NULL), '')) AS kept_sha256

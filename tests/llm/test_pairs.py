@@ -27,17 +27,38 @@ def test_line_dedup_by_hand(spark):
     assert got[9] == (2, 1, "x") and got[10] == (1, 1, "") and got[11] == (1, 0, "") and got[12] == (2, 0, "rare\nrare")
 
 
-def test_line_dedup_shuffled_keys_give_the_same(spark):
+def test_line_runs_are_compacted_and_joined_without_shuffles(spark):
     rows = frame(spark, [(k, f"l{k % 3}\nl{k % 7}\nl{k}") for k in range(60)])
-    runs = line_dedup.LineRuns(spark, fanout=2)
+    runs = line_dedup.LineRuns(spark)
     for part in range(5):
         runs.add(rows.where(rows.doc_id % 5 == part))
-    assert sum(map(len, runs.levels)) < 5  # compacted
-    a = line_dedup.drop_lines(rows, runs.frequent(10))
-    b = line_dedup.drop_lines(rows, runs.frequent(10), broadcast_rows=0)
-    c = line_dedup.dedup_lines(rows)
+    assert [len(x) for x in runs.levels] == [1, 0, 1]  # 5 batches, as a binary number
+    a, b = (spark.table(x) for x in runs.runs())
+    for how in ("full", "left_anti"):
+        joined = a.join(b.hint("merge"), line_dedup.HASHES, how)
+        joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Bucketed: true" in plan and "Exchange" not in plan
+    merged = runs.frequent()
+    assert len(runs.runs()) == 1 and len(runs.made) == 5 + 3 + 1  # batches, merges on the way, the last merge
+    a = line_dedup.drop_lines(rows, merged)
+    b = line_dedup.drop_lines(rows, merged, broadcast_rows=0)
     pick = lambda df: sorted((r.doc_id, r._kept, r._n_dropped) for r in df.collect())
-    assert pick(a) == pick(b) == pick(c) and any(r[2] for r in pick(a))
+    found = pick(a)
+    assert found == pick(b) and any(r[2] for r in found)
+    runs.close()
+    for batches in (1, 4, 7):
+        assert pick(line_dedup.dedup_lines(rows, batches=batches)) == found
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_line_dedup_counts_ids_and_keeps_columns(spark):
+    rows = [(k % 9, "seen by nine ids\nown", "a", "b") for k in range(30)] + [(k, "seen by ten ids\nown", "a", "b") for k in range(20, 29)] + [(None, "seen by ten ids", "a", "b")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _kept string, row string")
+    got = line_dedup.dedup_lines(docs).collect()
+    # "own" has 18 ids; the lines of nine ids and a null id are in ten documents
+    assert len(got) == len(rows) and {(r._kept, r.row) for r in got if r.doc_id is not None and r.doc_id < 9} == {("seen by nine ids", "b")}
+    assert {r._kept for r in got if r.doc_id is None or r.doc_id >= 20} == {""}
 
 
 def test_odd_rows(spark):
