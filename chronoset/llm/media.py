@@ -1,13 +1,15 @@
 """Media columns: WAV bytes, short-time Fourier transforms, spectral-peak pair fingerprints.
 
 A text's UTF-8 bytes, padded with blanks to a positive multiple of 192, become the samples of an 8-bit mono WAV, byte
-for sample. The stored bytes are read back by the wave module; frames of 128 samples, 64 apart, are transformed under a
-Hann window. In each frame the strongest bin of each of three bands is a peak (if it has any energy); each peak is
-paired with the peaks of the next two frames in the same or the next band. A pair is one integer: the time of the first
-peak (in frames) in the high 32 bits, then both bins and their distance in time.
+for sample. Frames of 128 samples, 64 apart, are transformed under a Hann window. In each frame the strongest bin of each of
+three bands is a peak (if it has any energy); each peak is paired with the peaks of the next two frames in the same or the next
+band. A pair is one integer: the time of the first peak (in frames) in the high 32 bits, then both bins and their distance in
+time. A table of documents with their WAV (binary) and their pairs (array of long, by time) is written; all digests are then
+reckoned from what is read back from that table, the WAV through the wave module.
 
 Defined results: null and empty texts are 192 blanks; silence (all samples equal) still has peaks only where
-there is energy, so it may have none; equal texts give equal values.
+there is energy, so it may have none; equal texts give equal values. Added columns take the place of columns of their
+names; all other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from .common import table
+from .common import stored, table
 
 UNIT, RATE = 192, 8000
 FRAME, HOP = 128, 64
@@ -84,31 +86,49 @@ def fingerprint(samples: bytes) -> np.ndarray:
     return np.sort(np.concatenate(parts)).astype(np.int64) if parts else np.empty(0, np.int64)
 
 
-def media_columns(docs: DataFrame, text: str = "text", with_media: bool = True) -> DataFrame:
-    """docs with `_media` (WAV) and `_pairs` (array<long>), if asked for, and their digests. One pass, row by row."""
-    extra = [StructField("_media", BinaryType()), StructField("_pairs", ArrayType(LongType()))] * with_media
-    extra += [StructField(f"_{n}", t) for n, t in (("n_bytes", LongType()), ("payload_bytes", LongType()), ("payload_sha256", StringType()), ("tail_crc32", LongType()), ("media_bytes", LongType()), ("media_sha256", StringType()), ("feature", StringType()))]
-    schema, column = StructType([*docs.schema.fields, *extra]), docs.columns.index(text)
-    kinds = [pa.binary(), pa.list_(pa.int64())] * with_media + [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-
-    def one(text: str | None) -> tuple:
-        data = (text or "").encode("utf-8", "replace")
-        media = to_wav(padded(data))
-        payload = from_wav(media)
-        pairs = fingerprint(payload)
-        digests = (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{len(pairs)}:{hashlib.sha256(pairs.astype('<i8').tobytes()).hexdigest()[:32]}")
-        return (media, pairs, *digests) if with_media else digests
+def _mapped(rows: DataFrame, added: list[StructField], kinds: list[pa.DataType], one) -> DataFrame:
+    """rows with the columns that `one` gives for each row, from a dict of its columns that are named in one.reads."""
+    rows = rows.drop(*(f.name for f in added if f.name not in one.reads))
+    schema, at = StructType([*rows.schema.fields, *added]), [rows.columns.index(c) for c in one.reads]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                columns = zip(*(one(t.as_py()) for t in batch.column(column)), strict=True)
+            for first in range(0, whole.num_rows, 512):
+                batch = whole.slice(first, 512)
+                columns = zip(*(one(*values) for values in zip(*(batch.column(k) for k in at), strict=True)), strict=True)
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [f.name for f in schema.fields])
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
+
+
+def media_columns(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with `_n_bytes`, `_media` (WAV) and `_pairs` (array<long>). One pass, row by row."""
+
+    def one(value: pa.StringScalar) -> tuple:
+        data = (value.as_py() or "").encode("utf-8", "replace")
+        payload = padded(data)
+        return len(data), to_wav(payload), fingerprint(payload)
+
+    one.reads = (text,)
+    added = [StructField("_n_bytes", LongType()), StructField("_media", BinaryType()), StructField("_pairs", ArrayType(LongType()))]
+    return _mapped(docs, added, [pa.int64(), pa.binary(), pa.list_(pa.int64())], one)
+
+
+def media_digests(media: DataFrame) -> DataFrame:
+    """A table with `_media` and `_pairs`, and what its stored bytes and pairs say: `_payload_bytes`, `_payload_sha256`, `_tail_crc32` (of
+    the last 16 bytes), `_media_bytes`, `_media_sha256` and `_feature` (number and digest of the pairs)."""
+
+    def one(stored_media: pa.BinaryScalar, stored_pairs: pa.ListScalar) -> tuple:
+        data, pairs = stored_media.as_py(), stored_pairs.values.to_numpy(zero_copy_only=False)
+        payload = from_wav(data)
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), f"{len(pairs)}:{hashlib.sha256(pairs.astype('<i8').tobytes()).hexdigest()[:32]}"
+
+    one.reads = ("_media", "_pairs")
+    kinds = {"_payload_bytes": LongType(), "_payload_sha256": StringType(), "_tail_crc32": LongType(), "_media_bytes": LongType(), "_media_sha256": StringType(), "_feature": StringType()}
+    return _mapped(media, [StructField(n, t) for n, t in kinds.items()], [pa.int64() if t == LongType() else pa.string() for t in kinds.values()], one)
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"), with_media=False).drop("text")
+    media = stored(media_columns(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "media")
+    found = media_digests(media).drop("_media", "_pairs")
     return found.toDF(*(c.removeprefix("_") for c in found.columns))

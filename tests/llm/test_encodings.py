@@ -2,11 +2,15 @@
 
 import hashlib
 import io
+import math
 import random
+import struct
 import wave
 import zlib
 
+import numpy as np
 import pytest
+import zstandard
 from oracle import SMALL
 
 from chronoset.llm import media, sentence_piece, token_counts, warc
@@ -108,11 +112,12 @@ def test_warc_round_trip(spark, tmp_path):
     assert archives.count() > 2
     warc.save_files(archives, str(tmp_path / "archives"))
     for source in (archives, warc.load_files(spark, str(tmp_path / "archives"))):
-        got = warc.read_archives(source).collect()
+        records = warc.read_archives(source)
+        assert records.where("record_type = 'warcinfo'").count() == archives.count()
+        got = warc.page_records(warc.checked_revisits(records)).collect()
         assert len(got) == len(rows)
         for r in got:
-            options = [(h or "").encode() for i, _, h in rows if i == r.page_id]
-            payload = options[0]
+            payload = [(h or "").encode() for i, _, h in rows if i == r.page_id][0]
             assert r.payload_bytes == len(payload) and r.payload_digest == hashlib.sha1(payload).hexdigest()
             assert r.payload == (payload if r.record_type == "response" else b"")
         kinds = {(r.page_id, r.record_type, r.refers_to) for r in got if r.page_id is None or r.page_id < 10}
@@ -120,23 +125,104 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(pages_of(spark, []))).count() == 0
 
 
+def test_warc_revisits_are_checked(spark):
+    payload = b"p" * 2000
+    for response in (warc.record(9, "u", b"q" * 2000, None), warc.record(8, "u", payload, None), warc.info_record("x")):
+        archive = spark.createDataFrame([("a", bytearray(warc.pack([response, warc.record(1, "u", payload, 9)])))], warc.ARCHIVES)
+        with pytest.raises(Exception, match="no response with the payload"):
+            warc.checked_revisits(warc.read_archives(archive)).collect()
+
+
+def foreign_record(kind, block, *headers, version="WARC/1.0"):
+    head = [version, f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:6f1a>", "WARC-Date: 2020-01-01T00:00:00Z", *headers, f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_of_other_writers(spark):
+    """Streamed frames without a size, other skippable frames, no dictionary, other types and digests, folded and odd headers."""
+    http = b"HTTP/1.1 200 OK\r\nno colon here\r\nServer: caf\xe9\r\n\r\n<p>hi"
+    sha256 = hashlib.sha256(b"<p>hi").hexdigest()
+    records = [
+        foreign_record("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"),
+        foreign_record("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http;msgtype=request"),
+        foreign_record("response", http, "Content-Type: application/http", "X-Folded: a", " b"),
+        foreign_record("response", http, "content-type: application/http", f"WARC-Payload-Digest: sha-256:{sha256}", "WARC-Block-Digest: blake3:00"),
+        foreign_record("response", b"1.2.3.4", "Content-Type: text/dns"),
+        foreign_record("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Length: 9\r\n\r\n2\r\nhi\r\n0\r\n\r\n", "Content-Type: application/http", "WARC-Payload-Digest: sha1:" + "A" * 32),
+        foreign_record("revisit", b"", "WARC-Profile: http://netpreserve.org/warc/1.0/revisit/server-not-modified"),
+        foreign_record("metadata", b"outlink: x\r\n"),
+    ]
+
+    def streamed(data, **options):
+        stream = zstandard.ZstdCompressor(write_content_size=False, **options).compressobj()
+        return stream.compress(data) + stream.flush()
+
+    skip = struct.pack("<II", 0x184D2A53, 3) + b"abc"
+    dictionary = zstandard.ZstdCompressionDict(b"WARC-Type WARC-Record-ID " * 40, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    plain = b"".join(streamed(r) + skip for r in records)
+    packed = zstandard.ZstdCompressor().compress(dictionary.as_bytes())
+    with_dictionary = struct.pack("<II", warc.SKIPPABLE, len(packed)) + packed + b"".join(streamed(r, dict_data=dictionary) for r in records)
+    for content in (plain, with_dictionary):
+        assert list(warc.unpack(content)) == records
+    got = warc.read_archives(spark.createDataFrame([("a", bytearray(plain))], warc.ARCHIVES)).collect()
+    assert [r.record_type for r in got] == ["warcinfo", "request", "response", "response", "response", "response", "revisit", "metadata"]
+    assert [bytes(r.payload) for r in got[2:5]] == [b"<p>hi", b"<p>hi", b"1.2.3.4"] and got[6].payload_digest is None
+    assert warc.page_records(warc.read_archives(spark.createDataFrame([("a", bytearray(plain))], warc.ARCHIVES))).count() == 0
+    for bad in (plain[:-1], plain + b"x", plain[: len(streamed(records[0])) - 2], struct.pack("<II", 0x184D2A53, 99)):
+        with pytest.raises(warc.ArchiveError):
+            list(warc.unpack(bad))
+
+
 def test_warc_reader_refuses_damage():
     records = [warc.record(k, "http://x/", b"payload %d" % k * 50, None) for k in range(30)]
     good = warc.pack(records)
     assert list(warc.unpack(good)) == records
-    for bad in (good[4:], good[:-3], good[:-40] + b"\0" * 40, b"", good + b"junk"):
+    for bad in (good[4:], good[:-3], good[:-40] + b"\0" * 40, good + b"junk"):
         with pytest.raises(warc.ArchiveError):
             [warc.parse(r) for r in warc.unpack(bad)]
     r = records[0]
-    for bad in (r.replace(b"WARC/1.1", b"WARC/9.9"), r.replace(b"WARC-Date", b"X-Date"), r.replace(b"payload 0", b"payload 1", 1), r[:-4], r.replace(b"Content-Length: ", b"Content-Length: 1", 1), r.replace(b": response", b": weird")):
+    for bad in (r.replace(b"WARC/1.1", b"WARC/9.9"), r.replace(b"WARC-Date", b"X-Date"), r.replace(b"payload 0", b"payload 1", 1), r[:-4], r.replace(b"Content-Length: ", b"Content-Length: 1", 1), r.replace(b": response", b": weird"), r.replace(b"WARC-Type: response", b"WARC-Type  response")):
         with pytest.raises(warc.ArchiveError):
             warc.parse(bad)
 
 
-def test_media(spark):
-    rows = [(0, None), (1, ""), (2, "x" * 192), (3, "x" * 193), (4, "é" * 5000), (5, "é" * 5000), (6, "The quick brown fox. " * 40)]
-    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, feature int")
-    got = {r.doc_id: r for r in media.media_columns(docs).collect()}
+def plain_pairs(samples):
+    """Peaks and pairs by the definition of the transform, in double precision, frame by frame."""
+    x = np.frombuffer(samples, np.uint8).astype(float) - 128
+    window = np.array([0.5 - 0.5 * math.cos(2 * math.pi * k / 127) for k in range(128)])
+    basis = np.exp(-2j * np.pi * np.outer(np.arange(65), np.arange(128)) / 128)
+    peaks = []
+    for at in range(0, len(x) - 127, 64):
+        frame = x[at : at + 128]
+        power = np.abs(basis @ ((frame - frame.mean()) * window))
+        best = [lo + int(power[lo:hi].argmax()) for lo, hi in ((1, 10), (10, 24), (24, 65))]
+        peaks.append([b if power[b] > 1e-3 else 0 for b in best])
+    out = []
+    for t, own in enumerate(peaks):
+        for gap in (1, 2):
+            for band in range(3):
+                for other in (band, band + 1):
+                    if other < 3 and t + gap < len(peaks) and own[band] and peaks[t + gap][other]:
+                        out.append(t << 32 | own[band] << 16 | peaks[t + gap][other] << 4 | gap)
+    return sorted(out)
+
+
+def test_fingerprint_against_plain_transform():
+    rnd = random.Random(8)
+    for n in (192, 384, 1920, 9600):
+        for alphabet in ("abcdefgh ijklmnop", "é日x ", "".join(map(chr, range(32, 127)))):
+            samples = media.padded("".join(rnd.choices(alphabet, k=n)).encode()[: n - 7])
+            assert media.fingerprint(samples).tolist() == plain_pairs(samples)
+    assert media.fingerprint(b" " * 192).tolist() == plain_pairs(b" " * 192) == []
+
+
+def test_media(spark, tmp_path):
+    rows = [(0, None), (1, ""), (2, "x" * 192), (3, "x" * 193), (4, "é" * 5000), (5, "é" * 5000), (6, "The quick brown fox. " * 40), (6, "The quick brown fox. " * 40), (7, "long " * 600_000)]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, feature int, _media string")
+    media.media_columns(docs).write.parquet(str(tmp_path / "media"))
+    found = media.media_digests(spark.read.parquet(str(tmp_path / "media"))).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(found) == len(rows) and {r.feature for r in found} == {1}
     for i, t in rows:
         data, r = (t or "").encode(), got[i]
         with wave.open(io.BytesIO(r._media)) as w:
@@ -144,6 +230,7 @@ def test_media(spark):
         assert payload.startswith(data) and set(payload[len(data) :]) <= {32} and len(payload) % 192 == 0 < len(payload) < len(data) + 193
         assert (r._n_bytes, r._payload_bytes, r._media_bytes) == (len(data), len(payload), len(r._media))
         assert r._payload_sha256 == hashlib.sha256(payload).hexdigest() and r._tail_crc32 == zlib.crc32(payload[-16:]) and r._media_sha256 == hashlib.sha256(r._media).hexdigest()
-        assert r._pairs == sorted(r._pairs) and r._feature.startswith(f"{len(r._pairs)}:")
+        assert r._pairs == sorted(r._pairs) and r._feature == f"{len(r._pairs)}:{hashlib.sha256(np.array(r._pairs, '<i8').tobytes()).hexdigest()[:32]}"
     assert got[4]._feature == got[5]._feature != got[6]._feature and got[0]._media == got[1]._media
-    assert len(got[6]._pairs) > 10 and media.media_columns(docs.where("false")).count() == 0
+    assert got[6]._pairs == plain_pairs(media.padded(rows[6][1].encode()))
+    assert len(got[6]._pairs) > 10 and media.media_digests(media.media_columns(docs.where("false"))).count() == 0

@@ -9,6 +9,7 @@ from html import unescape
 import numpy as np
 import pytest
 import sentencepiece
+from llm.test_encodings import plain_pairs
 from oracle import SMALL, rows_of, rows_of_sql
 
 import corpus_pipeline
@@ -153,4 +154,5 @@ def test_media_query(spark):
     for r in result(spark, "op10_media_columns", "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"):
         payload = media.padded(texts[r.doc_id].encode())
         stored = media.to_wav(payload)
-        assert tuple(r)[1:7] == (len(texts[r.doc_id].encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest())
+        pairs = np.array(plain_pairs(payload), "<i8")
+        assert tuple(r)[1:] == (len(texts[r.doc_id].encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{len(pairs)}:{hashlib.sha256(pairs.tobytes()).hexdigest()[:32]}")

@@ -72,14 +72,13 @@ def test_fit_goes_down_the_slope_of_noisy_or():
     """A first step of the fit moves each weight against the numerical slope of the plain likelihood."""
     rows = [("bad one. fine words here", 1), ("fine words. other things", 0), ("bad. bad", 1), ("other things here", 0), ("", 0)]
     bags = [toxicity.bag(t) for t, _ in rows]
-    features_of = {h: f for b in bags for h, f in b[2].items()}
-    fitted = toxicity.fit([(b[0], b[1], y) for b, (_, y) in zip(bags, rows, strict=True)], features_of, steps=1)
+    fitted = toxicity.fit([(b[0], b[1], y) for b, (_, y) in zip(bags, rows, strict=True)], [b[2] for b in bags], steps=1)
 
     def loss(weights):
         model = toxicity.Model(weights, -6.0)
         return -sum(math.log(max(1e-12, p if y else 1 - p)) for t, y in rows for p in [plain_score(model, t)]) / len(rows)
 
-    for f in {f for fs in features_of.values() for f in fs}:
+    for f in {f for t, _ in rows for w in toxicity.tokens(t) for f in toxicity.features(w)}:
         slope = (loss({f: 1e-4}) - loss({f: -1e-4})) / 2e-4
         assert fitted.weights.get(f, 0.0) * slope < 0 or abs(slope) < 1e-6
 
