@@ -7,6 +7,7 @@ import warnings
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .intervals import covering_top
 from .ordered import running_max
 
 COMPACT_AT = 64
@@ -16,17 +17,14 @@ EPOCH_LAG = 2
 def dominance_prune(facts: DataFrame, horizon_ns: int) -> DataFrame:
     """facts without rows that a later row, known by the horizon, covers: same entity, containing interval, larger system time.
 
-    Rows are first brought down to the latest system time per distinct interval, on either side, so that what is paired
-    within an entity is intervals and not rows. A horizon of 0 or less prunes nothing.
+    A row goes if the latest system time among the intervals that contain its own is larger than its own; that time is found by
+    running maxima (see intervals.covering_top), without pairing intervals. A horizon of 0 or less prunes nothing.
     """
     if horizon_ns <= 0:
         return facts
     interval = ["entity_id", "valid_time_start_ns", "valid_time_end_ns"]
-    tops = facts.where(F.col("system_time_ns") <= horizon_ns).groupBy(*interval).agg(F.max("system_time_ns").alias("top"))
-    lows = facts.select(*interval).distinct().alias("r")
-    t = tops.alias("t")
-    covers = (F.col("r.entity_id") == F.col("t.entity_id")) & (F.col("t.valid_time_start_ns") <= F.col("r.valid_time_start_ns")) & (F.col("t.valid_time_end_ns") >= F.col("r.valid_time_end_ns"))
-    cover = lows.join(t, covers).groupBy(*(F.col(f"r.{c}").alias(c) for c in interval)).agg(F.max("t.top").alias("_top"))
+    known = facts.select(*interval, F.when(F.col("system_time_ns") <= horizon_ns, F.col("system_time_ns")).alias("_known"))
+    cover = covering_top(known, *interval, "_known")
     return facts.join(cover, interval, "left").where(F.col("_top").isNull() | (F.col("system_time_ns") >= F.col("_top"))).drop("_top")
 
 

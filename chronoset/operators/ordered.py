@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from ..sources.shared import stored
 
 
-def ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def ranged(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """df with `_range`, stored, so that the ranges stay as they are."""
-    dealt = df.repartitionByRange(*(F.col(c) for c in [*keys, *order]))
+    dealt = df.repartitionByRange(*(F.col(c) if isinstance(c, str) else c for c in [*keys, *order]))
     return stored(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
 
 
-def rank_in_key(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:
+def rank_in_key(df: DataFrame, keys: list[str], order: list[str | Column], name: str = "rank") -> DataFrame:
     """df with the row's number, from 1, in its key's order. `order` must make rows of a key distinct for a defined result."""
     rows = ranged(df, keys, order)
     counts = rows.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
@@ -41,6 +41,20 @@ def running_max(df: DataFrame, keys: list[str], order: list[str], value: Column,
     return inner.join(tops, [*keys, "_range"]).withColumn(name, F.greatest("_inner", "_earlier")).drop("_inner", "_earlier", "_range", "_value")
 
 
+def next_in_key(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, *more: str) -> DataFrame:
+    """df with the value of the key's next row as `name` (and of further columns as `_next` and their names); null for its last row.
+
+    Within a range by a window; the last row of a range takes the first of the key's next range, one small row per range.
+    """
+    rows, wanted = ranged(df, keys, order), {name: value} | {f"_next{c}": c for c in more}
+    inner = Window.partitionBy(*keys, "_range").orderBy(*order)
+    firsts = rows.groupBy(*keys, "_range").agg(F.min_by(F.struct(*dict.fromkeys(wanted.values())), F.struct(*order)).alias("_first"))
+    firsts = firsts.withColumn("_first", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_range")))
+    out = rows.select("*", F.lead(F.lit(True)).over(inner).alias("_inside"), *(F.lead(v).over(inner).alias(f"_lead_{k}") for k, v in wanted.items())).join(firsts, [*keys, "_range"])
+    out = out.withColumns({k: F.when(F.col("_inside"), F.col(f"_lead_{k}")).otherwise(F.col("_first").getField(v)) for k, v in wanted.items()})
+    return out.drop("_first", "_inside", "_range", *(f"_lead_{k}" for k in wanted))
+
+
 def moving_average(df: DataFrame, keys: list[str], order: list[str], value: Column, keep: float, name: str) -> DataFrame:
     """df with the value of r = keep * r + (1 - keep) * value after each row of its key's order, from r = 0.
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.facts import LIVE
+from .intervals import NODE, on_nodes
+from .ordered import next_in_key, rank_in_key, running_max
 
 #: Who wins among visible rows of an entity: the latest system time; on ties the compacted tier before the
 #: flushed before the live one, then the smaller valid start and assertion time, then the smaller dot.
@@ -45,13 +47,46 @@ def as_of(facts: DataFrame, valid_ns: int, tx_ns: int, entity: str | None = None
     return _first(rows, ["entity_id"], _precedence())
 
 
+def _prioritized(facts: DataFrame) -> DataFrame:
+    """facts with `_prio`, a number by which a later one wins within its entity; it grows with the system time."""
+    order = [F.col("system_time_ns").asc(), *(F.col(c).desc() for c in PRECEDENCE[1:])]
+    return rank_in_key(facts, ["entity_id"], order, "_prio")
+
+
 def as_of_join(coordinates: DataFrame, facts: DataFrame) -> DataFrame:
-    """For each coordinate (coord_id, entity_id, valid_ns, tx_ns) the fact that holds there; nulls where none does."""
-    c, f = coordinates.alias("c"), facts.alias("f")
-    hit = (F.col("c.entity_id") == F.col("f.entity_id")) & (F.col("f.system_time_ns") <= F.col("c.tx_ns")) & (F.col("f.system_time_ns") > 0)
-    hit &= (F.col("f.valid_time_start_ns") <= F.col("c.valid_ns")) & (F.col("f.valid_time_end_ns") > F.col("c.valid_ns"))
-    joined = c.join(f, hit, "left").select("c.*", *(F.col(f"f.{n}") for n in facts.columns if n != "entity_id"))
-    return _first(joined, ["coord_id"], _precedence())
+    """For each coordinate (coord_id, entity_id, valid_ns, tx_ns) the fact that holds there; nulls where none does.
+
+    Facts and coordinates of an entity meet in nodes of valid time (see intervals); within a node, the winner is a running maximum
+    in the order of system time. No fact is paired with a coordinate that it does not win.
+    """
+    rows = _prioritized(facts.where("system_time_ns > 0 AND valid_time_end_ns > valid_time_start_ns"))
+    points = coordinates.select("entity_id", "valid_ns", "tx_ns").distinct()
+    dots, spans = on_nodes(points, rows.select("entity_id", "valid_time_start_ns", "valid_time_end_ns", "system_time_ns", "_prio"), "entity_id", "valid_ns", "valid_time_start_ns", "valid_time_end_ns")
+    given = spans.select("entity_id", *NODE, F.col("system_time_ns").alias("_time"), F.lit(0).alias("_kind"), F.col("_prio"), F.lit(None).cast("long").alias("valid_ns"))
+    asked = dots.select("entity_id", *NODE, F.col("tx_ns").alias("_time"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_prio"), "valid_ns")
+    tops = running_max(given.unionByName(asked), ["entity_id", *NODE], ["_time", "_kind"], F.col("_prio"), "_best").where("_kind = 1")
+    best = tops.groupBy("entity_id", "valid_ns", F.col("_time").alias("tx_ns")).agg(F.max("_best").alias("_prio"))
+    won = coordinates.join(best, ["entity_id", "valid_ns", "tx_ns"], "left").join(rows, ["entity_id", "_prio"], "left")
+    return won.select(*coordinates.columns, *(n for n in facts.columns if n != "entity_id"))
+
+
+def range_join(windows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Each window (window_id, entity_id, lo, hi, tx_ns) with the facts of its entity, known by its time, whose interval meets [lo, hi).
+
+    A fact meets a window if its start lies in the window, or the window's begin in the fact (after its start). Either is a join under
+    equality of nodes (see intervals), so that only hits are paired; the system time is looked at afterwards.
+    """
+    asked = windows.where("hi > lo").select("window_id", "entity_id", "lo", "hi", "tx_ns")
+    facts_by_number = _prioritized(facts)
+    rows = facts_by_number.select("entity_id", "_prio", "valid_time_start_ns", "valid_time_end_ns", "system_time_ns")
+    # facts that start inside; one that ends before it began, or where it began, meets a window only if it ends after lo
+    dots, spans = on_nodes(rows, asked, "entity_id", "valid_time_start_ns", "lo", "hi")
+    inside = spans.join(dots, ["entity_id", *NODE]).where("system_time_ns <= tx_ns AND valid_time_end_ns > lo")
+    # facts that started before and have not ended
+    dots, spans = on_nodes(asked, rows.withColumn("_after", F.col("valid_time_start_ns") + 1).where("valid_time_end_ns > valid_time_start_ns"), "entity_id", "lo", "_after", "valid_time_end_ns")
+    around = dots.join(spans, ["entity_id", *NODE]).where("system_time_ns <= tx_ns")
+    columns = ["window_id", "lo", "hi", "tx_ns", "entity_id", "_prio"]
+    return inside.select(*columns).unionByName(around.select(*columns)).join(facts_by_number, ["entity_id", "_prio"]).drop("_prio")
 
 
 def range_window(facts: DataFrame, lo: int, hi: int, tx_ns: int, entity: str | None = None) -> DataFrame:
@@ -91,14 +126,17 @@ def timeline(facts: DataFrame, tx_ns: int) -> DataFrame:
     """
     rows = visible(facts, tx_ns).where("system_time_ns > 0 AND valid_time_end_ns > valid_time_start_ns")
     edges = rows.select("entity_id", F.explode(F.array("valid_time_start_ns", "valid_time_end_ns")).alias("at")).distinct()
-    stretches = edges.withColumn("until", F.lead("at").over(Window.partitionBy("entity_id").orderBy("at"))).where("until IS NOT NULL")
-    s, f = stretches.alias("s"), rows.alias("f")
-    hit = (F.col("s.entity_id") == F.col("f.entity_id")) & (F.col("f.valid_time_start_ns") <= F.col("s.at")) & (F.col("f.valid_time_end_ns") > F.col("s.at"))
-    won = _first(s.join(f, hit).select("s.at", "s.until", "f.*"), ["entity_id", "at"], _precedence())
-    w = Window.partitionBy("entity_id").orderBy("at")
-    fresh = F.when((F.lag("until").over(w) == F.col("at")) & F.lag("dot_node_id").over(w).eqNullSafe(F.col("dot_node_id")) & F.lag("dot_counter").over(w).eqNullSafe(F.col("dot_counter")), 0).otherwise(1)
-    islands = won.withColumn("_fresh", fresh).withColumn("_island", F.sum("_fresh").over(w))
-    return islands.groupBy("entity_id", "_island", "dot_node_id", "dot_counter").agg(F.min("at").alias("from_ns"), F.max("until").alias("to_ns")).drop("_island")
+    stretches = next_in_key(edges, ["entity_id"], ["at"], "at", "until").where("until IS NOT NULL")
+    rows = _prioritized(rows)
+    dots, spans = on_nodes(stretches, rows.select("entity_id", "valid_time_start_ns", "valid_time_end_ns", "_prio"), "entity_id", "at", "valid_time_start_ns", "valid_time_end_ns")
+    tops = spans.groupBy("entity_id", *NODE).agg(F.max("_prio").alias("_prio"))
+    best = dots.join(tops, ["entity_id", *NODE]).groupBy("entity_id", "at", "until").agg(F.max("_prio").alias("_prio"))
+    # neighbours with one winner: a stretch is fresh unless the one before ends where it begins and has its winner
+    before = next_in_key(best.withColumn("_back", -F.col("at")), ["entity_id"], ["_back"], "until", "_until", "_prio")
+    fresh = ~F.coalesce((F.col("_until") == F.col("at")) & (F.col("_next_prio") == F.col("_prio")), F.lit(False))
+    islands = running_max(before.withColumn("_fresh", fresh), ["entity_id"], ["at"], F.when(F.col("_fresh"), F.col("at")), "_island")
+    spans = islands.groupBy("entity_id", "_island", "_prio").agg(F.min("at").alias("from_ns"), F.max("until").alias("to_ns"))
+    return spans.join(rows.select("entity_id", "_prio", "dot_node_id", "dot_counter"), ["entity_id", "_prio"]).select("entity_id", "dot_node_id", "dot_counter", "from_ns", "to_ns")
 
 
 def live_merge_as_of(facts: DataFrame, valid_ns: int, tx_ns: int) -> DataFrame:

@@ -93,6 +93,18 @@ def as_of_join(spark, d):
     return found.select("coord_id", "entity_id", "valid_ns", "tx_ns", F.coalesce("system_time_ns", F.lit(-1)).alias("system_time_ns"), "dot_node_id", F.coalesce("dot_counter", F.lit(-1)).alias("dot_counter"))
 
 
+@query(
+    PLAIN
+    + f""", win AS (SELECT o_orderkey AS window_id, 'user-' || CAST(o_custkey AS VARCHAR) AS entity_id, {LO} + (o_orderkey % 20) * {DAY_NS} AS lo, {LO} + (o_orderkey % 20 + o_orderkey % 4 - 1) * {DAY_NS} AS hi, {TX} + (o_orderkey % 9) * {DAY_NS} AS tx_ns FROM orders)
+SELECT window_id, f.entity_id, f.system_time_ns, f.valid_time_start_ns, f.valid_time_end_ns, f.dot_node_id, f.dot_counter FROM win w JOIN facts f ON w.entity_id = f.entity_id AND hi > lo AND f.system_time_ns <= w.tx_ns AND f.valid_time_start_ns < w.hi AND f.valid_time_end_ns > w.lo"""
+)
+def range_join(spark, d):
+    k = F.col("o_orderkey")
+    lo = F.lit(LO) + k % 20 * DAY_NS
+    windows = table(spark, d, "orders").select(k.alias("window_id"), F.concat(F.lit("user-"), F.col("o_custkey").cast("string")).alias("entity_id"), lo.alias("lo"), (lo + (k % 4 - 1) * DAY_NS).alias("hi"), (F.lit(TX) + k % 9 * DAY_NS).alias("tx_ns"))
+    return temporal.range_join(windows, facts(spark, d)).select("window_id", "entity_id", "system_time_ns", "valid_time_start_ns", "valid_time_end_ns", "dot_node_id", "dot_counter")
+
+
 _WINDOW = f"system_time_ns <= {TX} AND valid_time_start_ns < {HI} AND valid_time_end_ns > {LO}"
 
 

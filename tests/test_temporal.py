@@ -1,5 +1,7 @@
 """Hand-made histories for the bitemporal reads."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,8 +109,6 @@ def test_prune_needs_containment(spark):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_prune_against_brute_force(spark, seed):
-    import random
-
     rnd = random.Random(seed)
     rows = [("e", rnd.randrange(500), a := rnd.randrange(300), a + rnd.randrange(1, 300), str(k)) for k in range(300)]
     for horizon in (100, 300, 1000):
@@ -124,3 +124,53 @@ def test_stamps(spark):
     rows = spark.createDataFrame([("a", "v", None, None), ("b", "v", 5, 10), ("c", "v", 5, 0), ("d", "v", OPEN_END - 1, 10), ("e", None, 5, 2**63 - 1), ("f", "v", -5, 10)], "key string, val string, valid_from_ns long, valid_for_ns long")
     got = {r.key: (r.valid_time_start_ns, r.valid_time_end_ns) for r in stamp_inserts(rows, F.lit(100)).collect()}
     assert got == {"a": (100, OPEN_END), "b": (5, 15), "c": (5, OPEN_END), "d": (OPEN_END - 1, OPEN_END), "e": (5, OPEN_END), "f": (-5, 5)}
+
+
+def hot_history(seed, n=240):
+    """Facts, half of them of one entity, with ties and odd intervals."""
+    rnd = random.Random(seed)
+    return [(rnd.choice("ehhh"), rnd.randrange(-3, 60), a := rnd.randrange(90), a + rnd.choice((-2, 0, 1, 1, 5, 20, 60)), str(k), rnd.randrange(3)) for k in range(n)]
+
+
+def wins(rows, e, v, tx):
+    """The payload of the fact that holds, by the written rule."""
+    live = [(-s, t, a, s, k) for k, (en, s, a, b, _, t) in enumerate(rows) if en == e and 0 < s <= tx and a <= v < b]
+    return rows[min(live)[-1]][4] if live else None
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_joins_of_a_hot_entity_against_brute_force(spark, seed):
+    rnd, rows = random.Random(seed), hot_history(seed)
+    frame = facts(spark, *rows)
+    points = [(k, rnd.choice("ehhhz"), rnd.randrange(-5, 120), rnd.randrange(70)) for k in range(200)]
+    got = {r.coord_id: r.payload for r in temporal.as_of_join(spark.createDataFrame(points, "coord_id long, entity_id string, valid_ns long, tx_ns long"), frame).collect()}
+    assert got == {k: wins(rows, e, v, tx) for k, e, v, tx in points}
+    windows = [(k, rnd.choice("ehhz"), a := rnd.randrange(-5, 120), a + rnd.randrange(-1, 30), rnd.randrange(70)) for k in range(150)]
+    found = temporal.range_join(spark.createDataFrame(windows, "window_id long, entity_id string, lo long, hi long, tx_ns long"), frame)
+    want = sorted((k, r[4]) for k, e, lo, hi, tx in windows for r in rows if hi > lo and r[0] == e and r[1] <= tx and r[2] < hi and r[3] > lo)
+    assert sorted((r.window_id, r.payload) for r in found.collect()) == want
+    held = {(r.entity_id, v): str(r.dot_counter - 1) for r in temporal.timeline(frame, 40).collect() for v in range(r.from_ns, r.to_ns)}
+    assert held == {(e, v): w for e in "eh" for v in range(160) if (w := wins(rows, e, v, 40)) is not None}
+
+
+def test_one_entity_with_most_rows(spark):
+    """20,000 rows of one entity beside few others: what is made on the way grows with rows times their logarithm, not with pairs."""
+    n = 20_000
+    rows = spark.range(2 * n).selectExpr("IF(id % 2 = 0, 'hot', concat('e', id % 997)) AS entity_id", "id + 1 AS system_time_ns", "(id * 7919) % 100003 AS valid_time_start_ns", "(id * 7919) % 100003 + id % 37 * 10 + 1 AS valid_time_end_ns", "id AS assertion_time_ns", "lpad('0', 32, '0') AS dot_node_id", "id AS dot_counter", "'' AS payload_digest", "'' AS payload", "0 AS tier_rank")
+    kept = maintenance.dominance_prune(rows, 10**9)
+    hot = rows.where("entity_id = 'hot'").toPandas().sort_values("system_time_ns", ascending=False)
+    start, end = hot.valid_time_start_ns.to_numpy(), hot.valid_time_end_ns.to_numpy()
+    want = sum(not ((start[:k] <= start[k]) & (end[:k] >= end[k])).any() for k in range(len(hot)))
+    assert kept.where("entity_id = 'hot'").count() == want < n
+    points = rows.selectExpr("dot_counter AS coord_id", "entity_id", "valid_time_start_ns AS valid_ns", "system_time_ns AS tx_ns")
+    assert temporal.as_of_join(points, rows).where("dot_counter = coord_id").count() == 2 * n  # each is the latest at its own place and time
+
+
+def test_next_in_key(spark):
+    from chronoset.operators.ordered import next_in_key
+
+    rows = [("a" if k % 5 else "b", k, k * k) for k in range(300)]
+    got = {r.o: (r.then, r._nexto) for r in next_in_key(spark.createDataFrame(rows, "k string, o long, v long"), ["k"], ["o"], "v", "then", "o").collect()}
+    for key in "ab":
+        own = [r for r in rows if r[0] == key]
+        assert [got[r[1]] for r in own] == [(r[2], r[1]) for r in own[1:]] + [(None, None)]
