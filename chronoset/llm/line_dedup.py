@@ -43,9 +43,10 @@ def _lines(text: Column) -> Column:
 
 def hashed_lines(docs: DataFrame, columns: list[Column], text: str) -> DataFrame:
     """columns with `at` (the line's place) and its key's hashes h1 and h2; lines of empty keys are left out."""
-    # lines are exploded before they are hashed, as functions over arrays are not compiled
-    lines = docs.select(*columns, F.posexplode(_lines(text_of(text))).alias("at", "line")).withColumn("line", line_key(F.col("line"))).where("line <> ''")
-    return lines.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2")).drop("line")
+    # lines are exploded before they are hashed, as functions over arrays are not compiled; the key is reckoned once, after the filter
+    lines = docs.select(*columns, F.posexplode(_lines(text_of(text))).alias("at", "line")).where(F.btrim("line", F.lit(STRIPPED)) != "")
+    key = line_key(F.col("line"))
+    return lines.select("*", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2")).drop("line")
 
 
 class LineRuns:
@@ -122,9 +123,9 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, text: str = "text", key: st
         keys = F.broadcast(keys)
     hits = hashed_lines(docs, row, text).join(keys, HASHES, "left_semi").groupBy("r1", "r2").agg(F.collect_set("at").alias("drop"))
     found = docs.select(F.struct("*").alias("row"), *row).join(hits, ["r1", "r2"], "left").select("row", "drop", F.coalesce(F.col("row").getField(text), F.lit("")).alias("body"))
-    lines = _lines(F.col("body"))
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "drop"), lambda i: F.get(lines, i)), "\n")
-    return found.select("row.*", F.when(F.col("drop").isNull(), F.col("body")).otherwise(kept).alias("_kept"), F.size(lines).cast("long").alias("_n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("_n_dropped"))
+    found = found.withColumn("lines", _lines(F.col("body")))
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop"), lambda i: F.get("lines", i)), "\n")
+    return found.select("row.*", F.when(F.col("drop").isNull(), F.col("body")).otherwise(kept).alias("_kept"), F.size("lines").cast("long").alias("_n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("_n_dropped"))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, text: str = "text", key: str = "doc_id") -> DataFrame:
