@@ -14,7 +14,9 @@ Defined results: words are lower-cased and free of ASCII punctuation; a text of
 n-gram, all its words; a text without words (null, empty) is linked to nothing and is a class of its own.
 Each row is a document, repeated rows included. class_id is the smallest doc_id of a component (rows without
 words: their own doc_id), n_links the number of other documents with a similarity of at least `threshold`.
-A null doc_id is carried along; a component of null ids alone has a null class_id.
+A null doc_id is carried along; a component of null ids alone has a null class_id. Only id and text are read; other columns may have
+any name. The number of links is exact: a group of different near copies is compared all with all, block by block over the tasks,
+so that its work grows with the square of its size, as its number of links does; no pair leaves a task.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mixed, shingles, stored, table, text_of, words
+from .common import WordHashes, free_name, mixed, remove, shingles, stored, table, text_of, words
 
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.999, 5
 #: Classes of a group that are compared with as many others in one task.
@@ -67,21 +69,26 @@ def set_digest(grams: np.ndarray) -> bytes:
 
 
 def signed(docs: DataFrame, text: str, key: str, n: int, bands: int, rows: int) -> DataFrame:
-    """Per document: id, row (a hash of id and text), node (digest of its n-grams; null without words), bands."""
+    """Per document: id, row1 and row2 (two hashes of id and text), node (digest of its n-grams; null without words), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             node, found = [], []
-            for t in batch.column(2):
+            for t in batch.column(3):
                 grams = shingles(hashes.of(words(t.as_py())), n)
                 node.append(set_digest(grams) if len(grams) else None)
                 found.append(band_hashes(grams, bands, rows) if len(grams) else None)
             hashes.trim()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["id", "row", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(node, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["id", "row1", "row2", "node", "bands"])
 
-    rows_in = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(key), text_of(text)).alias("row"), F.col(text).alias("text"))
-    return rows_in.mapInArrow(run, "id long, row long, node binary, bands array<long>")
+    rows_in = docs.select(F.col(key).cast("long").alias("id"), *row_of(key, text), F.col(text).alias("text"))
+    return rows_in.mapInArrow(run, "id long, row1 long, row2 long, node binary, bands array<long>")
+
+
+def row_of(key: str, text: str, names: tuple[str, str] = ("row1", "row2")) -> list[Column]:
+    """Two 64-bit hashes of a row's id and text."""
+    return [F.xxhash64(F.col(key), text_of(text)).alias(names[0]), F.xxhash64(F.lit("row"), text_of(text), F.col(key)).alias(names[1])]
 
 
 def _with_grams(rows: DataFrame, n: int) -> DataFrame:
@@ -172,22 +179,24 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) of the nodes of `edges` (node, root): the smallest node of each connected component."""
     both = stored(edges.select("node", "root").union(edges.select(F.col("root"), F.col("node"))).where("node <> root").distinct(), "edges")
     labels = stored(both.groupBy("node").agg(F.least(F.col("node"), F.min("root")).alias("label")), "labels")
+    at = labels.stored_at
     while True:
         near = both.join(labels.select(F.col("node").alias("root"), "label"), "root").groupBy("node").agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         step = stored(step.join(jump, "label", "left").select("node", "old", F.coalesce(F.least("label", "far"), "label").alias("label")), "labels")
-        labels = step.select("node", "label")
+        remove(edges.sparkSession, at)
+        labels, at = step.select("node", "label"), step.stored_at
         if step.where("old <> label").isEmpty():
             return labels
 
 
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, text: str = "text", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """Per document: id, row (hash of id and text), class_id, n_links, copies (documents with the same set), has_words, keeper (row of the
-    document that stands for the class; null without words)."""
+    """Per document: id, row1 and row2 (hashes of id and text), class_id, n_links, copies (documents with the same set), has_words, keeper1
+    and keeper2 (hashes of the row that stands for the class; null without words)."""
     bands, rows = bands_for(threshold, recall)
     sigs = stored(signed(docs, text, key, n, bands, rows), "signatures")
-    first = F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "row")).alias("first")
+    first = F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "row1", "row2")).alias("first")
     classes = sigs.where("node is not null").groupBy("node").agg(F.count("*").alias("size"), first, F.first("bands").alias("bands"))
     classes = stored(classes, "classes")
     member = classes.select("node", F.xxhash64("node").alias("name"), F.posexplode("bands").alias("band", "hash"))
@@ -196,9 +205,9 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     groups = stored(in_group, "groups")
     sizes = groups.groupBy("centre").agg(F.count("*").alias("n")).where("n > 1")
     centres = groups.groupBy("node").agg(F.sort_array(F.collect_set("centre")).alias("centres"))
-    wanted = classes.select("node", "size", "first.row").join(centres, "node")
-    texts = docs.select(F.xxhash64(F.col(key), text_of(text)).alias("row"), F.col(text).alias("text"))
-    sets = _with_grams(texts.join(wanted, "row"), n)
+    wanted = classes.select("node", "size", "first.row1", "first.row2").join(centres, "node")
+    texts = docs.select(*row_of(key, text), F.col(text).alias("text"))
+    sets = _with_grams(texts.join(wanted, ["row1", "row2"]), n)
     blocks = F.ceil(F.col("n") * 1.25 / block).cast("int")
     placed = sets.select("*", F.explode("centres").alias("centre")).join(sizes, "centre").withColumn("blocks", blocks)
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -213,26 +222,29 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     labels = components(found)
     joined = classes.join(links, "node", "left").join(labels, "node", "left").select("node", "size", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label"))
     firsts = joined.groupBy("label").agg(F.min("first").alias("top"))
-    per_class = stored(joined.join(firsts, "label").select("node", "size", "links", F.nullif("top.id", F.lit(NO_ID)).alias("class_id"), F.col("top.row").alias("keeper")), "per-class")
-    out = sigs.select("id", "row", "node").join(per_class, "node", "left")
+    per_class = stored(joined.join(firsts, "label").select("node", "size", "links", F.nullif("top.id", F.lit(NO_ID)).alias("class_id"), F.col("top.row1").alias("keeper1"), F.col("top.row2").alias("keeper2")), "per-class")
+    out = sigs.select("id", "row1", "row2", "node").join(per_class, "node", "left")
     return out.select(
         "id",
-        "row",
+        "row1",
+        "row2",
         F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce(F.col("links") + F.col("size") - 1, F.lit(0)).alias("n_links"),
         F.coalesce(F.col("size"), F.lit(1)).alias("copies"),
         F.col("node").isNotNull().alias("has_words"),
-        "keeper",
+        "keeper1",
+        "keeper2",
     )
 
 
-def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each class: that with the smallest doc_id, null ids last; of equal rows one. Rows without words all stay."""
-    found = jaccard_join(docs, **options)
-    keep = found.select(F.when(F.col("has_words"), F.col("keeper")).otherwise(F.col("row")).alias("_row"), "has_words").distinct()
-    rows = docs.withColumn("_row", F.xxhash64(F.col("doc_id"), text_of())).join(keep.withColumnRenamed("has_words", "_has_words"), "_row")
-    once = rows.where("_has_words").dropDuplicates(["_row", "doc_id", "text"])
-    return once.unionByName(rows.where("NOT _has_words")).select(*docs.columns)
+def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """docs with one document of each class: that with the smallest id, null ids last; of equal rows one. Rows without words all stay."""
+    found = jaccard_join(docs, text=text, key=key, **options)
+    names, has_words = (free_name("row1", docs), free_name("row2", docs)), free_name("has_words", docs)
+    own = [F.when(F.col("has_words"), F.col(f"keeper{k}")).otherwise(F.col(f"row{k}")).alias(name) for k, name in enumerate(names, 1)]
+    rows = docs.select("*", *row_of(key, text, names)).join(found.select(*own, F.col("has_words").alias(has_words)).distinct(), list(names))
+    once = rows.where(F.col(has_words)).dropDuplicates(list(names))
+    return once.unionByName(rows.where(~F.col(has_words))).select(*docs.columns)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -258,7 +258,15 @@ def test_leaks_of_long_seeds_over_a_large_vocabulary(n):
 
 
 def test_clashing_columns_are_kept(spark):
-    rows = [(k, f"some words of text {k} that go on for a while", "r", "s", "p") for k in range(20)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, row1 string, _row1 string, _row string")
+    rows = [(k, f"text {k} {k + 1} {k + 2} has some words of its own {k} {k}", "r", "s", "p", "q") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row1 string, _row1 string, Row2 string, has_words string")
     bench = spark.createDataFrame([(1, "nothing alike at all here")], "item_id long, text string")
     assert sorted(decontam.drop_leaks(docs, bench).collect()) == sorted(docs.collect())
+    assert sorted(ngram_join.drop_near_copies(docs.union(docs)).collect()) == sorted(docs.collect())
+
+
+def test_twelve_equal_documents(spark):
+    """The join keeps exactly one, whole; beside it, a document that only shares a line."""
+    text = "\n".join(f"line {k} of a text that many have copied" for k in range(20))
+    docs = frame(spark, [(k, text) for k in range(12)] + [(50, "line 3 of a text that many have copied\nand words of its own here")])
+    assert {(r.doc_id, r.text) for r in ngram_join.drop_near_copies(docs).collect()} == {(0, text), (50, "line 3 of a text that many have copied\nand words of its own here")}
