@@ -32,6 +32,8 @@ from .common import split_of, table, text_of
 
 PER_LABEL, SAMPLE_BYTES, STEPS, L2, SHRINK, RARE = 2000, 16_000_000, 150, 1e-4, 0.01, 4
 SLOTS = 1 << 20
+#: Tasks that hash the sample, which is bounded.
+SAMPLE_TASKS = 8
 #: ASCII letters, digits and all bytes of other characters stay; ends of sentences become line ends, the rest blanks.
 _SENTENCES = bytes(b if b >= 128 or chr(b).isalnum() else 10 if chr(b) in ".!?\n" else 32 for b in range(256))
 _END = re.compile(r"[.!?\n]")
@@ -108,46 +110,54 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def bag(text: str | None) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
-    """(32-bit word hashes, number of words of each sentence, features of each hash) of a text."""
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(32-bit word hashes, number of words of each sentence, (hash, features) of each different word) of a text."""
     found = tokens(text)
     sentence, filled = _numbered(np.array([np.nan if w == _ENDED else 0.0 for w in found]))
     kept = [found[k] for k in filled]
     names = {w: xxhash.xxh32_intdigest(w, seed=1) for w in set(kept)}
-    return np.array([names[w] for w in kept], np.uint32), np.bincount(sentence).astype(np.uint32) if kept else np.empty(0, np.uint32), {h: features(w) for w, h in names.items()}
+    table = np.full((len(names), 2 + len(PREFIXES)), SLOTS, np.uint32)  # SLOTS: no feature
+    for k, (w, h) in enumerate(names.items()):
+        own = features(w)
+        table[k, 0], table[k, 1 : 1 + len(own)] = h, own
+    return np.array([names[w] for w in kept], np.uint32), np.bincount(sentence).astype(np.uint32) if kept else np.empty(0, np.uint32), table
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], features_of: dict[int, list[int]], steps: int = STEPS) -> Model:
-    """From (word hashes, words of each sentence, label): Adam on the likelihood of the document labels under noisy-or; small and few
-    weights are preferred."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], tables: list[np.ndarray], steps: int = STEPS) -> Model:
+    """From (word hashes, words of each sentence, label) and tables of the words' features: Adam on the likelihood of the document
+    labels under noisy-or; small and few weights are preferred."""
     labels = np.array([int(y) for _, _, y in rows], float)
     if not len(rows) or labels.min() == labels.max():
         return Model()
+    # of the largest array, a place per word of the sample, one 64-bit copy is kept
+    of_word = np.concatenate([np.empty((0, 2 + len(PREFIXES)), np.uint32), *tables])
+    names, first = np.unique(of_word[:, 0], return_index=True)
+    kind = np.concatenate([np.searchsorted(names, w) for w, _, _ in rows])
     counts = np.concatenate([c for _, c, _ in rows]).astype(np.int64)
-    owner, base = np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for _, c, _ in rows]), len(counts)
-    sentence = np.repeat(np.arange(base, dtype=np.int32), counts)
-    if not base:
+    if not len(kind):
         return Model()
-    names, kind = np.unique(np.concatenate([w for w, _, _ in rows]), return_inverse=True)
-    kind = kind.astype(np.int32)
+    owner, starts = np.repeat(np.arange(len(rows)), [len(c) for _, c, _ in rows]), np.r_[0, np.cumsum(counts)[:-1]]
     # word -> its features; a word's weight is their sum
-    lists = [features_of[int(h)] for h in names]
-    pair_word = np.repeat(np.arange(len(names), dtype=np.int32), [len(x) for x in lists])
-    slots, pair_slot = np.unique(np.array([f for x in lists for f in x], np.int32), return_inverse=True)
-    held = np.unique(owner[sentence].astype(np.int64) * len(names) + kind) % max(1, len(names))  # documents that have a word
-    docs = np.bincount(pair_slot, np.bincount(held, minlength=len(names))[pair_word], len(slots))
+    of_word = of_word[first, 1:]
+    pair_word = np.nonzero(of_word < SLOTS)[0]
+    slots, pair_slot = np.unique(of_word[of_word < SLOTS], return_inverse=True)
+    held, at = np.zeros(len(names), np.int64), 0
+    for w, _, _ in rows:
+        held[np.unique(kind[at : at + len(w)])] += 1
+        at += len(w)
+    docs = np.bincount(pair_slot, held[pair_word], len(slots))
     shrink = SHRINK * (1 + RARE / np.maximum(docs, 1))
     weight = np.full(len(labels), 1 / len(labels))
     p = np.r_[np.zeros(len(slots)), -6.0]
     m, v = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, steps + 1):
         word = np.bincount(pair_word, p[pair_slot], len(names))
-        each = _sigmoid(p[-1] + np.bincount(sentence, word[kind], base))
+        each = _sigmoid(p[-1] + np.add.reduceat(word[kind], starts))
         clean = np.bincount(owner, np.log1p(-np.minimum(each, 1 - 1e-9)), len(rows))  # log P(label 0)
         # d(-log likelihood)/d logit of a sentence: its score where the label is 0, -score * P0 / P1 where it is 1
         odds = np.exp(clean) / np.maximum(-np.expm1(clean), 1e-6)
         slope = weight[owner] * each * np.where(labels[owner] == 1, -odds[owner], 1.0)
-        by_word = np.bincount(kind, slope[sentence], len(names))
+        by_word = np.bincount(kind, np.repeat(slope, counts), len(names))
         g = np.r_[np.bincount(pair_slot, by_word[pair_word], len(slots)), slope.sum()] + L2 * np.r_[p[:-1], 0.0]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p = p - 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -168,26 +178,22 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, sample
     kept = kept.where("before <= most").select("doc_id", "toxic", "hash", F.col("one.row").alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a task sends the features of a word once, and there are few tasks
         for batch in batches:
             bags = [bag(t.as_py()) for t in batch.column(3)]
-            named = [np.array([x for h, f in b[2].items() for x in (h, len(f), *f)], np.uint32) for b in bags]
+            named = []
+            for b in bags:
+                named.append(b[2][np.array([h not in seen for h in b[2][:, 0].tolist()], bool)])
+                seen.update(b[2][:, 0].tolist())
             packed = [[b[0].tobytes() for b in bags], [b[1].tobytes() for b in bags], [x.tobytes() for x in named]]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(x, pa.binary()) for x in packed)], ["doc_id", "toxic", "hash", "words", "counts", "features"])
 
-    found = texts.join(F.broadcast(kept), ["doc_id", "row"]).select("doc_id", "toxic", "hash", "text").mapInArrow(run, "doc_id long, toxic int, hash long, words binary, counts binary, features binary")
-    rows, features_of = {}, {}
+    found = texts.join(F.broadcast(kept), ["doc_id", "row"]).select("doc_id", "toxic", "hash", "text").repartition(SAMPLE_TASKS).mapInArrow(run, "doc_id long, toxic int, hash long, words binary, counts binary, features binary")
+    rows, tables = {}, []
     for r in found.collect():
         rows[r.hash, r.doc_id, r.toxic] = np.frombuffer(r.words, np.uint32), np.frombuffer(r.counts, np.uint32), r.toxic
-        features_of.update(_named(r.features))
-    return fit([rows[k] for k in sorted(rows)], features_of)
-
-
-def _named(packed: bytes) -> dict[int, list[int]]:
-    values, out, at = np.frombuffer(packed, np.uint32).tolist(), {}, 0
-    while at < len(values):
-        out[values[at]] = values[at + 2 : at + 2 + values[at + 1]]
-        at += 2 + values[at + 1]
-    return out
+        tables.append(np.frombuffer(r.features, np.uint32).reshape(-1, 2 + len(PREFIXES)))
+    return fit([rows[k] for k in sorted(rows)], tables)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
