@@ -8,8 +8,10 @@ bucket by bucket without a shuffle. Documents come in batches:
 2. Once a level holds two runs they are merged (by a full sort-merge join) into one of the next level.
 3. When all batches are in, the runs that are left are merged, and lines whose keys they hold often enough leave their documents.
 
-A document is an id: rows that share one count once, and those with a null id are one document. A batch holds whole
-documents by a hash of their ids, so that batches add up.
+A document is an id: rows that share one count once, and those with a null id are one document. A batch holds the documents whose
+hashed ids lie in one range, so that batches add up. With `keep_one`, such a line stays in one document, that with the smallest
+hashed id: then a text that many have copied line by line is not lost with all its copies. The ranges come in order, so the run that
+first holds a key names that document.
 
 Defined results: null text is an empty line; empty keys are never dropped; an empty table gives an empty one; repeated rows are
 each cleaned; `_kept`, `_n_lines` and `_n_dropped` take the place of columns of these names, and all other columns stay.
@@ -69,8 +71,8 @@ class LineRuns:
 
     def add(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> None:
         """The batch's own run: for each key that is not yet known as frequent, the number of its documents."""
-        held = hashed_lines(docs, [F.col(key).alias("doc")], text).select("doc", *HASHES).distinct()
-        counted = held.groupBy(*HASHES).agg(F.count("*").alias("n_docs"))
+        held = hashed_lines(docs, [F.xxhash64(F.col(key)).alias("doc")], text).select("doc", *HASHES).distinct()
+        counted = held.groupBy(*HASHES).agg(F.count("*").alias("n_docs"), F.min("doc").alias("first"))
         for run in self.runs():
             counted = counted.join(self._often(run).select(*HASHES).hint("merge"), HASHES, "left_anti")
         self._write(counted, 0)
@@ -88,12 +90,12 @@ class LineRuns:
         """The two runs of a level into one of the next. A join, as Spark may drop the buckets of tables that it unites."""
         a, b = (self.spark.table(name) for name in self.levels[level])
         n = F.coalesce(a.n_docs, F.lit(0)) + F.coalesce(b.n_docs, F.lit(0))
-        merged = a.join(b.hint("merge"), HASHES, "full").select(*HASHES, n.alias("n_docs"))
+        merged = a.join(b.hint("merge"), HASHES, "full").select(*HASHES, n.alias("n_docs"), F.least(a["first"], b["first"]).alias("first"))
         self.levels[level] = []
         self._write(merged, level + 1)
 
     def frequent(self) -> DataFrame:
-        """(h1, h2, n_docs) of keys that at least min_docs documents hold; n_docs may be short of what was not added any more."""
+        """(h1, h2, n_docs, first) of keys that at least min_docs documents hold; n_docs may be short of what was not added any more."""
         while len(self.runs()) > 1:
             low = [k for k, level in enumerate(self.levels) if level]
             if len(self.levels[low[0]]) == 1:  # a lone run of a low level goes up to the next
@@ -102,7 +104,7 @@ class LineRuns:
                 self._merge(low[1])
             else:
                 self._merge(low[0])
-        return self._often(self.runs()[0]) if self.runs() else self.spark.createDataFrame([], "h1 long, h2 long, n_docs long")
+        return self._often(self.runs()[0]) if self.runs() else self.spark.createDataFrame([], "h1 long, h2 long, n_docs long, first long")
 
     def close(self) -> None:
         for name in self.made:
@@ -110,7 +112,7 @@ class LineRuns:
         remove(self.spark, self.path)
 
 
-def drop_lines(docs: DataFrame, frequent: DataFrame, text: str = "text", key: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def drop_lines(docs: DataFrame, frequent: DataFrame, text: str = "text", key: str = "doc_id", keep_one: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs with `_kept` (the text without the frequent lines), `_n_lines` and `_n_dropped`.
 
     Lines leave a document only as (two hashes of the row, place). The frequent keys are broadcast when they number at most
@@ -118,24 +120,26 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, text: str = "text", key: st
     """
     docs = docs.drop(*(c for c in ("_kept", "_n_lines", "_n_dropped") if c not in (text, key)))
     row = [F.xxhash64(F.col(key), text_of(text)).alias("r1"), F.xxhash64(F.lit("row"), text_of(text), F.col(key)).alias("r2")]
-    keys = frequent.select(*HASHES)
+    keys = frequent.select(*HASHES, *["first"] * keep_one)
     if keys.limit(broadcast_rows + 1).count() <= broadcast_rows:
         keys = F.broadcast(keys)
-    hits = hashed_lines(docs, row, text).join(keys, HASHES, "left_semi").groupBy("r1", "r2").agg(F.collect_set("at").alias("drop"))
+    lines = hashed_lines(docs, [*row, *[F.xxhash64(F.col(key)).alias("doc")] * keep_one], text)
+    hits = (lines.join(keys, HASHES).where("doc <> first") if keep_one else lines.join(keys, HASHES, "left_semi")).groupBy("r1", "r2").agg(F.collect_set("at").alias("drop"))
     found = docs.select(F.struct("*").alias("row"), *row).join(hits, ["r1", "r2"], "left").select("row", "drop", F.coalesce(F.col("row").getField(text), F.lit("")).alias("body"))
     found = found.withColumn("lines", _lines(F.col("body")))
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop"), lambda i: F.get("lines", i)), "\n")
     return found.select("row.*", F.when(F.col("drop").isNull(), F.col("body")).otherwise(kept).alias("_kept"), F.size("lines").cast("long").alias("_n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("_n_dropped"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, text: str = "text", key: str = "doc_id") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, keep_one: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Add docs to the runs batch by batch, then drop each line that at least min_docs documents hold. See drop_lines for the columns."""
     runs = LineRuns(docs.sparkSession, min_docs=min_docs)
+    place = F.least(F.floor((F.xxhash64(F.col(key)) / float(1 << 64) + 0.5) * batches), F.lit(batches - 1))
     for k in range(batches):
-        runs.add(docs.where(F.pmod(F.xxhash64(F.col(key)), F.lit(batches)) == k), text, key)
+        runs.add(docs.where(place == k), text, key)
     frequent = stored(runs.frequent(), "frequent-lines")
     runs.close()
-    return drop_lines(docs, frequent, text, key)
+    return drop_lines(docs, frequent, text, key, keep_one)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

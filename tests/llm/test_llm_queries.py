@@ -9,6 +9,7 @@ from html import unescape
 import numpy as np
 import pytest
 import sentencepiece
+import xxhash
 from llm.test_encodings import plain_pairs
 from oracle import SMALL, rows_of, rows_of_sql
 
@@ -56,13 +57,18 @@ def line_key(line):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(STRIPPED))
 
 
-def brute_lines(texts):
-    """Texts without the lines whose key at least ten of them hold."""
-    seen = defaultdict(int)
-    for t in texts:
+def hashed_id(doc_id):
+    return int.from_bytes(xxhash.xxh64_digest(doc_id.to_bytes(8, "little"), seed=42), "big", signed=True)
+
+
+def brute_lines(docs):
+    """Documents without the lines whose key at least ten of them hold, but for the one of the smallest hashed id."""
+    seen = defaultdict(set)
+    for i, t in docs:
         for k in {line_key(x) for x in t.split("\n")} - {""}:
-            seen[k] += 1
-    return ["\n".join(x for x in t.split("\n") if seen[line_key(x)] < 10) for t in texts]
+            seen[k].add(i)
+    first = {k: min(ids, key=hashed_id) for k, ids in seen.items() if len(ids) >= 10}
+    return [(i, "\n".join(x for x in t.split("\n") if first.get(line_key(x), i) == i)) for i, t in docs]
 
 
 def brute_classes(docs):
@@ -97,7 +103,7 @@ def test_pipeline_against_brute_force(spark):
     model = toxicity.train(spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet"))
     known = toxicity._Weights(model.weights)
     docs = [(i, t) for i, t in docs if model.score(t, known)[0] < 0.5]
-    docs = list(zip([i for i, _ in docs], brute_lines([t for _, t in docs]), strict=True))
+    docs = brute_lines(docs)
     classes = brute_classes(docs)
     docs = [(i, t) for i, t in docs if classes[i][0] == i]
     leaks = {i for i, _ in brute_leaks(docs, items_of(spark))}
@@ -107,6 +113,17 @@ def test_pipeline_against_brute_force(spark):
     assert sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, SMALL).select("doc_id", "ids_sha256").collect()) == want
 
 
+def test_pipeline_keeps_one_of_many_copies(spark, tmp_path):
+    """Twelve equal documents: their lines stay in one of them, which comes through whole; the others have no words left."""
+    text = "\n".join(f"line {k} of a text that many sites have copied word by word" for k in range(30))
+    rows = [(k, text, "en", "s", len(text)) for k in range(12)] + [(50, "a text of its own\nwith two lines", "en", "s", 32)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = corpus_pipeline.drop_near_copies(spark, corpus_pipeline.drop_repeated_lines(spark, docs, SMALL), SMALL)
+    kept = {r.doc_id: r.text for r in corpus_pipeline.drop_benchmark_leaks(spark, docs, SMALL).collect()}
+    whole = min(range(12), key=hashed_id)
+    assert kept[whole] == text and kept[50] == rows[-1][1] and {kept[k] for k in range(12) if k != whole} == {""}
+
+
 def test_decontamination_query(spark):
     assert {tuple(r) for r in result(spark, "op1_benchmark_decontamination", "doc_id", "item_id")} == brute_leaks(docs_of(spark), items_of(spark))
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from chronoset.llm import decontam, line_dedup, ngram_join
 from chronoset.llm.common import WordHashes, shingles, words
@@ -52,6 +53,19 @@ def test_line_runs_are_compacted_and_joined_without_shuffles(spark):
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
 
 
+@pytest.mark.parametrize("batches", [1, 4, 9])
+def test_line_dedup_that_keeps_one(spark, batches):
+    hashed = lambda k: int.from_bytes(xxhash.xxh64_digest(k.to_bytes(8, "little"), seed=42), "big", signed=True)
+    rows = [(k, "\n".join(["all hold this", f"one in three {k % 3}", f"own {k}"])) for k in range(45)]
+    got = {r.doc_id: r._kept for r in line_dedup.dedup_lines(frame(spark, rows), batches=batches, keep_one=True).collect()}
+    first = min(range(45), key=hashed)
+    thirds = {min(range(k, 45, 3), key=hashed) for k in range(3)}
+    assert got == {k: "\n".join(["all hold this"] * (k == first) + [f"one in three {k % 3}"] * (k in thirds) + [f"own {k}"]) for k in range(45)}
+    same = frame(spark, [(k, "a text\nthat twelve\nhave copied") for k in range(12)])
+    texts = [r._kept for r in line_dedup.dedup_lines(same, batches=batches, keep_one=True).collect()]
+    assert sorted(texts) == [""] * 11 + ["a text\nthat twelve\nhave copied"]
+
+
 def test_line_dedup_counts_ids_and_keeps_columns(spark):
     rows = [(k % 9, "seen by nine ids\nown", "a", "b") for k in range(30)] + [(k, "seen by ten ids\nown", "a", "b") for k in range(20, 29)] + [(None, "seen by ten ids", "a", "b")] * 3
     docs = spark.createDataFrame(rows, "doc_id long, text string, _kept string, row string")
