@@ -17,8 +17,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents or more hold go; every document stays, with n_chars of its new text."""
-    cleaned = line_dedup.dedup_lines(docs)
+    """Of the lines that ten documents or more hold, one document keeps each, so that the next stage finds one whole text where many were
+    copies; every document stays, with n_chars of its new text."""
+    cleaned = line_dedup.dedup_lines(docs, keep_one=True)
     return cleaned.withColumn("text", F.col("_kept")).withColumn("n_chars", F.length("_kept").cast("long")).select(*COLUMNS)
 
 
