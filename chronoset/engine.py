@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import time
+import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from .functions.text import mask_pii
 from .operators import admission, maintenance, replica, temporal
+from .schema import KEY, STATE, enforce_schema
 from .sources import layout
 from .sources.facts import LIVE, stamp_inserts
 from .sources.shared import stored
@@ -18,36 +21,67 @@ class NotFound(LookupError):
     """No fact answers the question."""
 
 
+SCHEMA = StructType([*STATE.fields, StructField("payload", StringType()), StructField("tier_rank", IntegerType())])
+
+
+#: Beginnings of the names of tables that inserts and merges add, and of those that compactions write.
+ADDED, COMPACTED = "table=added-", "table=compacted-"
+
+
 class Engine:
-    """Facts are appended as Parquet; reads are DataFrames over all of them. One writer at a time per node id."""
+    """Facts in tables below one path; reads are DataFrames over all live ones. One writer at a time per node id.
+
+    Every insert or merge adds a table of its own, in buckets of the entity. A compaction writes one table, and then a manifest that names
+    it and all tables that it takes the place of; tables that come meanwhile are not named and so stay.
+    """
 
     def __init__(self, spark: SparkSession, path: str, node: str = "0" * 32):
         self.spark, self.path, self.node, self.frontier_ns = spark, path.rstrip("/"), node, 0
 
-    def facts(self) -> DataFrame:
-        schema = "entity_id string, dot_node_id string, dot_counter long, origin_node_id string, system_time_ns long, valid_time_start_ns long, valid_time_end_ns long, assertion_time_ns long, decision_time_ns long, h3_index long, payload_digest string, payload string, tier_rank int"
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/facts")
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+    def _tables(self) -> tuple[list[str], list[str]]:
+        """(live tables, tables that compactions have replaced)."""
+        manifests, gone = layout.folders(self.spark, f"{self.path}/manifests"), []
+        tables = layout.folders(self.spark, f"{self.path}/facts")
+        if manifests:
+            last = self.spark.read.parquet(f"{self.path}/manifests/{manifests[-1]}").first()
+            # a compacted table counts from its manifest on, and then only the last one
+            gone = list(last.replaced)
+            tables = [last.table, *(t for t in tables if not t.startswith(COMPACTED))]
+        else:
+            tables = [t for t in tables if not t.startswith(COMPACTED)]
+        return [t for t in tables if t not in gone], gone
+
+    def facts(self, entity: str | None = None) -> DataFrame:
+        """All facts, or those of one entity, of which only its bucket is read."""
+        tables = [f"{self.path}/facts/{t}" for t in self._tables()[0]]
+        if not tables:
+            return self.spark.createDataFrame([], SCHEMA)
+        return layout.read_facts(self.spark, *tables, base=f"{self.path}/facts", entity=entity).select(*SCHEMA.fieldNames())
+
+    def _append(self, rows: DataFrame) -> None:
+        self._write(ADDED, enforce_schema(rows.select(*SCHEMA.fieldNames()), SCHEMA))
+
+    def _write(self, kind: str, rows: DataFrame) -> str:
+        name = f"{kind}{time.time_ns():020d}-{uuid.uuid4().hex}"
+        layout.write_facts(rows, f"{self.path}/facts/{name}")
+        return name
 
     def insert_batch(self, requests: DataFrame, now_ns: int | None = None) -> DataFrame:
-        """requests (key, val[, valid_from_ns, valid_for_ns]) are stamped with one time and this node's next dots.
+        """requests (key, val[, valid_from_ns, valid_for_ns]) are stamped with one time and this node's next dots; long runs of digits in
+        values are masked before anything is stored.
 
         Returns (key, status, dot_counter); requests without a key have status 400 and are not stored.
         """
-        now = F.lit(time.time_ns() if now_ns is None else now_ns)
+        now = F.lit(time.time_ns() if now_ns is None else now_ns).cast("long")
         for name in ("valid_from_ns", "valid_for_ns"):
             if name not in requests.columns:
                 requests = requests.withColumn(name, F.lit(None).cast("long"))
-        requests = stored(requests.withColumn("logged", F.lit(True)), "requests")
+        requests = stored(requests.withColumn("val", mask_pii("val")).withColumn("logged", F.lit(True)), "requests")
         judged = admission.insert_status(requests)
         rows = stamp_inserts(judged.where("status = 200"), now)
         high = self.facts().where(F.col("dot_node_id") == self.node).agg(F.coalesce(F.max("dot_counter"), F.lit(0))).first()[0]
         rows = stored(replica.assign_dots(rows, self.node, high, ["key", "val", "valid_from_ns", "valid_for_ns"]), "inserts")
-        rows.select(
-            F.col("key").alias("entity_id"), "dot_node_id", "dot_counter", "origin_node_id", "system_time_ns", "valid_time_start_ns", "valid_time_end_ns", "assertion_time_ns", F.lit(0).cast("long").alias("decision_time_ns"), F.lit(0).cast("long").alias("h3_index"), "payload_digest", F.col("val").alias("payload"), F.lit(LIVE).alias("tier_rank")
-        ).write.mode("append").parquet(f"{self.path}/facts")
+        self._append(rows.withColumns({"entity_id": F.col("key"), "decision_time_ns": F.lit(0).cast("long"), "h3_index": F.lit(0).cast("long"), "payload": F.col("val"), "tier_rank": F.lit(LIVE)}))
         return rows.select("key", "status", "dot_counter").unionByName(judged.where("status <> 200").select("key", "status", F.lit(None).cast("long").alias("dot_counter")))
 
     def merge(self, delta: DataFrame) -> DataFrame:
@@ -55,22 +89,22 @@ class Engine:
         own = self.facts()
         delta = stored(delta.select(*(c for c in own.columns if c in delta.columns), *(F.lit(None).cast(own.schema[c].dataType).alias(c) for c in own.columns if c not in delta.columns)), "delta")
         stats = stored(replica.join_stats(own, delta), "stats")
-        replica.dedupe(delta).join(own.select("entity_id", "dot_node_id", "dot_counter"), ["entity_id", "dot_node_id", "dot_counter"], "left_anti").select(*own.columns).write.mode("append").parquet(f"{self.path}/facts")
+        self._append(replica.dedupe(delta).join(own.select(*KEY), list(KEY), "left_anti"))
         return stats
 
     def get(self, key: str) -> dict:
         """The key's latest dot with its payload, which only the originator has."""
-        found = temporal.latest_dot(temporal.of_entity(self.facts(), key)).withColumn("dot", layout.dot_hex()).first()
+        found = temporal.latest_dot(temporal.of_entity(self.facts(key), key)).withColumn("dot", layout.dot_hex()).first()
         if found is None:
             raise NotFound(key)
         return found.asDict()
 
     def as_of(self, valid_ns: int, tx_ns: int, entity: str | None = None) -> DataFrame:
         self.frontier_ns = max(self.frontier_ns, tx_ns)
-        return temporal.as_of(self.facts(), valid_ns, tx_ns, entity)
+        return temporal.as_of(self.facts(entity), valid_ns, tx_ns, entity)
 
     def range(self, lo: int, hi: int, tx_ns: int, entity: str, most: int = 4096, coalesce: bool = False) -> tuple[DataFrame, bool]:
-        rows, truncated = temporal.range_capped(self.facts(), lo, hi, tx_ns, entity, most)
+        rows, truncated = temporal.range_capped(self.facts(entity), lo, hi, tx_ns, entity, most)
         return (temporal.coalesce_range(rows) if coalesce else rows).orderBy("valid_time_start_ns", "dot_node_id", "dot_counter"), truncated
 
     def merkle_root(self) -> str:
@@ -84,7 +118,9 @@ class Engine:
         return "".join(f"{prefix}{name} {value}\n" for name, value in self.status().items())
 
     def compact(self, horizon_ns: int = 0) -> str:
-        """Write all facts, pruned under the horizon, as a compacted table beside the store; returns its path."""
-        to = f"{self.path}/compacted-{time.time_ns()}"
-        layout.write_facts(maintenance.compact(self.facts(), horizon_ns), to)
-        return to
+        """Write all facts, pruned under the horizon, as one table that reads see in place of those it was made of; returns its name."""
+        live, gone = self._tables()
+        name = self._write(COMPACTED, maintenance.compact(self.facts(), horizon_ns).select(*SCHEMA.fieldNames()))
+        manifest = self.spark.createDataFrame([(name, [*gone, *live])], "table string, replaced array<string>")
+        manifest.coalesce(1).write.parquet(f"{self.path}/manifests/{time.time_ns():020d}")
+        return name

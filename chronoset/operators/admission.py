@@ -11,7 +11,7 @@ BUDGET = 1 << 20
 CLOCK_CAP_US = 2000
 SKEW_SECONDS, SKEW_SLACK = 60, 1000
 MAX_LONG = (1 << 63) - 1
-ACCEPT, MALFORMED, RATE, CLOCK, DEPTH, VERIFY = "accept", "drop_malformed", "drop_rate", "drop_clock", "drop_depth", "drop_verify"
+ACCEPT, MALFORMED, RATE, CLOCK, DEPTH, VERIFY, DIRECTORY = "accept", "drop_malformed", "drop_rate", "drop_clock", "drop_depth", "drop_verify", "drop_unknown_origin"
 
 
 def error_kind() -> Column:
@@ -79,6 +79,24 @@ def batch_verdicts(frames: DataFrame, batch: list[str]) -> DataFrame:
     return frames.groupBy(*batch).agg(F.count("*").alias("n"), F.min(error_kind()).alias("error_kind"), F.bool_and(error_kind().isNull()).alias("applied"))
 
 
+def batch_gate(frames: DataFrame, batch: list[str], directory: DataFrame, signed: Column, budget: int = BUDGET) -> DataFrame:
+    """(batch, verdict, n): a batch passes all gates or none of it is applied. In order: every frame parses; every origin's counters are
+    within its budget; every origin is in the directory (origin_node_id); every signature holds. The first gate that fails names the
+    verdict."""
+    known = directory.select("origin_node_id", F.lit(True).alias("_known")).distinct()
+    rows = frames.join(known, "origin_node_id", "left")
+    all_ = lambda c: F.bool_and(F.coalesce(c, F.lit(False)))
+    found = rows.groupBy(*batch).agg(all_(error_kind().isNull()).alias("_parsed"), all_(rate_ok(F.col("dot_counter"), budget)).alias("_rate"), all_(F.col("_known")).alias("_known"), all_(signed).alias("_signed"), F.count("*").alias("n"))
+    fails = lambda c: ~F.col(c)
+    named = F.when(fails("_parsed"), MALFORMED).when(fails("_rate"), RATE).when(fails("_known"), DIRECTORY).when(fails("_signed"), VERIFY).otherwise(ACCEPT)
+    return found.select(*batch, named.alias("verdict"), "n")
+
+
+def inspect_dots(frames: DataFrame, batch: list[str]) -> DataFrame:
+    """The dots that a batch would add, without applying it: each origin and counter once."""
+    return frames.select(*batch, "origin_node_id", "dot_counter").distinct()
+
+
 def insert_status(results: DataFrame) -> DataFrame:
     """results with the status that a caller sees: 400 for a bad request, 503 where the log was not written, else 200."""
     return results.withColumn("status", F.when(F.coalesce(F.col("key"), F.lit("")) == "", 400).when(~F.coalesce(F.col("logged"), F.lit(False)), 503).otherwise(200))

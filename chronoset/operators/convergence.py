@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import rank_in_key
+
 HISTOGRAM = (1e-7, 2.5e-7, 5e-7, 1e-6, 2.5e-6, 5e-6, 1e-5, 5e-5, 1e-4)
 
 
@@ -24,9 +26,12 @@ def all_equal(roots: DataFrame) -> DataFrame:
 
 
 def converged_share(times: DataFrame, keys: list[str], shares: tuple[float, ...] = (0.5, 0.9, 1.0)) -> DataFrame:
-    """Per key and share, the time by which that share of nodes had converged: the value of that rank, no interpolation."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    ranked = times.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("converged_ms", "node_id"))).withColumn("_n", n)
+    """Per key and share, the time by which that share of nodes had converged: the value of that rank, no interpolation.
+
+    Ranks come from ranges of the order, so that a key's rows are not sorted by one task.
+    """
+    ranked = rank_in_key(times, keys, ["converged_ms", "node_id"], "_r")
+    ranked = ranked.join(ranked.groupBy(*keys).agg(F.max("_r").alias("_n")), keys)
     at = [F.max(F.when(F.col("_r") == F.ceil(F.col("_n") * s), F.col("converged_ms"))).alias(f"t{round(s * 100)}") for s in shares]
     return ranked.groupBy(*keys).agg(*at)
 
@@ -66,10 +71,3 @@ def per_second(counts: DataFrame, keys: list[str], order: str, value: str = "n")
 def false_pass(keys: Column, failed: Column, root: Column) -> Column:
     """Why equal roots prove nothing, null if they do: every insert failed, or the root is that of nothing."""
     return F.when((keys > 0) & (failed >= keys), "all inserts failed").when(root.isNull() | (root == "0" * 64), "zero root")
-
-
-def disturbed(delta: DataFrame, key: list[str], seed: int, drop: float, duplicate: float) -> DataFrame:
-    """delta as a bad network gives it: a share of rows lost, a share twice; which ones depends on seed and key alone."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1_000_000)) / 1_000_000
-    copies = F.when(draw < drop, 0).when(draw < drop + duplicate, 2).otherwise(1)
-    return delta.select("*", F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy")).drop("_copy")

@@ -3,7 +3,8 @@
 Points of a key are ranked. Node (level, n) of a key stands for the ranks [n * 2^level, (n + 1) * 2^level). A point lies in
 one node of each level; an interval of ranks is the union of at most two nodes a level. A point and an interval that holds it share
 exactly one of these, so that joins and running maxima by (key, level, node) see each hit once and nothing else. A row so becomes
-some log2(points of its key) rows; keys with many rows are dealt over tasks by their nodes.
+some log2(points of its key) rows; keys with many rows are dealt over tasks by their nodes. Where all keys have few rows, which
+is counted first, a plain join does.
 """
 
 from __future__ import annotations
@@ -11,9 +12,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .ordered import rank_in_key, running_max
 
 NODE = ["_level", "_node"]
+#: Pairs of one key, and pairs a row, up to which a plain join under the key's equality takes less than nodes do.
+PAIRS_OF_KEY, PAIRS_OF_ROW = 4_000_000, 100
+
+
+def pairs_are_few(left: DataFrame, right: DataFrame, key: str) -> bool:
+    """Whether joining all rows of equal keys makes few pairs: for no key more than one task can well look at, and not many a row."""
+    a, b = left.groupBy(key).agg(F.count("*").alias("_a")), right.groupBy(key).agg(F.count("*").alias("_b"))
+    n = F.coalesce(F.col("_a"), F.lit(0)).cast("double") * F.coalesce(F.col("_b"), F.lit(0))
+    rows = F.coalesce(F.sum(F.coalesce(F.col("_a"), F.lit(0)) + F.coalesce(F.col("_b"), F.lit(0))), F.lit(0))
+    most, total, count = a.join(b, key, "full").agg(F.coalesce(F.max(n), F.lit(0.0)), F.coalesce(F.sum(n), F.lit(0.0)), rows).first()
+    return most <= PAIRS_OF_KEY and total <= PAIRS_OF_ROW * count
 
 
 def _levels(size: Column) -> Column:
@@ -72,7 +85,7 @@ def on_nodes(points: DataFrame, intervals: DataFrame, key: str, at: str, start:
     return dots, spans
 
 
-def covering_top(intervals: DataFrame, key: str, start: str, end: str, value: str) -> DataFrame:
+def covering_top(intervals: DataFrame, key: str, start: str, end: str, value: str, direct: bool | None = None) -> DataFrame:
     """(key, start, end, _top): for each different interval of a key, the largest value among the key's intervals that contain it, itself
     included.
 
@@ -80,7 +93,12 @@ def covering_top(intervals: DataFrame, key: str, start: str, end: str, value: st
     only these come before it in both. The first order gives ranks, and their prefixes nodes; within a node, the second
     gives a running maximum.
     """
-    one = intervals.groupBy(key, start, end).agg(F.max(value).alias("_value")).withColumn("_back", -F.col(end))
+    one = stored(intervals.groupBy(key, start, end).agg(F.max(value).alias("_value")), "intervals")
+    if pairs_are_few(one, one, key) if direct is None else direct:
+        outer = one.where("_value IS NOT NULL").select(F.col(key).alias("_key"), F.col(start).alias("_start"), F.col(end).alias("_end"), F.col("_value").alias("_outer"))
+        covers = (F.col(key) == F.col("_key")) & (F.col("_start") <= F.col(start)) & (F.col("_end") >= F.col(end))
+        return one.join(outer, covers).groupBy(key, start, end).agg(F.max("_outer").alias("_top"))
+    one = one.withColumn("_back", -F.col(end))
     ranks = rank_in_key(one, [key], [start, "_back"], "_rank")
     ranks = ranks.join(ranks.groupBy(key).agg(F.max("_rank").alias("_size")), key)
     columns = [key, start, end, "_back", *NODE]

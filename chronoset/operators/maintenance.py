@@ -14,17 +14,18 @@ COMPACT_AT = 64
 EPOCH_LAG = 2
 
 
-def dominance_prune(facts: DataFrame, horizon_ns: int) -> DataFrame:
+def dominance_prune(facts: DataFrame, horizon_ns: int, direct: bool | None = None) -> DataFrame:
     """facts without rows that a later row, known by the horizon, covers: same entity, containing interval, larger system time.
 
     A row goes if the latest system time among the intervals that contain its own is larger than its own; that time is found by
-    running maxima (see intervals.covering_top), without pairing intervals. A horizon of 0 or less prunes nothing.
+    running maxima (see intervals.covering_top), without pairing intervals but where these are few (or `direct` says so). A horizon of
+    0 or less prunes nothing.
     """
     if horizon_ns <= 0:
         return facts
     interval = ["entity_id", "valid_time_start_ns", "valid_time_end_ns"]
     known = facts.select(*interval, F.when(F.col("system_time_ns") <= horizon_ns, F.col("system_time_ns")).alias("_known"))
-    cover = covering_top(known, *interval, "_known")
+    cover = covering_top(known, *interval, "_known", direct)
     return facts.join(cover, interval, "left").where(F.col("_top").isNull() | (F.col("system_time_ns") >= F.col("_top"))).drop("_top")
 
 

@@ -43,27 +43,28 @@ def difference(local: DataFrame, remote: DataFrame) -> DataFrame:
     return local.join(remote.select(*KEY), list(KEY), "left_anti")
 
 
-def tree_root(state: DataFrame, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
-    """One row (root, n): a hash tree over the distinct dots, equal for equal sets of dots.
+def tree_root(state: DataFrame, keys: tuple[str, ...] = (), leaf: int = LEAF, fan: int = FAN) -> DataFrame:
+    """One row (root, n), or one for each of `keys`: a hash tree over the distinct dots, equal for equal sets of dots.
 
     A leaf is SHA-256 over the sorted dots (24 bytes each) of one node whose counters share a range of `leaf`; an inner node
     is SHA-256 over its children's digests in order. So no task sees more than `fan` of them, which one hash over all
     dots would not allow. The empty set has the root of zero bytes.
     """
-    dots = state.select("dot_node_id", "dot_counter").distinct()
-    level = dots.groupBy("dot_node_id", F.expr(f"dot_counter div {leaf}").alias("at")).agg(F.sort_array(F.collect_list(dot_hex())).alias("d"), F.count("*").alias("n"))
-    level = level.select("dot_node_id", "at", F.sha2(F.unhex(F.array_join("d", "")), 256).alias("digest"), "n")
+    dots = state.select(*keys, "dot_node_id", "dot_counter").distinct()
+    level = dots.groupBy(*keys, "dot_node_id", F.expr(f"dot_counter div {leaf}").alias("at")).agg(F.sort_array(F.collect_list(dot_hex())).alias("d"), F.count("*").alias("n"))
+    level = level.select(*keys, "dot_node_id", "at", F.sha2(F.unhex(F.array_join("d", "")), 256).alias("digest"), "n")
     for _ in range(-(-60 // (fan.bit_length() - 1))):  # counters are below 2^60
-        level = level.groupBy("dot_node_id", F.expr(f"at div {fan}").alias("at")).agg(F.sort_array(F.collect_list(F.struct("at", "digest"))).alias("d"), F.sum("n").alias("n"))
-        level = level.select("dot_node_id", "at", F.sha2(F.unhex(F.array_join("d.digest", "")), 256).alias("digest"), "n")
+        level = level.groupBy(*keys, "dot_node_id", F.expr(f"at div {fan}").alias("at")).agg(F.sort_array(F.collect_list(F.struct("at", "digest"))).alias("d"), F.sum("n").alias("n"))
+        level = level.select(*keys, "dot_node_id", "at", F.sha2(F.unhex(F.array_join("d.digest", "")), 256).alias("digest"), "n")
     # nodes are few (one per replica)
-    top = level.groupBy().agg(F.sort_array(F.collect_list(F.struct("dot_node_id", "digest"))).alias("d"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    return top.select(F.when(F.size("d") == 0, ZERO_ROOT).otherwise(F.sha2(F.unhex(F.array_join("d.digest", "")), 256)).alias("root"), "n")
+    top = level.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("dot_node_id", "digest"))).alias("d"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return top.select(*keys, F.when(F.size("d") == 0, ZERO_ROOT).otherwise(F.sha2(F.unhex(F.array_join("d.digest", "")), 256)).alias("root"), "n")
 
 
 def flat_root(dots: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, root): SHA-256 over the key's sorted 24-byte dots, as replicas compare it; for keys of bounded size."""
-    grouped = dots.groupBy(*keys).agg(F.sort_array(F.collect_list(dot_hex())).alias("d"))
+    """(keys, root): SHA-256 over the key's sorted 24-byte dots, as other replicas reckon it. One hash over all dots of a key can't be
+    split, so this is for comparing small sets; tree_root is for all others."""
+    grouped = dots.select(*keys, "dot_node_id", "dot_counter").distinct().groupBy(*keys).agg(F.sort_array(F.collect_list(dot_hex())).alias("d"))
     return grouped.select(*keys, F.sha2(F.unhex(F.array_join("d", "")), 256).alias("root"))
 
 
@@ -95,6 +96,13 @@ def state_fingerprint(state: DataFrame) -> DataFrame:
     return rows.select(F.col("d").alias("fingerprint"), "n")
 
 
+def flat_fingerprint(state: DataFrame, keys: tuple[str, ...] = (), domain: str = "chronoset/state/v1") -> DataFrame:
+    """(keys, fingerprint): SHA-256 over the sorted row digests, as other replicas reckon it. One hash over all rows can't be split, so this
+    is for comparing small states; state_fingerprint is for all others."""
+    rows = state.select(*keys, row_fingerprint(domain).alias("d")).groupBy(*keys).agg(F.sort_array(F.collect_list("d")).alias("d"))
+    return rows.select(*keys, F.sha2(F.unhex(F.array_join("d", "")), 256).alias("fingerprint"))
+
+
 def capture(state: DataFrame, node: str) -> DataFrame:
     """One row: rows, distinct entities, largest counter, and largest counter of the node."""
     return state.agg(F.count("*").alias("n_rows"), F.count_distinct("entity_id").alias("n_entities"), F.coalesce(F.max("dot_counter"), F.lit(0)).alias("lamport_high"), F.coalesce(F.max(F.when(F.col("dot_node_id") == node, F.col("dot_counter"))), F.lit(0)).alias("own_high"))

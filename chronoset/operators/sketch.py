@@ -37,13 +37,18 @@ def hash_dot(node: pd.Series, counter: pd.Series, digest: pd.Series) -> pd.Serie
 
 
 def _check(key: Column) -> Column:
-    return F.xxhash64(F.lit("check"), key)
+    return F.xxhash64(key)
 
 
 def _cells(key: Column, hashes: int, cells: int) -> Column:
-    """One distinct cell for each hash function: each has its own share of the table."""
-    share = cells // hashes
-    return F.array(*(F.pmod(F.xxhash64(F.lit(k), key), F.lit(share)).cast("int") + k * share for k in range(hashes)))
+    """The key's cells (h1 + i * h2) mod cells for i below `hashes`, from one hash h: h1 = h, h2 = (h >> 32) | 1, all unsigned.
+
+    Both are taken modulo first, so that nothing overflows.
+    """
+    unsigned = lambda h: F.pmod(F.pmod(h, F.lit(cells)) + F.when(h < 0, F.lit((1 << 64) % cells)).otherwise(0), F.lit(cells))
+    h = F.xxhash64(key)
+    first, step = unsigned(h), F.pmod(F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1).cast("long")), F.lit(cells))
+    return F.array(*(((first + k * step) % cells).cast("int") for k in range(hashes)))
 
 
 def iblt(keys: DataFrame, cells: int = CELLS, hashes: int = HASHES, by: list[str] | None = None) -> DataFrame:
@@ -62,14 +67,15 @@ def subtract(left: DataFrame, right: DataFrame, by: list[str] | None = None) ->
     return left.join(r, [*by, "cell"], "full").select(*by, "cell", (zero("n") - zero("_n")).alias("n"), zero("key_xor").bitwiseXOR(zero("_k")).alias("key_xor"), zero("hash_xor").bitwiseXOR(zero("_h")).alias("hash_xor"))
 
 
-def peel(difference: DataFrame, cells: int = CELLS, hashes: int = HASHES, rounds: int = 40, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def peel(difference: DataFrame, cells: int = CELLS, hashes: int = HASHES, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """([by,] key, side) of a subtracted table, side 1 for keys of the left alone and -1 for the right, and the cells that are left.
 
-    In rounds: cells of one key give it up, and it is taken out of its other cells. No cell is left if all came out.
+    In rounds, as long as there is one: cells of one key give it up, and it is taken out of its other cells. No cell is left if all
+    came out.
     """
     by, found = by or [], None
     table = stored(difference, "iblt")
-    for _ in range(rounds):
+    while True:
         pure = table.where((F.abs("n") == 1) & (_check(F.col("key_xor")) == F.col("hash_xor"))).select(*by, F.col("key_xor").alias("key"), F.col("n").alias("side")).distinct()
         pure = stored(pure, "peeled")
         if pure.isEmpty():

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.facts import LIVE
-from .intervals import NODE, on_nodes
+from .intervals import NODE, on_nodes, pairs_are_few
 from .ordered import next_in_key, rank_in_key, running_max
 
 #: Who wins among visible rows of an entity: the latest system time; on ties the compacted tier before the
@@ -53,12 +53,19 @@ def _prioritized(facts: DataFrame) -> DataFrame:
     return rank_in_key(facts, ["entity_id"], order, "_prio")
 
 
-def as_of_join(coordinates: DataFrame, facts: DataFrame) -> DataFrame:
+def as_of_join(coordinates: DataFrame, facts: DataFrame, direct: bool | None = None) -> DataFrame:
     """For each coordinate (coord_id, entity_id, valid_ns, tx_ns) the fact that holds there; nulls where none does.
 
     Facts and coordinates of an entity meet in nodes of valid time (see intervals); within a node, the winner is a running maximum
-    in the order of system time. No fact is paired with a coordinate that it does not win.
+    in the order of system time. No fact is paired with a coordinate that it does not hold. Where no entity has many of both (or `direct`
+    says so), they are joined plainly.
     """
+    if pairs_are_few(coordinates, facts, "entity_id") if direct is None else direct:
+        c, f = coordinates.withColumn("_row", F.monotonically_increasing_id()).alias("c"), facts.alias("f")
+        hit = (F.col("c.entity_id") == F.col("f.entity_id")) & (F.col("f.system_time_ns") <= F.col("c.tx_ns")) & (F.col("f.system_time_ns") > 0)
+        hit &= (F.col("f.valid_time_start_ns") <= F.col("c.valid_ns")) & (F.col("f.valid_time_end_ns") > F.col("c.valid_ns"))
+        joined = c.join(f, hit, "left").select("c.*", *(F.col(f"f.{n}") for n in facts.columns if n != "entity_id"))
+        return _first(joined, ["_row"], _precedence()).drop("_row")
     rows = _prioritized(facts.where("system_time_ns > 0 AND valid_time_end_ns > valid_time_start_ns"))
     points = coordinates.select("entity_id", "valid_ns", "tx_ns").distinct()
     dots, spans = on_nodes(points, rows.select("entity_id", "valid_time_start_ns", "valid_time_end_ns", "system_time_ns", "_prio"), "entity_id", "valid_ns", "valid_time_start_ns", "valid_time_end_ns")
@@ -70,12 +77,16 @@ def as_of_join(coordinates: DataFrame, facts: DataFrame) -> DataFrame:
     return won.select(*coordinates.columns, *(n for n in facts.columns if n != "entity_id"))
 
 
-def range_join(windows: DataFrame, facts: DataFrame) -> DataFrame:
+def range_join(windows: DataFrame, facts: DataFrame, direct: bool | None = None) -> DataFrame:
     """Each window (window_id, entity_id, lo, hi, tx_ns) with the facts of its entity, known by its time, whose interval meets [lo, hi).
 
     A fact meets a window if its start lies in the window, or the window's begin in the fact (after its start). Either is a join under
-    equality of nodes (see intervals), so that only hits are paired; the system time is looked at afterwards.
+    equality of nodes (see intervals), so that only hits are paired; the system time is looked at afterwards. Where no entity has many of
+    both (or `direct` says so), they are joined plainly.
     """
+    if pairs_are_few(windows, facts, "entity_id") if direct is None else direct:
+        both = windows.where("hi > lo").select("window_id", "lo", "hi", "tx_ns", "entity_id").join(facts, "entity_id")
+        return both.where("system_time_ns <= tx_ns AND valid_time_start_ns < hi AND valid_time_end_ns > lo")
     asked = windows.where("hi > lo").select("window_id", "entity_id", "lo", "hi", "tx_ns")
     facts_by_number = _prioritized(facts)
     rows = facts_by_number.select("entity_id", "_prio", "valid_time_start_ns", "valid_time_end_ns", "system_time_ns")
@@ -119,7 +130,7 @@ def coalesce_range(rows: DataFrame) -> DataFrame:
     return _first(rows, ["entity_id", "valid_time_start_ns"], _precedence())
 
 
-def timeline(facts: DataFrame, tx_ns: int) -> DataFrame:
+def timeline(facts: DataFrame, tx_ns: int, direct: bool | None = None) -> DataFrame:
     """Which fact holds on each stretch of valid time: (entity, from, to, winner), neighbours with one winner joined.
 
     An extension. Valid time is cut wherever a fact of the entity begins or ends; each stretch has its own winner.
@@ -128,9 +139,14 @@ def timeline(facts: DataFrame, tx_ns: int) -> DataFrame:
     edges = rows.select("entity_id", F.explode(F.array("valid_time_start_ns", "valid_time_end_ns")).alias("at")).distinct()
     stretches = next_in_key(edges, ["entity_id"], ["at"], "at", "until").where("until IS NOT NULL")
     rows = _prioritized(rows)
-    dots, spans = on_nodes(stretches, rows.select("entity_id", "valid_time_start_ns", "valid_time_end_ns", "_prio"), "entity_id", "at", "valid_time_start_ns", "valid_time_end_ns")
-    tops = spans.groupBy("entity_id", *NODE).agg(F.max("_prio").alias("_prio"))
-    best = dots.join(tops, ["entity_id", *NODE]).groupBy("entity_id", "at", "until").agg(F.max("_prio").alias("_prio"))
+    own = rows.select("entity_id", "valid_time_start_ns", "valid_time_end_ns", "_prio")
+    if pairs_are_few(stretches, own, "entity_id") if direct is None else direct:
+        held = stretches.join(own, "entity_id").where("valid_time_start_ns <= at AND valid_time_end_ns > at")
+    else:
+        dots, spans = on_nodes(stretches, own, "entity_id", "at", "valid_time_start_ns", "valid_time_end_ns")
+        tops = spans.groupBy("entity_id", *NODE).agg(F.max("_prio").alias("_prio"))
+        held = dots.join(tops, ["entity_id", *NODE])
+    best = held.groupBy("entity_id", "at", "until").agg(F.max("_prio").alias("_prio"))
     # neighbours with one winner: a stretch is fresh unless the one before ends where it begins and has its winner
     before = next_in_key(best.withColumn("_back", -F.col("at")), ["entity_id"], ["_back"], "until", "_until", "_prio")
     fresh = ~F.coalesce((F.col("_until") == F.col("at")) & (F.col("_next_prio") == F.col("_prio")), F.lit(False))
@@ -152,6 +168,17 @@ def live_merge_range(facts: DataFrame, lo: int, hi: int, tx_ns: int) -> DataFram
     return kept.unionByName(_first(live.join(kept.select(*key).distinct(), key, "left_anti"), key, _precedence()))
 
 
+def live_read(live: DataFrame, tx_ns: int, entity: str | None = None) -> DataFrame:
+    """What a replica that has not flushed yet tells others: its facts known at tx_ns, without their payloads."""
+    return visible(of_entity(live, entity), tx_ns).withColumn("payload", F.lit(None).cast("string"))
+
+
+def with_live(stored: DataFrame, live: DataFrame) -> DataFrame:
+    """Stored facts and those of a live source as one table, for the merges above; the live ones come last in ties."""
+    rows = live.withColumn("tier_rank", F.lit(LIVE))
+    return stored.unionByName(rows.select(*(c for c in stored.columns if c in rows.columns)), allowMissingColumns=True)
+
+
 def latest_dot(state: DataFrame) -> DataFrame:
     """Each entity's row with the largest counter; on ties the smallest node."""
     return _first(state, ["entity_id"], [F.col("dot_counter").desc(), F.col("dot_node_id").asc()])

@@ -165,6 +165,19 @@ def live_merge_range_tied(spark, d):
     return temporal.live_merge_range(facts(spark, d, tied=True), LO, HI, TX).select(*ROW)
 
 
+@query(PLAIN + f"SELECT {_ROW}, CAST(NULL AS VARCHAR) AS payload FROM facts WHERE tier_rank = 2 AND system_time_ns <= {TX}")
+def live_read(spark, d):
+    return temporal.live_read(facts(spark, d).where(F.col("tier_rank") == LIVE), TX).select(*ROW, "payload")
+
+
+@query(ORACLE_SQL["live_merge_range_tied"])
+def live_source_range(spark, d):
+    """The merge with the live rows as a source of their own."""
+    rows = facts(spark, d, tied=True)
+    both = temporal.with_live(rows.where(F.col("tier_rank") != LIVE), rows.where(F.col("tier_rank") == LIVE).drop("tier_rank"))
+    return temporal.live_merge_range(both, LO, HI, TX).select(*ROW)
+
+
 @query(_as_of_sql(TIED).replace("FROM facts WHERE", "FROM facts WHERE tier_rank >= 1 AND"))
 def live_merge_as_of(spark, d):
     return temporal.live_merge_as_of(facts(spark, d, tied=True).where("tier_rank >= 1"), V, TX).select(*ROW)
@@ -250,9 +263,13 @@ def merkle_root(spark, d):
     return replica.tree_root(facts(spark, d))
 
 
-@query(PLAIN + f"SELECT entity_id, sha256(from_hex(string_agg({_DOT}, '' ORDER BY {_DOT}))) AS root FROM facts GROUP BY entity_id")
+_BY = "entity_id, dot_node_id"
+_BY_LEVELS = ", ".join(f"l{k} AS (SELECT {_BY}, at_k // 1024 AS at_k, sha256(from_hex(string_agg(dg, '' ORDER BY at_k))) AS dg, CAST(sum(n) AS BIGINT) AS n FROM l{k - 1} GROUP BY {_BY}, at_k // 1024)" for k in range(1, 7))
+
+
+@query(PLAIN + f", l0 AS (SELECT {_BY}, dot_counter // 1024 AS at_k, sha256(from_hex(string_agg({_DOT}, '' ORDER BY dot_counter))) AS dg, count(*) AS n FROM (SELECT DISTINCT {_BY}, dot_counter FROM facts) GROUP BY 1, 2, 3), {_BY_LEVELS} SELECT entity_id, sha256(from_hex(string_agg(dg, '' ORDER BY dot_node_id))) AS root, CAST(sum(n) AS BIGINT) AS n FROM l6 GROUP BY entity_id")
 def merkle_root_by_entity(spark, d):
-    return replica.flat_root(facts(spark, d), ["entity_id"])
+    return replica.tree_root(facts(spark, d), ("entity_id",))
 
 
 _BE = "lpad(to_hex({}), 16, '0')"
@@ -298,28 +315,58 @@ def roots_converged(spark, d):
     return convergence.all_equal(root.unionByName(root))
 
 
-# ---- sketches: no SQL for the hashes; the peeled result equals the exact difference
+# ---- sketches: hashes and cells by arithmetic in SQL; the peeled result equals the exact difference
 
 
 def _keys(rows: DataFrame) -> DataFrame:
     return rows.select(sketch.hash_dot("dot_node_id", "dot_counter", "payload_digest").alias("key"))
 
 
-@query()
+#: FNV-1a over a dot's node, little-endian counter and digest; XXH64 of that key, of which cells are made; both as unsigned numbers.
+_HEX = "CAST(instr('0123456789abcdef', x[2 * i + 1]) * 16 + instr('0123456789abcdef', x[2 * i + 2]) - 17 AS UBIGINT)"
+_M = 1 << 64
+_FNV = f"""h AS (SELECT *, list_reduce([CAST({0xCBF29CE484222325} AS UBIGINT)] || list_transform(range(0, 56), lambda i: {_HEX}),
+  lambda h, b: CAST((CAST(xor(h, b) AS UHUGEINT) * {0x100000001B3}) % {_M} AS UBIGINT)) AS u
+  FROM (SELECT seq, dot_node_id || array_to_string(list_reverse(regexp_extract_all(lpad(lower(to_hex(dot_counter)), 16, '0'), '..')), '') || payload_digest AS x FROM facts)),
+keys AS (SELECT *, CAST(CASE WHEN u >= {1 << 63} THEN CAST(u AS HUGEINT) - {_M} ELSE u END AS BIGINT) AS key FROM h)"""
+
+
+def _times(value: str, factor: int) -> str:
+    return f"CAST((CAST({value} AS UHUGEINT) * {factor}) % {_M} AS UBIGINT)"
+
+
+def _rotated(value: str, n: int) -> str:
+    return f"(CAST((CAST({value} AS UHUGEINT) * {1 << n}) % {_M} AS UBIGINT) + ({value}) // {1 << 64 - n})"
+
+
+_P1, _P2, _P3, _P4, _P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+_XXH = f"""x1 AS (SELECT *, {_times("u", _P2)} AS a FROM keys), x2 AS (SELECT *, {_times(_rotated("a", 31), _P1)} AS b FROM x1), x3 AS (SELECT *, xor(b, CAST({(42 + _P5 + 8) % _M} AS UBIGINT)) AS c FROM x2),
+x4 AS (SELECT *, CAST((CAST({_times(_rotated("c", 27), _P1)} AS UHUGEINT) + {_P4}) % {_M} AS UBIGINT) AS e FROM x3), x5 AS (SELECT *, {_times("xor(e, e >> 33)", _P2)} AS f FROM x4), x6 AS (SELECT *, {_times("xor(f, f >> 29)", _P3)} AS g FROM x5),
+hashed AS (SELECT *, xor(g, g >> 32) AS w, CAST(CASE WHEN xor(g, g >> 32) >= {1 << 63} THEN CAST(xor(g, g >> 32) AS HUGEINT) - {_M} ELSE xor(g, g >> 32) END AS BIGINT) AS hash FROM x6)"""
+
+
+def _iblt_sql(cells: int, hashes: int, by: str = "") -> str:
+    return PLAIN + f", {_FNV}, {_XXH}, cell AS (SELECT *, CAST((w % {cells} + i * (((w >> 32) | 1) % {cells})) % {cells} AS INTEGER) AS cell FROM hashed, range({hashes}) AS r(i)) SELECT {by}cell, count(*) AS n, bit_xor(key) AS key_xor, bit_xor(hash) AS hash_xor FROM cell GROUP BY ALL"
+
+
+@query(PLAIN + f", {_FNV} SELECT seq, key FROM keys")
 def hash_dot(spark, d):
     return facts(spark, d).select("seq", sketch.hash_dot("dot_node_id", "dot_counter", "payload_digest").alias("key"))
 
 
-@query()
+@query(_iblt_sql(sketch.CELLS, sketch.HASHES))
 def iblt_build(spark, d):
     return sketch.iblt(_keys(facts(spark, d)))
 
 
-@query("SELECT CASE WHEN event_id % 500 = 0 THEN 1 ELSE -1 END AS side, count(*) AS n FROM events WHERE event_id % 500 IN (0, 1) GROUP BY 1")
+_ALONE = _SPLIT + " SELECT {} FROM a WHERE seq NOT IN (SELECT seq FROM b)"
+
+
+@query(_ALONE.format("seq, CAST(1 AS BIGINT) AS side") + " UNION ALL SELECT seq, CAST(-1 AS BIGINT) FROM b WHERE seq NOT IN (SELECT seq FROM a)")
 def iblt_difference(spark, d):
-    rows = facts(spark, d)
-    found = sketch.difference(_keys(rows.where("seq % 500 <> 1")), _keys(rows.where("seq % 500 <> 0")))
-    return found.groupBy(F.col("side").cast("int").alias("side")).agg(F.count("*").alias("n"))
+    rows = facts(spark, d).withColumn("key", sketch.hash_dot("dot_node_id", "dot_counter", "payload_digest"))
+    found = sketch.difference(rows.where("seq % 3 <> 0").select("key"), rows.where("seq % 3 <> 1").select("key"))
+    return rows.join(found, "key").select("seq", "side")
 
 
 @query()
@@ -328,7 +375,7 @@ def strata_estimate(spark, d):
     return sketch.estimate(sketch.strata(_keys(rows.where("seq % 100 <> 1"))), sketch.strata(_keys(rows.where("seq % 100 <> 0"))))
 
 
-@query()
+@query(_iblt_sql(sketch.STRATUM_CELLS, sketch.STRATUM_HASHES, "CAST(CASE WHEN u % 2147483648 = 0 THEN 31 ELSE bit_count(xor(u % 2147483648, u % 2147483648 - 1)) - 1 END AS INTEGER) AS stratum, "))
 def strata_build(spark, d):
     return sketch.strata(_keys(facts(spark, d)))
 
@@ -553,6 +600,22 @@ def batch_all_or_nothing(spark, d):
     return admission.batch_verdicts(_frames(spark, d).withColumn("batch", F.expr("seq div 32")), ["dot_node_id", "batch"])
 
 
+@query(
+    _FRAMES
+    + """, b AS (SELECT dot_node_id, seq // 32 AS batch, bool_and(error_kind IS NULL) AS p, bool_and(c < 9000) AS r, bool_and(origin_node_id IN ('00000000000000000000000000000000', '00000000000000000000000000000001', '00000000000000000000000000000003')) AS k, bool_and(seq % 331 <> 0) AS s, count(*) AS n FROM checked GROUP BY 1, 2)
+SELECT dot_node_id, batch, CASE WHEN NOT p THEN 'drop_malformed' WHEN NOT r THEN 'drop_rate' WHEN NOT k THEN 'drop_unknown_origin' WHEN NOT s THEN 'drop_verify' ELSE 'accept' END AS verdict, n FROM b"""
+)
+def batch_gate(spark, d):
+    frames = _frames(spark, d).withColumn("batch", F.expr("seq div 32"))
+    directory = facts(spark, d).where("seq % 4 <> 2").select(F.col("dot_node_id").alias("origin_node_id"))
+    return admission.batch_gate(frames, ["dot_node_id", "batch"], directory, F.col("seq") % 331 != 0, 9000)
+
+
+@query(_FRAMES + " SELECT DISTINCT seq // 32 AS batch, origin_node_id, c AS dot_counter FROM checked")
+def inspect_batch_dots(spark, d):
+    return admission.inspect_dots(_frames(spark, d).withColumn("batch", F.expr("seq div 32")), ["batch"])
+
+
 @query(PLAIN + "SELECT dot_node_id, (r - 1) // 256 AS chunk, count(*) AS n, min(dot_counter) AS first, max(dot_counter) AS last FROM (SELECT *, row_number() OVER (PARTITION BY dot_node_id ORDER BY dot_counter) AS r FROM facts) GROUP BY ALL")
 def batch_chunks(spark, d):
     ranked = rank_in_key(facts(spark, d), ["dot_node_id"], ["dot_counter"])
@@ -735,11 +798,27 @@ def stream_join(spark, d):
     return spark.read.parquet(path).select(*ROW)
 
 
+@query("SELECT lpad(CAST(event_id % 4 AS VARCHAR), 32, '0') AS dot_node_id, max(event_id + 1) AS lamport FROM events GROUP BY 1")
+def stream_clocks(spark, d):
+    path = new_path(spark, "stream-clocks")
+    rows = src.facts_from_events(ingest.files(spark, f"{d}/events.parquet", table(spark, d, "events").schema))
+    ingest.drain(ingest.clocks(rows), lambda batch, _: batch.write.mode("append").parquet(path), new_path(spark, "stream-checkpoint"), "update")
+    return spark.read.parquet(path).groupBy("dot_node_id").agg(F.max("lamport").alias("lamport"))
+
+
+@query("WITH sweep AS (SELECT user_id, event_id, CAST(event_id // 700 AS VARCHAR) AS root FROM events) SELECT user_id, event_id, coalesce(root = lag(root) OVER w, false) AND NOT coalesce(lag(root) OVER w = lag(root, 2) OVER w, false) AS converged FROM sweep WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def stream_stamps(spark, d):
+    path = new_path(spark, "stream-stamps")
+    rows = ingest.files(spark, f"{d}/events.parquet", table(spark, d, "events").schema).select("user_id", "event_id", F.expr("event_id div 700").cast("string").alias("root"))
+    ingest.drain(rows, ingest.stamp_sink(path, ["user_id"], "event_id"), new_path(spark, "stream-checkpoint"))
+    return spark.read.parquet(f"{path}/stamped").select("user_id", "event_id", "converged")
+
+
 @query(PLAIN + "SELECT entity_id, count(*) FILTER (WHERE dot_counter < 8000) AS kept, count(*) FILTER (WHERE dot_counter >= 8000) AS dropped, coalesce(max(dot_counter) FILTER (WHERE dot_counter < 8000), 0) AS last FROM facts GROUP BY entity_id")
 def stream_rates(spark, d):
     path = new_path(spark, "stream-rates")
     rows = src.facts_from_events(ingest.files(spark, f"{d}/events.parquet", table(spark, d, "events").schema))
-    rates = ingest.peer_rates(rows.select("entity_id", "dot_counter", "seq"), "entity_id", "dot_counter", "seq", 8000)
+    rates = ingest.peer_rates(rows.select("entity_id", "dot_counter"), "entity_id", "dot_counter", 8000)
     ingest.drain(rates, lambda batch, _: batch.write.mode("append").parquet(path), new_path(spark, "stream-checkpoint"), "update")
     return spark.read.parquet(path).groupBy("entity_id").agg(F.max("kept").alias("kept"), F.max("dropped").alias("dropped"), F.max("last").alias("last"))
 
@@ -754,10 +833,9 @@ def snapshot_round_trip(spark, d):
     return back.join(F.broadcast(ok)).agg(F.count("*").alias("n"), F.lit(meta["lamport_high"]).alias("lamport_high"), F.lit(meta["cut_seq"]).alias("cut_seq"))
 
 
-@query(_SPLIT + f" SELECT {_ROW} FROM a WHERE seq NOT IN (SELECT seq FROM b) AND seq % 50 = 1")
+@query(_ALONE.format(_ROW))
 def sketch_delta(spark, d):
-    a, b = _two(spark, d)
-    return sketch.delta_by_sketch(a, b).where("seq % 50 = 1").select(*ROW)  # the whole delta; the SQL shows a share of it
+    return sketch.delta_by_sketch(*_two(spark, d)).select(*ROW)
 
 
 @query("WITH u AS (SELECT s_nationkey AS n_nationkey, max(s_name) AS m FROM supplier GROUP BY 1) SELECT coalesce(n.n_nationkey, u.n_nationkey) AS n_nationkey, coalesce(u.m, n.n_name) AS n_name FROM nation n FULL JOIN u ON n.n_nationkey = u.n_nationkey")
@@ -772,11 +850,12 @@ def scan_plan(spark, d):
     return layout.scan_plan(man.select(F.col("l1_key").alias("key")).distinct(), files.select("key"), man)
 
 
-@query(PLAIN + "SELECT entity_id, dot_node_id, dot_counter FROM facts")
+@query(_SPLIT + " SELECT DISTINCT entity_id, dot_node_id, dot_counter FROM (SELECT * FROM a UNION ALL SELECT * FROM b)")
 def resent_after_loss(spark, d):
-    rows = state(spark, d)
-    heard = replica.join(rows.where("false"), convergence.disturbed(rows, ["entity_id", "dot_node_id", "dot_counter"], 7, 0.3, 0.2))
-    return replica.join(heard, replica.difference(rows, heard)).select("entity_id", "dot_node_id", "dot_counter")
+    """What node b holds once node a has sent again whatever b lacks, some of it twice."""
+    a, b = _two(spark, d)
+    lacking = replica.difference(a, b)
+    return replica.join(b, lacking.unionByName(lacking.where("seq % 2 = 0"))).select("entity_id", "dot_node_id", "dot_counter")
 
 
 @query(f"SELECT 'user-' || CAST(user_id AS VARCHAR) AS entity_id, epoch_us(ts) * 1000 AS system_time_ns, epoch_us(ts) * 1000 - 5000 AS valid_time_start_ns, {OPEN_END} AS valid_time_end_ns, sha256(props) AS payload_digest FROM events WHERE value - 100 BETWEEN -90 AND 90")

@@ -26,15 +26,24 @@ def write_facts(facts: DataFrame, path: str, buckets: int = BUCKETS, mode: str =
     facts.withColumn("bucket", bucket_of(buckets=buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", *_SORT).write.mode(mode).partitionBy("bucket").parquet(path)
 
 
-def read_facts(spark: SparkSession, path: str, entity: str | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """The facts of a path; of one entity, only its bucket is listed and only its row groups are read."""
-    facts = spark.read.parquet(path)
+def read_facts(spark: SparkSession, *paths: str, base: str | None = None, entity: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """The facts of a path, or of several below a base; of one entity, only its bucket is listed and only its row groups are read."""
+    facts = (spark.read.option("basePath", base) if base else spark.read).parquet(*paths)
     if entity is not None:
         bucket = spark.range(1).select(bucket_of(F.lit(entity), buckets)).first()[0]
         facts = facts.where((F.col("bucket") == bucket) & (F.col("entity_id") == entity))
     return facts.drop("bucket")
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the finished tables (folders with a success mark) below a path, in order; none if it is not there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in (fs.listStatus(at) if fs.exists(at) else ()) if f.isDirectory()]
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return sorted(p.getName() for p in found if fs.exists(done(p, "_SUCCESS")))
+
+
 def sharded_key(node: str = "dot_node_id", tx: str = "system_time_ns", suffix: Column | str = "payload_digest") -> Column:
     """Four hex digits of SHA-256 over node and big-endian time, a slash, and the suffix."""
     packed = F.concat(F.unhex(F.col(node)), F.unhex(F.lpad(F.hex(F.col(tx)), 16, "0")))
@@ -88,12 +97,24 @@ def scan_plan(l1: DataFrame, l0: DataFrame, superseded: DataFrame, most: int = 1
 
 
 def parse_metrics(lines: DataFrame, prefix: str = "") -> DataFrame:
-    """Prometheus text (value) -> (name, labels, sample): lines `name{labels} sample` whose name begins with the prefix."""
-    pattern = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(\{[^}]*\})?\s+(\S+)"
-    out = lines.select(F.regexp_extract("value", pattern, 1).alias("name"), F.regexp_extract("value", pattern, 2).alias("labels"), F.regexp_extract("value", pattern, 3).try_cast("double").alias("sample"))
+    """Prometheus text (value) -> (name, labels, sample): lines `name{labels} sample` whose name begins with the prefix; labels are a map,
+    with the escapes of their values undone."""
+    pattern = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(\{(?:[^\"}]|\"(?:[^\"\\\\]|\\\\.)*\")*\})?\s+(\S+)".replace('\\"', '"').replace("\\\\", "\\")
+    pair = r'([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*"((?:[^"\\]|\\.)*)"'
+    text = F.regexp_extract("value", pattern, 2)
+    plain = lambda v: F.replace(F.replace(F.replace(F.replace(v, F.lit("\\\\"), F.lit("\x00")), F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"')), F.lit("\x00"), F.lit("\\"))
+    labels = F.map_from_arrays(F.regexp_extract_all(text, F.lit(pair), 1), F.transform(F.regexp_extract_all(text, F.lit(pair), 2), plain))
+    out = lines.select(F.regexp_extract("value", pattern, 1).alias("name"), labels.alias("labels"), F.regexp_extract("value", pattern, 3).try_cast("double").alias("sample"))
     return out.where((F.col("name") != "") & F.col("name").startswith(prefix) & F.col("sample").isNotNull())
 
 
+def with_labels(samples: DataFrame, **labels: str) -> DataFrame:
+    """The samples that have all these labels, whatever others they have."""
+    for name, value in labels.items():
+        samples = samples.where(F.col("labels").getItem(name) == value)
+    return samples
+
+
 def single_sample(samples: DataFrame) -> DataFrame:
     """Metrics with exactly one sample, and its value."""
     return samples.groupBy("name").agg(F.count("*").alias("n"), F.min("sample").alias("sample")).where("n = 1").select("name", "sample")

@@ -1,38 +1,34 @@
-"""Structured Streaming forms of the ingest: a join sink, and per-key rates kept as state."""
+"""Structured Streaming forms of the ingest: a join sink, rates and clocks as aggregates, and convergence stamps."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators import admission, replica
-from ..schema import KEY
+from ..operators import admission, convergence, replica
+from ..schema import KEY, MAX_COUNTER
+from ..sources import layout
+from ..sources.shared import exists
 
 
-def known_keys(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The keys that a state table holds; none if it is not there yet."""
-    try:
-        return spark.read.schema(schema).parquet(path).select(*KEY)
-    except AnalysisException:
-        return spark.createDataFrame([], schema).select(*KEY)
-
+def join_sink(path: str, buckets: int = 256) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: appends the batch's new dots to the state table at path, which is kept in buckets of the entity.
 
-def join_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: appends the batch's new dots to the state table at path.
-
-    A duplicate may come at any time later, so no watermark bounds the comparison: it is an anti-join with the table. That
-    makes a repeated batch add nothing, which foreachBatch needs after a failure.
+    A duplicate may come at any time later, so no watermark bounds the comparison: it is an anti-join with the table, of which only
+    the buckets that the batch touches are read. That makes a repeated batch add nothing, which foreachBatch needs after a failure.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        known = known_keys(batch.sparkSession, path, batch.schema)
-        replica.dedupe(batch).join(known, list(KEY), "left_anti").write.mode("append").parquet(path)
+        spark, fresh = batch.sparkSession, replica.dedupe(batch).withColumn("bucket", layout.bucket_of(buckets=buckets))
+        if exists(spark, path):
+            touched = [r[0] for r in fresh.select("bucket").distinct().collect()]
+            known = spark.read.schema(fresh.schema).parquet(path).where(F.col("bucket").isin(touched)).select("bucket", *KEY)
+            fresh = fresh.join(known, ["bucket", *KEY], "left_anti")
+        fresh.write.mode("append").partitionBy("bucket").parquet(path)
 
     return sink
 
@@ -42,28 +38,38 @@ def admitted(frames: DataFrame) -> DataFrame:
     return frames.where(admission.error_kind().isNull() & admission.rate_ok(frames["dot_counter"]))
 
 
-def peer_rates(frames: DataFrame, key: str, counter: str, order: str, budget: int = admission.BUDGET) -> DataFrame:
-    """A stream of (key, counter, order) -> per key and batch: kept and dropped frames so far, last counter, moving rate.
+def peer_rates(frames: DataFrame, key: str, counter: str, budget: int = admission.BUDGET) -> DataFrame:
+    """A stream of (key, counter) -> per key: frames kept and dropped so far, and the largest counter that was kept.
 
-    Frames of a key are taken in `order` within a batch. The state per key is four numbers.
+    What a frame's counter is compared with is always below the budget, as only such frames are kept. So a frame is dropped if and
+    only if its counter is not below the budget, in whatever order frames come, and three aggregates are all the state there is.
     """
-    schema = f"{key} string, kept long, dropped long, last long, rate double"
-
-    def step(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept, dropped, last, rate = state.get if state.exists else (0, 0, 0, 0.0)
-        for c in pd.concat(list(parts)).sort_values(order)[counter].tolist():
-            if c <= last:
-                kept += 1
-                continue
-            rate = 0.1 * rate + 0.9 * (c - last)
-            if c < budget:
-                kept, last = kept + 1, c
-            else:
-                dropped += 1
-        state.update((kept, dropped, last, rate))
-        yield pd.DataFrame({key: [name[0]], "kept": [kept], "dropped": [dropped], "last": [last], "rate": [rate]})
-
-    return frames.groupBy(key).applyInPandasWithState(step, schema, "kept long, dropped long, last long, rate double", "update", GroupStateTimeout.NoTimeout)
+    ok = admission.rate_ok(F.col(counter), budget)
+    return frames.groupBy(key).agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("dropped"), F.coalesce(F.max(F.when(ok, F.col(counter))), F.lit(0)).alias("last"))
+
+
+def clocks(frames: DataFrame, key: str = "dot_node_id", counter: str = "dot_counter") -> DataFrame:
+    """A stream's Lamport clock per node: the largest sane counter so far."""
+    return frames.where(F.col(counter) <= MAX_COUNTER).groupBy(key).agg(F.max(counter).alias("lamport"))
+
+
+def stamp_sink(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: sweeps (keys, order, root) go to path/stamped with `converged`, as convergence.stamps gives them.
+
+    The state is the last two sweeps of each key, a table per batch, so that a batch that is repeated finds the state before it. Sweeps
+    of a key come in order from batch to batch; within one, in any order.
+    """
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark, now = batch.sparkSession, batch.withColumn("_new", F.lit(True))
+        if batch_id:
+            now = now.unionByName(spark.read.parquet(f"{path}/state/{batch_id - 1}").withColumn("_new", F.lit(False)))
+        stamped = convergence.stamps(now, keys, [order])
+        stamped.where("_new").drop("_new").write.mode("overwrite").parquet(f"{path}/stamped/batch={batch_id}")
+        last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))
+        now.withColumn("_last", last).where("_last <= 2").drop("_last", "_new").write.mode("overwrite").parquet(f"{path}/state/{batch_id}")
+
+    return sink
 
 
 def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:

@@ -21,3 +21,35 @@ def test_entry_names(spark):
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries)
     assert entry.entry(spark).count() > 0
+
+
+def test_mask_pii_values(spark):
+    import hashlib
+    import re
+
+    import xxhash
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    mask = lambda t: re.sub("[0-9]{12}", lambda m: f"PII_REDACTED_{xxhash.xxh64_hexdigest(m[0].encode())}", t)
+    want = {k: hashlib.sha256(mask(t).encode()).hexdigest() if t is not None else None for k, t in texts.items()}
+    assert {r.doc_id: r.masked for r in catalogue.QUERIES["mask_pii"](spark, SMALL).collect()} == want
+    assert any(mask(t) != t for t in texts.values() if t)
+
+
+def test_strata_estimate_query(spark):
+    from test_replica import plain_estimate
+
+    keys = {r.seq: r.key for r in catalogue.QUERIES["hash_dot"](spark, SMALL).collect()}
+    sides = [[k for n, k in keys.items() if n % 100 != gone] for gone in (1, 0)]
+    assert catalogue.QUERIES["strata_estimate"](spark, SMALL).first()[0] == plain_estimate(*sides)
+
+
+def test_entry_without_the_optional_part(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, "chronoset.llm.queries", None)  # as if a library that it needs were not there
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    with pytest.warns(UserWarning, match="left out"):
+        assert set(entry.queries()) == set(catalogue.QUERIES)

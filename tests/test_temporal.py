@@ -107,13 +107,13 @@ def test_prune_needs_containment(spark):
     assert maintenance.dominance_prune(facts(spark, ("e", 100, 0, 100, "r"), ("e", 200, 20, 80, "d"), ("f", 300, 0, 100, "x")), 1000).count() == 3
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_prune_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, direct", [(0, False), (1, True), (2, None)])
+def test_prune_against_brute_force(spark, seed, direct):
     rnd = random.Random(seed)
     rows = [("e", rnd.randrange(500), a := rnd.randrange(300), a + rnd.randrange(1, 300), str(k)) for k in range(300)]
     for horizon in (100, 300, 1000):
         want = sorted(r[4] for r in rows if not any(q[1] > r[1] and q[2] <= r[2] and q[3] >= r[3] and q[1] <= horizon for q in rows))
-        once = maintenance.dominance_prune(facts(spark, *rows), horizon)
+        once = maintenance.dominance_prune(facts(spark, *rows), horizon, direct)
         assert payloads(once) == want
     assert payloads(maintenance.dominance_prune(once, horizon)) == want
 
@@ -138,18 +138,18 @@ def wins(rows, e, v, tx):
     return rows[min(live)[-1]][4] if live else None
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_joins_of_a_hot_entity_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, direct", [(0, False), (1, False), (0, True), (2, None)])
+def test_joins_of_a_hot_entity_against_brute_force(spark, seed, direct):
     rnd, rows = random.Random(seed), hot_history(seed)
     frame = facts(spark, *rows)
     points = [(k, rnd.choice("ehhhz"), rnd.randrange(-5, 120), rnd.randrange(70)) for k in range(200)]
-    got = {r.coord_id: r.payload for r in temporal.as_of_join(spark.createDataFrame(points, "coord_id long, entity_id string, valid_ns long, tx_ns long"), frame).collect()}
+    got = {r.coord_id: r.payload for r in temporal.as_of_join(spark.createDataFrame(points, "coord_id long, entity_id string, valid_ns long, tx_ns long"), frame, direct).collect()}
     assert got == {k: wins(rows, e, v, tx) for k, e, v, tx in points}
     windows = [(k, rnd.choice("ehhz"), a := rnd.randrange(-5, 120), a + rnd.randrange(-1, 30), rnd.randrange(70)) for k in range(150)]
-    found = temporal.range_join(spark.createDataFrame(windows, "window_id long, entity_id string, lo long, hi long, tx_ns long"), frame)
+    found = temporal.range_join(spark.createDataFrame(windows, "window_id long, entity_id string, lo long, hi long, tx_ns long"), frame, direct)
     want = sorted((k, r[4]) for k, e, lo, hi, tx in windows for r in rows if hi > lo and r[0] == e and r[1] <= tx and r[2] < hi and r[3] > lo)
     assert sorted((r.window_id, r.payload) for r in found.collect()) == want
-    held = {(r.entity_id, v): str(r.dot_counter - 1) for r in temporal.timeline(frame, 40).collect() for v in range(r.from_ns, r.to_ns)}
+    held = {(r.entity_id, v): str(r.dot_counter - 1) for r in temporal.timeline(frame, 40, direct).collect() for v in range(r.from_ns, r.to_ns)}
     assert held == {(e, v): w for e in "eh" for v in range(160) if (w := wins(rows, e, v, 40)) is not None}
 
 
@@ -157,6 +157,9 @@ def test_one_entity_with_most_rows(spark):
     """20,000 rows of one entity beside few others: what is made on the way grows with rows times their logarithm, not with pairs."""
     n = 20_000
     rows = spark.range(2 * n).selectExpr("IF(id % 2 = 0, 'hot', concat('e', id % 997)) AS entity_id", "id + 1 AS system_time_ns", "(id * 7919) % 100003 AS valid_time_start_ns", "(id * 7919) % 100003 + id % 37 * 10 + 1 AS valid_time_end_ns", "id AS assertion_time_ns", "lpad('0', 32, '0') AS dot_node_id", "id AS dot_counter", "'' AS payload_digest", "'' AS payload", "0 AS tier_rank")
+    from chronoset.operators.intervals import pairs_are_few
+
+    assert not pairs_are_few(rows, rows, "entity_id")
     kept = maintenance.dominance_prune(rows, 10**9)
     hot = rows.where("entity_id = 'hot'").toPandas().sort_values("system_time_ns", ascending=False)
     start, end = hot.valid_time_start_ns.to_numpy(), hot.valid_time_end_ns.to_numpy()
