@@ -768,7 +768,21 @@ def mask_pii_mark(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(fn.pii_mark("text"), 256).alias("masked"), fn.pii_runs("text").alias("n"))
 
 
-@query()
+def _ascii_number(text: str, first: int, count: int) -> str:
+    """Some characters of a text as a little-endian number."""
+    return "CAST(" + " + ".join(f"CAST(ascii({text}[{first + k}]) AS UHUGEINT) * {1 << 8 * k}" for k in range(count)) + " AS UBIGINT)"
+
+
+_PII = f"""WITH m AS (SELECT doc_id, text, regexp_extract_all(text, '[0-9]{{12}}') AS r, string_split_regex(text, '[0-9]{{12}}') AS parts FROM documents),
+runs AS (SELECT doc_id, unnest(r) AS d, generate_subscripts(r, 1) AS k FROM m),
+x1 AS (SELECT *, {_times(_ascii_number("d", 1, 8), _P2)} AS a, {_times(_ascii_number("d", 9, 4), _P1)} AS t FROM runs), x2 AS (SELECT *, xor(CAST({(_P5 + 12) % _M} AS UBIGINT), {_times(_rotated("a", 31), _P1)}) AS b FROM x1),
+x3 AS (SELECT *, xor(CAST((CAST({_times(_rotated("b", 27), _P1)} AS UHUGEINT) + {_P4}) % {_M} AS UBIGINT), t) AS c FROM x2), x4 AS (SELECT *, CAST((CAST({_times(_rotated("c", 23), _P2)} AS UHUGEINT) + {_P3}) % {_M} AS UBIGINT) AS e FROM x3),
+x5 AS (SELECT *, {_times("xor(e, e >> 33)", _P2)} AS f FROM x4), x6 AS (SELECT *, {_times("xor(f, f >> 29)", _P3)} AS g FROM x5),
+hs AS (SELECT doc_id, list(lower(lpad(to_hex(xor(g, g >> 32)), 16, '0')) ORDER BY k) AS h FROM x6 GROUP BY doc_id)
+SELECT m.doc_id, sha256(CASE WHEN text IS NULL THEN NULL WHEN h IS NULL THEN text ELSE parts[1] || array_to_string(list_transform(range(1, len(h) + 1), lambda i: 'PII_REDACTED_' || h[i] || parts[i + 1]), '') END) AS masked FROM m LEFT JOIN hs ON m.doc_id = hs.doc_id"""
+
+
+@query(_PII)
 def mask_pii(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(fn.mask_pii("text"), 256).alias("masked"))
 
