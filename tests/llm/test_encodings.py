@@ -30,7 +30,7 @@ def test_sentencepiece_equals_the_library(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=sentence_piece.MODEL)
     real = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()]
     everything = [*ODD, *texts(1, 3000), *real]
-    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(everything)] + [(-1, None, "x")], "doc_id long, text string, ids string")
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(everything)] + [(-1, None, "x")], "doc_id long, text string, _ids string")
     got = {r.doc_id: r for r in sentence_piece.tokenize(docs).collect()}
     for k, t in enumerate(everything):
         assert got[k]._ids == sp.encode(t), repr(t[:80])
