@@ -145,7 +145,9 @@ def parse(html: str) -> Tree:
             if tags[stack[k]] in stops:
                 return
 
-    for m in _TOKEN.finditer(html):
+    # after the last ">" nothing but a comment can begin, so that no "<" there is looked at again and again
+    end, unclosed = html.rfind(">") + 1, False
+    for m in _TOKEN.finditer(html, 0, end):
         slash, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if skip_to is not None and not (tag and slash and tag.lower() == skip_to):
             continue
@@ -155,6 +157,7 @@ def parse(html: str) -> Tree:
                 links += m.start() - at
         at, skip_to = m.end(), None
         if not tag:
+            unclosed = m[0].startswith("<!--") and not m[0].endswith("-->")
             continue
         tag = tag.lower()
         if tag in ("script", "style"):  # no block: the text around them runs on
@@ -187,8 +190,8 @@ def parse(html: str) -> Tree:
         opened[tag] += 1
         if tag in RAW:
             skip_to = tag
-    if skip_to is None:
-        text.append(html[at:])
+    if skip_to is None and not unclosed:
+        text.append(html[at:].partition("<!--")[0])
     flush()
     return tree
 

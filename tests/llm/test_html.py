@@ -86,6 +86,9 @@ def test_blocks():
         "": "",
         "plain text": "plain text",
         page("<article><p>never closed"): "never closed",
+        "<article><p>x</p>y <!-- open": "x y",
+        "<article><p>x</p>y <!-- open <p>z</p>": "x y",
+        "<article><p>x</p>1 < 2 <b": "x 1 < 2 <b",
         page("<article><p>x<script>never closed"): "x",
     }
     for html, want in cases.items():
@@ -110,6 +113,14 @@ def test_deep_and_wide_pages(html):
     assert own_text(page(html)) and time.time() - began < 30
 
 
+@pytest.mark.parametrize("unit", ["<a ", "<", '<a "', "<!-- ", "</", "<p>", "&", "<a href='"])
+def test_long_junk_takes_no_time(unit):
+    began = time.time()
+    for html in (unit * 200_000, unit * 200_000 + ">", "<p>x</p>" + unit * 200_000):
+        parse(html)
+    assert time.time() - began < 20
+
+
 def words(rnd, n):
     return " ".join(rnd.choice(("lorem", "ipsum", "dolor", "sit", "amet")) + str(rnd.randrange(99)) for _ in range(n))
 
