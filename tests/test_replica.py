@@ -296,6 +296,16 @@ def test_stamp_sink_goes_on_from_batch_to_batch(spark, tmp_path):
     assert rows(got) == rows(convergence.stamps(frame, ["k"], ["o"]).select("k", "o", "root", "converged"))
 
 
+def test_admitted_frames_and_table_sizes(spark):
+    from chronoset.streaming import ingest
+
+    good, other, body = "a" * 32, "b" * 32, hashlib.sha256(b"v").hexdigest()
+    frames = [(good, good, 1, "v", body), (good, other, 1, "v", body), (good, good, 0, "v", body), (good, good, admission.BUDGET, "v", body), (good, good, 2, "w", body), ("short", "short", 3, "v", body)]
+    frame = spark.createDataFrame(frames, "origin_node_id string, dot_node_id string, dot_counter long, payload string, payload_digest string")
+    assert [r.dot_counter for r in ingest.admitted(frame).collect()] == [1]
+    assert [sketch.table_size(n) for n in (0, 85, 86, 1000)] == [128, 128, 129, 1500] and sketch.shards_for(0) == 1
+
+
 def test_intermediate_tables_are_swept(spark):
     from chronoset.sources import shared
 
