@@ -14,7 +14,7 @@ No list of class names is used; elements that are never article text by their ki
 articles, ...) are left out when pages are parsed.
 
 A host of fewer than `min_pages` different pages gives no contrast: each of its pages is searched alone, nothing being
-template, and <article> or <main> decide if they have any text. So is a page of which a wrapper keeps nothing. Pages
+template, and <article> or <main> decide if they have any text. So is a page of which a wrapper keeps nothing but headings. Pages
 whose own search gives equal text are one page in all counts, so that copies of a page make no template of its text.
 
 Tree matching works on shapes (a tag and the shapes of its children): equal shapes match whole, others by an ordered
@@ -328,16 +328,16 @@ def bare_tree(text: str) -> tuple[Tree, list[set[int]]]:
     return tree, [set(h) for h in hashes]
 
 
-def content(tree: Tree, mass: list[int], extra: dict[tuple[int, str], int], share: float = SHARE, semantic_share: float = SEMANTIC_SHARE) -> tuple[set[int], set[tuple[int, str]]]:
-    """(nodes, (node, label) of elements that the tree lacks) whose text is content. mass: varying text outside links of each node
-    itself; extra: that of elements that the tree lacks, by the node above and their label."""
+def content(tree: Tree, mass: list[int], extra: dict[tuple[int, str], int], share: float = SHARE, semantic_share: float = SEMANTIC_SHARE) -> tuple[set[int], set[tuple[int, str]], set[int]]:
+    """(nodes, (node, label) of elements that the tree lacks, headings on the way to them) whose text is content. mass: varying text outside
+    links of each node itself; extra: that of elements that the tree lacks, by the node above and their label."""
     below, missing = list(mass), {}
     for (node, label), m in extra.items():
         below[node] += m
         missing.setdefault(node, {})[label] = m
     for k in range(len(below) - 1, 0, -1):
         below[tree.parent[k]] += below[k]
-    kept, lacking, roots, at = set(), set(), [], 0
+    kept, lacking, headings, roots, at = set(), set(), set(), [], 0
     while True:
         groups: dict[str, list] = {}
         text = mass[at]
@@ -370,7 +370,7 @@ def content(tree: Tree, mass: list[int], extra: dict[tuple[int, str], int], shar
             break
         for c in tree.children[at]:  # headings on the way
             heads = [c] if tree.tags[c] == "h1" else [g for g in tree.children[c] if tree.tags[g] == "h1"] if tree.tags[c] == "header" else []
-            kept.update(heads)
+            headings.update(heads)
         lacking.update((at, k) for k in chosen)
         if missing.get(at):
             lacking.update((at, k) for k in missing[at] if k.partition(".")[0] == "h1")
@@ -382,7 +382,9 @@ def content(tree: Tree, mass: list[int], extra: dict[tuple[int, str], int], shar
     for k in range(1, len(tree.tags)):
         if tree.parent[k] in kept:
             kept.add(k)
-    return kept, lacking
+        elif tree.parent[k] in headings:
+            headings.add(k)
+    return kept, lacking, headings
 
 
 def own_content(tree: Tree) -> set[int]:
@@ -390,7 +392,8 @@ def own_content(tree: Tree) -> set[int]:
     mass = [0] * len(tree.tags)
     for node, _, prose in tree.runs:
         mass[node] += prose
-    return content(tree, mass, {}, semantic_share=0)[0]
+    kept, _, headings = content(tree, mass, {}, semantic_share=0)
+    return kept | headings
 
 
 def runs_of(html: str, pivot: tuple[Tree, list[set[int]], list[int]], shapes: Shapes) -> list[tuple[int, str, bool, bool, int, str]]:
@@ -468,7 +471,7 @@ def pivots_of(pages: DataFrame) -> DataFrame:
 
 
 def induced(pivot: str, pages: int, slots: list[dict], same: float, held: float) -> str:
-    """A host's wrapper as JSON: content nodes, labels of content that the pivot lacks, and template nodes."""
+    """A host's wrapper as JSON: content nodes, labels of content that the pivot lacks, headings on the way, and template nodes."""
     tree, _ = bare_tree(pivot)
     constant = {s["node"] for s in slots if not s["label"] and s["pages"] >= held * pages and s["same"] >= same * s["n"]}
     mass, extra = [0] * len(tree.tags), {}
@@ -477,8 +480,8 @@ def induced(pivot: str, pages: int, slots: list[dict], same: float, held: float)
             extra[s["node"], s["label"]] = s["prose"]
         elif s["node"] not in constant:
             mass[s["node"]] = s["prose"]
-    kept, lacking = content(tree, mass, extra)
-    return json.dumps([sorted(kept), sorted(lacking), sorted(constant)])
+    kept, lacking, headings = content(tree, mass, extra)
+    return json.dumps([sorted(kept), sorted(lacking), sorted(headings), sorted(constant)])
 
 
 def wrappers_of(found: DataFrame, pivots: DataFrame, min_pages: int = MIN_PAGES, same: float = SAME, held: float = HELD) -> DataFrame:
@@ -497,11 +500,18 @@ def wrappers_of(found: DataFrame, pivots: DataFrame, min_pages: int = MIN_PAGES,
     return host.where(F.col("pages") >= min_pages).join(pivots, "host").select("host", "pivot", "pages", "slots").mapInArrow(run, "host string, wrapper string")
 
 
-def text_of_runs(runs: list[tuple[int, str, bool, bool, str]], wrapper: tuple[set, set, set] | None) -> str:
-    """The text of a page by its host's wrapper, or by its own search if there is none or it keeps nothing."""
+def text_of_runs(runs: list[tuple[int, str, bool, bool, str]], wrapper: tuple[set, set, set, set] | None) -> str:
+    """The text of a page by its host's wrapper, or by its own search if there is none or it keeps nothing but headings."""
     if wrapper:
-        kept, lacking, constant = wrapper
-        if picked := [t for node, label, same, _, t in runs if (node in kept or (node, label) in lacking) and not (same and node in constant)]:
+        kept, lacking, headings, constant = wrapper
+        picked, beyond = [], False
+        for node, label, same, _, t in runs:
+            if not (same and node in constant):
+                inside = node in kept or ((node, label) in lacking and not label.startswith("h1"))
+                beyond |= inside
+                if inside or node in headings or (node, label) in lacking:
+                    picked.append(t)
+        if beyond:
             return " ".join(picked)
     return " ".join(t for _, _, _, own, t in runs if own)
 
@@ -521,8 +531,8 @@ def _texts(joined: DataFrame, induce: bool) -> DataFrame:
                 if (name := wrapper.as_py()) and name not in known:
                     if len(known) > 2000:
                         known.clear()
-                    kept, lacking, constant = json.loads(name)
-                    known[name] = set(kept), {tuple(x) for x in lacking}, set(constant)
+                    kept, lacking, headings, constant = json.loads(name)
+                    known[name] = set(kept), {tuple(x) for x in lacking}, set(headings), set(constant)
                 out.append(text_of_runs([tuple(c[k] for c in columns) for k in range(lo, hi)], known[name] if name else None))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.string())], ["page_id", "url", "text"])
 

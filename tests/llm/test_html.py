@@ -176,10 +176,10 @@ def test_pages_that_the_pivot_does_not_know(spark):
     rows, want = [], {}
     for k in range(40):
         parts = [words(rnd, 30) for _ in range(1 if k % 4 else 3)]
-        want[k] = " ".join(parts)
-        rows.append((k, "http://a.example/", page("<div>Top</div>" + "".join(f"<article><p>{p}</p></article>" for p in parts) + f"<div>{words(rnd, 4)}</div>")))
-    rows.append((99, "http://a.example/other", page("<table><tr><td><p>nothing like the others</p></table>")))
-    want[99] = "nothing like the others"
+        want[k] = " ".join([f"Head {k}", *parts])
+        rows.append((k, "http://a.example/", page(f"<h1>Head {k}</h1><div>Top</div>" + "".join(f"<article><p>{p}</p></article>" for p in parts) + f"<div>{words(rnd, 4)}</div>")))
+    rows.append((99, "http://a.example/other", page("<h1>Another</h1><table><tr><td><p>nothing like the others</p></table>")))
+    want[99] = "Another nothing like the others"
     assert {r.page_id: r.text for r in extract(pages_of(spark, rows)).collect()} == want
 
 
