@@ -32,6 +32,15 @@ def xxh64_of_12(data: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def xxh64_of_long(values: np.ndarray, seed: int = 42) -> np.ndarray:
+    """XXH64 of 64-bit numbers, as Spark's xxhash64 reckons it (with seed 42), unsigned."""
+    h = np.full(len(values), np.uint64(seed) + _P5 + np.uint64(8), np.uint64) ^ (_rotl(values.astype(np.int64).view(np.uint64) * _P2, 31) * _P1)
+    h = _rotl(h, 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
 def mask_text(text: str | None) -> str | None:
     """Each leftmost run of 12 ASCII digits becomes the mark and the run's hash in hex; a 13th digit stays."""
     if text is None or not (found := _DIGITS.findall(text)):

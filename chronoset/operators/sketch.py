@@ -1,7 +1,7 @@
 """Set-difference sketches: invertible Bloom lookup tables and strata estimators, built as aggregations.
 
 Keys are 64-bit hashes of a dot and its payload digest. Cells are (count, xor of keys, xor of check hashes). Tables have a
-bounded number of cells; a larger difference takes more tables, which are peeled side by side.
+bounded number of cells, and one is peeled by one task; a larger difference takes more tables, which are peeled side by side.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from ..functions.text import xxh64_of_long
 from ..sources.shared import stored
 
 CELLS, HASHES = 1024, 4
@@ -67,24 +68,49 @@ def subtract(left: DataFrame, right: DataFrame, by: list[str] | None = None) ->
     return left.join(r, [*by, "cell"], "full").select(*by, "cell", (zero("n") - zero("_n")).alias("n"), zero("key_xor").bitwiseXOR(zero("_k")).alias("key_xor"), zero("hash_xor").bitwiseXOR(zero("_h")).alias("hash_xor"))
 
 
+def _peeled(cell: np.ndarray, n: np.ndarray, key: np.ndarray, check: np.ndarray, cells: int, hashes: int) -> tuple[np.ndarray, ...]:
+    """(keys, sides, and the whole table's n, key_xor, hash_xor after peeling) of one subtracted table."""
+    table = [np.zeros(cells, np.int64) for _ in range(3)]
+    for own, values in zip(table, (n, key, check), strict=True):
+        own[cell] = values
+    n, key, check = table
+    keys, sides = np.empty(0, np.int64), np.empty(0, np.int64)
+    while True:
+        alone = np.flatnonzero(np.abs(n) == 1)
+        alone = alone[xxh64_of_long(key[alone]).view(np.int64) == check[alone]]
+        fresh, first = np.unique(key[alone], return_index=True)
+        side = n[alone][first]
+        new = ~np.isin(fresh, keys)
+        fresh, side = fresh[new], side[new]
+        if not len(fresh):
+            return keys, sides, n, key, check
+        keys, sides = np.r_[keys, fresh], np.r_[sides, side]
+        h = xxh64_of_long(fresh)
+        step = ((h >> np.uint64(32)) | np.uint64(1)) % np.uint64(cells)
+        for k in range(hashes):
+            at = ((h % np.uint64(cells) + np.uint64(k) * step) % np.uint64(cells)).astype(np.int64)
+            np.subtract.at(n, at, side)
+            np.bitwise_xor.at(key, at, fresh)
+            np.bitwise_xor.at(check, at, h.view(np.int64))
+
+
 def peel(difference: DataFrame, cells: int = CELLS, hashes: int = HASHES, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """([by,] key, side) of a subtracted table, side 1 for keys of the left alone and -1 for the right, and the cells that are left.
 
-    In rounds, as long as there is one: cells of one key give it up, and it is taken out of its other cells. No cell is left if all
-    came out.
+    A table has at most MAX_CELLS cells, so each of them is peeled whole by one task: cells of one key give it up, and it is taken out of
+    its other cells, as long as there is one. No cell is left if all came out.
     """
-    by, found = by or [], None
-    table = stored(difference, "iblt")
-    while True:
-        pure = table.where((F.abs("n") == 1) & (_check(F.col("key_xor")) == F.col("hash_xor"))).select(*by, F.col("key_xor").alias("key"), F.col("n").alias("side")).distinct()
-        pure = stored(pure, "peeled")
-        if pure.isEmpty():
-            break
-        found = pure if found is None else found.unionByName(pure)
-        gone = pure.select(*by, "key", "side", F.explode(_cells(F.col("key"), hashes, cells)).alias("cell")).groupBy(*by, "cell").agg(F.sum("side").alias("n"), F.bit_xor("key").alias("key_xor"), F.bit_xor(_check(F.col("key"))).alias("hash_xor"))
-        table = stored(subtract(table, gone, by), "iblt")
-    left = table.where("n <> 0 OR key_xor <> 0 OR hash_xor <> 0")
-    return (pure if found is None else found), left
+    by = by or []
+    schema = ", ".join([*(f"{c} {difference.schema[c].dataType.simpleString()}" for c in by), "cell int, n long, key_xor long, hash_xor long"])
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        keys, sides, *rest = _peeled(*(frame[c].to_numpy(np.int64) for c in ("cell", "n", "key_xor", "hash_xor")), cells, hashes)
+        left = np.flatnonzero((rest[0] != 0) | (rest[1] != 0) | (rest[2] != 0))
+        columns = {"cell": np.r_[np.full(len(keys), -1), left], "n": np.r_[sides, rest[0][left]], "key_xor": np.r_[keys, rest[1][left]], "hash_xor": np.r_[np.zeros(len(keys), np.int64), rest[2][left]]}
+        return pd.DataFrame({**{c: [frame[c].iloc[0]] * (len(keys) + len(left)) for c in by}, **columns})
+
+    done = stored(difference.groupBy(*by).applyInPandas(run, schema), "peeled")
+    return done.where("cell < 0").select(*by, F.col("key_xor").alias("key"), F.col("n").alias("side")), done.where("cell >= 0")
 
 
 def stratum(key: Column) -> Column:

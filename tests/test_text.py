@@ -20,6 +20,14 @@ def test_hash_is_xxh64():
     assert [int(h) for h in fn.xxh64_of_12(np.frombuffer(data, np.uint8))] == [xxhash.xxh64_intdigest(data[:12]), xxhash.xxh64_intdigest(data[12:])]
 
 
+def test_hash_of_numbers_is_sparks(spark):
+    import numpy as np
+
+    values = [0, 1, -1, 7, 2**63 - 1, -(2**63), 123456789012345]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").selectExpr("xxhash64(v)").collect()]
+    assert fn.xxh64_of_long(np.array(values)).view(np.int64).tolist() == want == [int.from_bytes(xxhash.xxh64_digest(v.to_bytes(8, "little", signed=True), seed=42), "big", signed=True) for v in values]
+
+
 def test_times(spark):
     cases = {"2024-01-02T03:04:05Z": 1704164645000000000, "2024-01-02T03:04:05.123456789Z": 1704164645123456789, "2024-01-02T03:04:05.5+01:00": 1704161045500000000, "2024-01-02": None, "nonsense": None}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
