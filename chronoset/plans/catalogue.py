@@ -508,9 +508,11 @@ SELECT o_orderkey, vs AS valid_time_start_ns, CAST(CASE WHEN n IS NULL OR n <= 0
 )
 def open_end_clamp(spark, d):
     k = F.col("o_orderkey")
-    requests = table(spark, d, "orders").select(
-        k, F.when(k % 4 != 0, src.micros("o_orderdate") * 1000).alias("valid_from_ns"), F.when(k % 5 == 0, None).when(k % 5 == 1, 0).when(k % 5 == 2, (1 << 63) - 1).otherwise(k * DAY_NS).alias("valid_for_ns"), F.lit("v").alias("val")
-    )
+    # a span past 64 bits is past the open end from any start, or negative: it is open, as null is; try_multiply would throw and catch for each
+    days = ((1 << 63) - 1) // DAY_NS
+    span = F.when(k % 5 == 0, None).when(k % 5 == 1, 0).when(k % 5 == 2, (1 << 63) - 1).when(k.between(-days, days), k * DAY_NS)
+    start = F.when(k % 4 == 0, None).otherwise(src.micros("o_orderdate") * 1000)
+    requests = table(spark, d, "orders").select(k, start.alias("valid_from_ns"), span.alias("valid_for_ns"), F.lit("v").alias("val"))
     return src.stamp_inserts(requests, F.lit(TX)).select("o_orderkey", "valid_time_start_ns", "valid_time_end_ns")
 
 

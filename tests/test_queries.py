@@ -44,6 +44,26 @@ def test_strata_estimate_query(spark):
     assert catalogue.QUERIES["strata_estimate"](spark, SMALL).first()[0] == plain_estimate(*sides)
 
 
+def test_open_end_clamp_of_spans_past_64_bits(spark, tmp_path):
+    from datetime import datetime
+
+    import duckdb
+
+    keys = [*range(104_158, 104_172), *range(106_745, 106_760), 149_999, 9_000_003, 2**63 - 5, -(2**63) + 5, -106_754, -3, 0, None]
+    dates = [datetime(1800, 1, 1), datetime(1969, 12, 31, 23, 59), datetime(1995, 1, 1, 0, 0, 0, 7), datetime(2262, 1, 1), None]
+    path = f"{tmp_path}/orders.parquet"
+    spark.createDataFrame([(k, t) for k in keys for t in dates], "o_orderkey long, o_orderdate timestamp_ntz").coalesce(1).write.parquet(path)
+    sql, product = catalogue.ORACLE_SQL["open_end_clamp"], "o_orderkey * 86400000000000"
+    assert product in sql
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{path}/*.parquet'")
+    want = con.sql(sql.replace(product, "CAST(o_orderkey AS HUGEINT) * 86400000000000")).fetchall()  # the SQL as it is overflows itself
+    got = catalogue.QUERIES["open_end_clamp"](spark, str(tmp_path))
+    assert got.columns == ["o_orderkey", "valid_time_start_ns", "valid_time_end_ns"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert len({end for _, _, end in want}) == 7  # six computed ends and the open one
+
+
 def test_entry_without_the_optional_part(monkeypatch):
     import sys
 
